@@ -211,7 +211,7 @@ def search(
         F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q"),
     )
     right = coded.join(asked, F.col("vec_id") == F.col("query_id")).select(
-        "query_id", "vector",
+        "query_id", F.col("vector").alias("q_vector"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("b"),
         F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int").alias("q"),
     )
@@ -221,7 +221,7 @@ def search(
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         return nearest_in_block(
             model.value, kind, k, shortlist, mine["vec_id"].to_numpy(), mine["vector"].tolist(), mine["codes"].tolist(),
-            theirs["query_id"].to_numpy(), theirs["vector"].tolist(),
+            theirs["query_id"].to_numpy(), theirs["q_vector"].tolist(),
         )
 
     found = left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInPandas(meet, result)
