@@ -74,7 +74,7 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
     return centres
 
 
-def train_codebooks(sample: np.ndarray, m: int = 6, k: int = 128, rounds: int = 2, seed: int = 7) -> Codebooks:
+def train_codebooks(sample: np.ndarray, m: int = 16, k: int = 128, rounds: int = 1, seed: int = 7) -> Codebooks:
     """Residual k-means, then rounds of beam encoding and joint least squares over all entries."""
     rng = np.random.default_rng(seed)
     x = sample.astype(np.float32)
@@ -99,7 +99,7 @@ def train_codebooks(sample: np.ndarray, m: int = 6, k: int = 128, rounds: int =
     return out
 
 
-def fit(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding", rows: int = 4096, **settings) -> Codebooks | None:
+def fit(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding", rows: int = 8192, **settings) -> Codebooks | None:
     """Codebooks from at most ``rows`` vectors, taken in hash order of their ids; None without any.
 
     Distinct vectors only, so that many copies of one don't fill the sample. All vectors must
@@ -178,10 +178,10 @@ def search(
     k: int = 20,
     key: str = "vec_id",
     vec: str = "embedding",
-    shortlist: int = 96,
-    block: int = 8192,
-    query_block: int = 4096,
-    rows: int = 4096,
+    shortlist: int = 256,
+    block: int = 4096,
+    query_block: int = 2048,
+    rows: int = 8192,
     **settings,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` of largest inner product found for each query.
