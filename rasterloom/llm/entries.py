@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import additive_ann, chat, chunk_dedup, mixing, packing, pii, quality_rules, url_filter
+from rasterloom.llm import additive_ann, chat, chunk_dedup, mixing, near_dup, packing, pii, quality_rules, url_filter
 from rasterloom.llm.common import table
 
 
@@ -49,10 +49,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
 
 
+def op10_chosen_path_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.link_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_additive_ann, op2_pattern_packing, op4_perspective_rotation, op5_pii_spans, op6_source_mixing,
-        op7_gear_chunk_dedup, op8_url_bayes, op9_quality_rules,
+        op7_gear_chunk_dedup, op8_url_bayes, op9_quality_rules, op10_chosen_path_near_dup,
     )
     return {f.__name__: f for f in own}
 
