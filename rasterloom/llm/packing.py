@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -14,10 +16,37 @@ from pyspark.sql import functions as F
 from rasterloom.llm.common import batches_of, texts, written
 
 #: Words whose ids a worker holds in each of two generations.
-CACHE = 300_000
+CACHE = 400_000
 _STORES: dict[str, _Encoder] = {}
 
 
+#: Words of letters a-z, A-Z and those of Latin-1 (UTF-8), whose lower case and composition are plain, with or without one last mark.
+_EASY = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+[.,]?").fullmatch
+
+
+def _merger(path: str):
+    """The vocabulary as ranks of byte strings, a NUL for the end of a word; and which ids end one.
+
+    The end marks have the lowest ranks, so they join a word's last byte before any merge, as the
+    file's own rule has it.
+    """
+    import tiktoken
+
+    with open(path) as file:
+        vocab = json.load(file)["model"]["vocab"]
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in set(shown))}
+    ranks: dict[bytes, int] = {}
+    ends = np.zeros(max(vocab.values()) + 1, bool)
+    for token, rank in sorted(vocab.items(), key=lambda x: x[1]):
+        last = token.endswith("</w>")
+        body = token[:-4] if last else token
+        if body and all(c in byte_of for c in body):
+            ranks.setdefault(bytes(byte_of[c] for c in body) + b"\0" * last, rank)
+            ends[rank] = last
+    return tiktoken.Encoding("words", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={}), ends
+
+
 class _Encoder:
     """Ids of a text as little-endian uint32 bytes, word by word.
 
@@ -29,39 +58,40 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merger = _merger(path)
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.new) + len(words) > CACHE:
+    def _merged(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words of letters, with or without one last mark, by the same merges in one pass over all of them."""
+        # The mark is a piece of its own, with an end of its own.
+        body = b"\n".join([*words, b""]).replace(b",\n", b"\0,\n").replace(b".\n", b"\0.\n").replace(b"\n", b"\0")
+        ids = np.array(self.merger[0].encode_ordinary(body.decode().lower()), "<u4")
+        marks = np.fromiter((w[-1] in b".," for w in words), np.int64, len(words))
+        stops = (np.flatnonzero(self.merger[1][ids]) + 1)[np.cumsum(1 + marks) - 1]
+        flat, last = ids.tobytes(), (4 * stops).tolist()
+        return [flat[a:b] for a, b in zip([0, *last], last, strict=False)]
+
+    def _learn(self, missed: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that the new generation lacks."""
+        known = {w: ids for w in missed if (ids := self.old.get(w)) is not None}
+        fresh = sorted(missed.difference(known))
+        easy = [w for w in fresh if _EASY(w)]
+        if easy:
+            known.update(zip(easy, self._merged(easy), strict=True))
+        hard = [w for w in fresh if w not in known]
+        for w, e in zip(hard, self.tokenizer.encode_batch([w.decode() for w in hard], add_special_tokens=False), strict=True):
+            known[w] = np.array(e.ids, "<u4").tobytes()
+        if len(self.new) + len(known) > CACHE:
             self.old, self.new = self.new, {}
-        fresh = []
-        for w in words:
-            if (x := self.old.get(w)) is not None:
-                self.new[w] = x
-            else:
-                fresh.append(w)
-        for w, e in zip(fresh, self.tokenizer.encode_batch([w.decode() for w in fresh], add_special_tokens=False), strict=True):
-            self.new[w] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, data: bytes) -> bytes:
-        words = data.split()
-        for at in range(0, len(words), CACHE // 4):
-            part = words[at : at + CACHE // 4]
-            got = list(map(self.new.get, part))
-            if None in got:
-                missed = {w for w, x in zip(part, got, strict=True) if x is None}
-                # A word of letters with one last mark: the mark is a piece of its own, so both parts are common.
-                split = {w for w in missed if len(w) > 1 and w[-1:] in b".," and w[-2:-1].isalpha()}
-                parts = {w for w in (missed - split) | {w[:-1] for w in split} | {w[-1:] for w in split} if w not in self.new}
-                self._learn(sorted(parts))
-                for w in split:
-                    self.new[w] = self.new[w[:-1]] + self.new[w[-1:]]
-                got = [self.new[w] if x is None else x for w, x in zip(part, got, strict=True)]
-            if at == 0 and len(words) <= CACHE // 4:
-                return b"".join(got)
-            out = b"".join(got) if at == 0 else out + b"".join(got)  # noqa: F821
-        return out if words else b""
+        self.new.update(known)
+        return known
+
+    def encode_all(self, data: list[bytes]) -> list[bytes]:
+        """Ids of each text; a batch's texts share the look-up of words not seen yet."""
+        split = [x.split() for x in data]
+        found = self._learn(set().union(*split).difference(self.new))
+        return [b"".join([self.new.get(w) or found.get(w) or self.old.get(w, b"") for w in words]) for words in split]
 
 
 def encoder(path: str) -> _Encoder:
@@ -81,11 +111,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 def _pieces(path: str, most: int, text: str, keep: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_of(batches, 1024):
-            enc = encoder(path)
+        enc = encoder(path)
+        for batch in batches_of(batches, 256):
             rows: list[tuple] = []
-            for doc, data in zip(batch.column(keep).to_pylist(), texts(batch.column(text)), strict=True):
-                ids = enc.encode(data) + b"\0\0\0\0"
+            for doc, ids in zip(batch.column(keep).to_pylist(), enc.encode_all(texts(batch.column(text))), strict=True):
+                ids += b"\0\0\0\0"
                 for k, at in enumerate(range(0, len(ids), 4 * most)):
                     part = ids[at : at + 4 * most]
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
