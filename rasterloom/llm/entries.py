@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import additive_ann, chat, chunk_dedup, mixing, near_dup, packing, pii, quality_rules, url_filter
+from rasterloom.llm import additive_ann, chat, chunk_dedup, mixing, near_dup, packing, pii, quality_rules, suffix_dedup, url_filter
 from rasterloom.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op2_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), most=2048)
 
 
+def op3_suffix_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op4_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
 
@@ -55,7 +59,7 @@ def op10_chosen_path_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
-        op1_additive_ann, op2_pattern_packing, op4_perspective_rotation, op5_pii_spans, op6_source_mixing,
+        op1_additive_ann, op2_pattern_packing, op3_suffix_merge_dedup, op4_perspective_rotation, op5_pii_spans, op6_source_mixing,
         op7_gear_chunk_dedup, op8_url_bayes, op9_quality_rules, op10_chosen_path_near_dup,
     )
     return {f.__name__: f for f in own}
