@@ -35,7 +35,7 @@ def op5_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_documents(table(spark, sf_dir, "documents"))
     return mixed.select(
-        "doc_id", "mix_source", "mix_lang", "mix_topic", "mix_tokens", F.round("probability", 6).alias("probability"), "kept"
+        "doc_id", "mix_source", "mix_lang", "mix_topic", "mix_tokens", F.round("mix_probability", 6).alias("probability"), F.col("mix_kept").alias("kept")
     )
 
 

@@ -106,14 +106,14 @@ def calibrated(cells: DataFrame, share: float = KEEP_SHARE, rounds: int = 6) ->
 
 
 def mix_documents(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, share: float = KEEP_SHARE, seed: str = SEED) -> DataFrame:
-    """``docs`` with mix_source, mix_lang, mix_topic, mix_tokens, ``probability`` and ``kept``.
+    """``docs`` with mix_source, mix_lang, mix_topic, mix_tokens, mix_probability and mix_kept.
 
     A document stays if the number drawn from its id lies below its cell's probability; rows with
     equal doc_id and cell share a fate. Documents without a token (null, empty) have probability 1
     and stay: they weigh nothing in the mix. A null doc_id draws like an empty one. Columns of
     ``docs`` with a name that starts with ``mix_`` are replaced. An empty table gives no rows.
     """
-    rows = described(docs.drop("probability", "kept"), text)
+    rows = described(docs, text)
     cells = rows.filter(F.col("mix_tokens") > 0).groupBy("mix_source", "mix_lang", "mix_topic").agg(F.sum("mix_tokens").alias("tokens"))
     cells = written(cells, "cells")
     cells = (
@@ -122,11 +122,11 @@ def mix_documents(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, sha
         .join(listed_shares(cells, "mix_topic", TOPIC_TARGET), "mix_topic")
     )
     chances = calibrated(rake(cells, rounds), share).select(
-        F.col("mix_source").alias("s"), F.col("mix_lang").alias("l"), F.col("mix_topic").alias("t"), "probability"
+        F.col("mix_source").alias("s"), F.col("mix_lang").alias("l"), F.col("mix_topic").alias("t"), F.col("probability").alias("p")
     )
     chances = written(chances, "chances")
-    same = (F.col("mix_source") == F.col("s")) & (F.col("mix_lang") == F.col("l")) & (F.col("mix_topic") == F.col("t"))
+    same = (F.col("r.mix_source") == F.col("x.s")) & (F.col("r.mix_lang") == F.col("x.l")) & (F.col("r.mix_topic") == F.col("x.t"))
     # Cells are few beside documents; Spark broadcasts them if their file is small enough, and shuffles otherwise.
-    out = rows.join(chances, same, "left").drop("s", "l", "t")
-    out = out.withColumn("probability", F.coalesce("probability", F.lit(1.0)))
-    return out.withColumn("kept", unit_of(F.col("doc_id"), seed) < F.col("probability"))
+    out = rows.alias("r").join(chances.alias("x"), same, "left").withColumn("mix_probability", F.coalesce("x.p", F.lit(1.0)))
+    out = out.withColumn("mix_kept", unit_of(F.col("r.doc_id"), seed) < F.col("mix_probability"))
+    return out.select(*(F.col(f"r.{c}") for c in rows.columns if c not in ("mix_probability", "mix_kept")), "mix_probability", "mix_kept")

@@ -14,7 +14,7 @@ from rasterloom.llm.common import batches_of, texts
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 RATIOS = ("mean_word", "symbol_ratio", "dup_line_ratio", "repeat_ratio", "distinct_ratio", "alpha_ratio", "digit_ratio")
-STAT_TYPES = ", ".join([*(f"{c} long" for c in COUNTS), *(f"{c} double" for c in RATIOS)])
+STAT_TYPES = [*((c, "long") for c in COUNTS), *((c, "double") for c in RATIOS)]
 SYMBOLS = b"#*$%&|<>"
 
 _CLASS = np.zeros(256, np.uint8)
@@ -76,26 +76,26 @@ def text_stats(data: bytes) -> tuple:
     )
 
 
-def _stats_of(text: str, keep: list[str]):
+def _stats_of(text: str, keep: list[str], prefix: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, 2048):
             rows = [text_stats(x) for x in texts(batch.column(text))]
             cols = list(zip(*rows, strict=True)) if rows else [[] for _ in COUNTS + RATIOS]
             own = [pa.array(c, pa.int64()) for c in cols[: len(COUNTS)]] + [pa.array(c, pa.float64()) for c in cols[len(COUNTS) :]]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *own], [*keep, *COUNTS, *RATIOS])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *own], [*keep, *(prefix + c for c in COUNTS + RATIOS)])
 
     return run
 
 
-def with_stats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns of ``docs`` and the statistics of each whole text.
+def with_stats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
+    """The ``keep`` columns of ``docs`` and the statistics of each whole text, their names after ``prefix``.
 
     A null text has no words; an empty one neither. Columns besides ``keep`` and ``text`` aren't
-    read. ``keep`` must not name a statistic.
+    read. No column of ``keep`` may have the name of a statistic.
     """
     types = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
     cols = list(dict.fromkeys([*keep, text]))
-    return docs.select(*cols).mapInArrow(_stats_of(text, list(keep)), ", ".join([*types, STAT_TYPES]))
+    return docs.select(*cols).mapInArrow(_stats_of(text, list(keep), prefix), ", ".join([*types, *(f"`{prefix}{c}` {t}" for c, t in STAT_TYPES)]))
 
 
 @dataclass
@@ -110,10 +110,11 @@ class Rule:
             out &= stats[col] > at if above else stats[col] <= at
         return out
 
-    def expression(self) -> Column:
+    def expression(self, prefix: str = "") -> Column:
         out = F.lit(True)
-        for col, above, at in self.conditions:
-            out = out & (F.col(col) > F.lit(at) if above else F.col(col) <= F.lit(at))
+        for name, above, at in self.conditions:
+            col = F.col(prefix + name)
+            out = out & (col > F.lit(at) if above else col <= F.lit(at))
         return out
 
     def __str__(self) -> str:
@@ -224,14 +225,20 @@ def fit_decision_list(docs: DataFrame, labels: DataFrame, rows: int = 20_000, **
     return learn_rules(stats, (pdf["quality"] == 0).to_numpy(), fold, **settings)
 
 
-def rejected_by(rules: list[Rule]) -> Column:
+def rejected_by(rules: list[Rule], prefix: str = "") -> Column:
     """The number (from 1) of the first rule that holds, as one ordered conditional; null if none."""
     out = None
     for k, rule in enumerate(rules, 1):
-        out = F.when(rule.expression(), F.lit(k)) if out is None else out.when(rule.expression(), F.lit(k))
+        out = (F if out is None else out).when(rule.expression(prefix), F.lit(k))
     return F.lit(None).cast("int") if out is None else out
 
 
+def base_failure(prefix: str = "") -> Column:
+    """Under 50 words, or over half of the words in repeated three-word windows."""
+    n = F.col(f"{prefix}n_words")
+    return (n < 50) | (100 * F.col(f"{prefix}n_repeat_words") > 50 * n)
+
+
 def judge_quality(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = 20_000, **settings) -> DataFrame:
     """One row per document: counts, ``base_failed``, the rule that rejects it, and ``kept``.
 
@@ -240,10 +247,16 @@ def judge_quality(docs: DataFrame, labels: DataFrame, text: str = "text", rows:
     of labels gives no rules, and the base alone decides.
     """
     rules = fit_decision_list(docs, labels, rows, **settings)
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
         with_stats(docs, text)
-        .withColumn("base_failed", base)
+        .withColumn("base_failed", base_failure())
         .withColumn("rule", rejected_by(rules))
         .withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
     )
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", rows: int = 20_000, **settings) -> DataFrame:
+    """``docs`` without the documents that ``judge_quality`` rejects; all columns stay as they are."""
+    rules, mark = fit_decision_list(docs, labels, rows, **settings), "_quality_"
+    judged = with_stats(docs, text, tuple(docs.columns), mark)
+    return judged.filter(~base_failure(mark) & rejected_by(rules, mark).isNull()).select(*docs.columns)
