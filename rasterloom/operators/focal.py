@@ -12,8 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ALONG_ROW = W.partitionBy("scene_id", "row").orderBy("col")
-ALONG_COL = W.partitionBy("scene_id", "col").orderBy("row")
+def along_row():
+    return W.partitionBy("scene_id", "row").orderBy("col")
+
+
+def along_col():
+    return W.partitionBy("scene_id", "col").orderBy("row")
 
 
 def _difference(v: str, w, gsd: float) -> Column:
@@ -24,7 +28,7 @@ def _difference(v: str, w, gsd: float) -> Column:
 
 def gradient(px: DataFrame, v: str = "z", gsd: float = 1.0, names: tuple[str, str] = ("gx", "gy")) -> DataFrame:
     """Adds the derivative along columns (east) and along rows (south)."""
-    return px.withColumn(names[0], _difference(v, ALONG_ROW, gsd)).withColumn(names[1], _difference(v, ALONG_COL, gsd))
+    return px.withColumn(names[0], _difference(v, along_row(), gsd)).withColumn(names[1], _difference(v, along_col(), gsd))
 
 
 def slope_deg(px: DataFrame, v: str = "z", gsd: float = 1.0, name: str = "slope") -> DataFrame:
@@ -57,7 +61,7 @@ def _inside(px: DataFrame, axis: str, size: int) -> DataFrame:
 def box_mean(px: DataFrame, v: str, radius: int, h: int, w: int, name: str = "mean", edge: str = "reflect") -> DataFrame:
     """Adds the mean over the (2 radius + 1)^2 box; the axes one after the other."""
     out = px.withColumn(name, F.col(v))
-    for axis, size, along in (("col", w, ALONG_ROW), ("row", h, ALONG_COL)):
+    for axis, size, along in (("col", w, along_row()), ("row", h, along_col())):
         padded = mirrored(out, axis, size, radius, edge)
         out = _inside(padded.withColumn(name, F.avg(name).over(along.rowsBetween(-radius, radius))), axis, size)
     return out
@@ -76,7 +80,7 @@ def gaussian(px: DataFrame, v: str, sigma: float, h: int, w: int, name: str = "l
     weights = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
     weights = [x / sum(weights) for x in weights]
     out = px.withColumn(name, F.col(v))
-    for axis, size, along in (("col", w, ALONG_ROW), ("row", h, ALONG_COL)):
+    for axis, size, along in (("col", w, along_row()), ("row", h, along_col())):
         padded = mirrored(out, axis, size, radius)
         total = F.lit(0.0)
         for k, x in zip(range(-radius, radius + 1), weights, strict=True):
@@ -103,7 +107,7 @@ def tri(px: DataFrame, v: str, h: int, w: int, name: str = "tri") -> DataFrame:
 def dilate(px: DataFrame, mask: str, radius: int, name: str) -> DataFrame:
     """Whether any pixel of the (2 radius + 1)^2 box is set; outside counts as unset."""
     out = px.withColumn(name, F.coalesce(F.col(mask), F.lit(False)).cast("int"))
-    for along in (ALONG_ROW, ALONG_COL):
+    for along in (along_row(), along_col()):
         out = out.withColumn(name, F.max(name).over(along.rowsBetween(-radius, radius)))
     return out.withColumn(name, F.col(name) == 1)
 
@@ -111,7 +115,7 @@ def dilate(px: DataFrame, mask: str, radius: int, name: str) -> DataFrame:
 def erode(px: DataFrame, mask: str, radius: int, name: str) -> DataFrame:
     """Whether all pixels of the box are set; outside counts as unset, so edges go."""
     out = px.withColumn(name, F.coalesce(F.col(mask), F.lit(False)).cast("int"))
-    for along in (ALONG_ROW, ALONG_COL):
+    for along in (along_row(), along_col()):
         frame = along.rowsBetween(-radius, radius)
         full = F.count(F.lit(1)).over(frame) == 2 * radius + 1
         out = out.withColumn(name, F.when(full, F.min(name).over(frame)).otherwise(0))
@@ -129,7 +133,7 @@ def closed(px: DataFrame, mask: str, radius: int, name: str) -> DataFrame:
 def boundaries(px: DataFrame, value: str, name: str = "boundary") -> DataFrame:
     """Whether one of the four neighbours holds another value (null counts as a value)."""
     differs = F.lit(False)
-    for along in (ALONG_ROW, ALONG_COL):
+    for along in (along_row(), along_col()):
         for shift in (F.lag, F.lead):
             other = shift(F.struct(value)).over(along)
             differs = differs | (other.isNotNull() & ~other[value].eqNullSafe(F.col(value)))
