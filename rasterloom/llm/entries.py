@@ -66,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_perspective_rotation": chat.ROTATE_SQL}
+    return {"op4_perspective_rotation": chat.ROTATE_SQL, "op6_source_mixing": mixing.mix_sql()}

@@ -130,3 +130,45 @@ def mix_documents(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, sha
     out = rows.alias("r").join(chances.alias("x"), same, "left").withColumn("mix_probability", F.coalesce("x.p", F.lit(1.0)))
     out = out.withColumn("mix_kept", unit_of(F.col("r.doc_id"), seed) < F.col("mix_probability"))
     return out.select(*(F.col(f"r.{c}") for c in rows.columns if c not in ("mix_probability", "mix_kept")), "mix_probability", "mix_kept")
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def mix_sql(rounds: int = ROUNDS, share: float = KEEP_SHARE, seed: str = SEED, corrections: int = 6) -> str:
+    """``mix_documents`` in SQL over ``documents``, with its rounds written out."""
+
+    def listed(key: str, target: dict[str, float]) -> str:
+        rest = max(0.0, 1 - sum(target.values()))
+        cases = " ".join(f"WHEN {_quoted(k)} THEN {v!r}::DOUBLE" for k, v in sorted(target.items()))
+        return f"""SELECT k, raw / sum(raw) OVER () AS target FROM (
+          SELECT k, coalesce(v, {rest!r}::DOUBLE * t / sum(t) FILTER (v IS NULL) OVER ()) AS raw FROM (
+            SELECT {key} AS k, sum(tokens)::DOUBLE AS t, CASE {key} {cases} END AS v FROM cells GROUP BY {key}))"""
+
+    topics = " ".join(f"WHEN regexp_matches(coalesce(text, ''), {_quoted(p)}) THEN {_quoted(n)}" for n, p in TOPICS)
+    parts = [
+        f"""d AS MATERIALIZED (SELECT doc_id, coalesce(source, 'none') AS s, coalesce(lang, 'none') AS l, CASE {topics} ELSE 'prose' END AS t,
+          len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS tokens FROM documents)""",
+        "cells AS MATERIALIZED (SELECT s, l, t, sum(tokens)::BIGINT AS tokens FROM d WHERE tokens > 0 GROUP BY ALL)",
+        f"ts AS (SELECT k, raw / sum(raw) OVER () AS target FROM (SELECT s AS k, pow(sum(tokens)::DOUBLE, {SOURCE_POWER!r}) AS raw FROM cells GROUP BY s))",
+        f"tl AS ({listed('l', LANG_TARGET)})",
+        f"tt AS ({listed('t', TOPIC_TARGET)})",
+        """w0 AS MATERIALIZED (SELECT s, l, t, tokens, ts.target AS s_target, tl.target AS l_target, tt.target AS t_target, (sum(tokens) OVER ())::DOUBLE AS total, tokens::DOUBLE AS w
+          FROM cells JOIN ts ON ts.k = s JOIN tl ON tl.k = l JOIN tt ON tt.k = t)""",
+    ]
+    n = 0
+    for _ in range(rounds):
+        for key in "slt":
+            parts.append(f"w{n + 1} AS MATERIALIZED (SELECT * EXCLUDE (w), w * total * {key}_target / sum(w) OVER (PARTITION BY {key}) AS w FROM w{n})")
+            n += 1
+    parts.append(f"v0 AS (SELECT {share!r}::DOUBLE AS v)")
+    for k in range(corrections):
+        parts.append(f"v{k + 1} AS MATERIALIZED (SELECT v * {share!r} * sum(tokens)::DOUBLE / sum(tokens * least(1, v * (w / tokens))) AS v FROM w{n}, v{k} GROUP BY v)")
+    parts.append(f"p AS (SELECT s, l, t, least(1, v * (w / tokens)) AS p FROM w{n}, v{corrections})")
+    unit = f"CAST('0x' || substr(md5({_quoted(seed + ':')} || coalesce(doc_id::VARCHAR, '')), 1, 8) AS BIGINT) / 4294967296.0"
+    return (
+        "WITH " + ",\n".join(parts) + f"""
+SELECT doc_id, d.s AS mix_source, d.l AS mix_lang, d.t AS mix_topic, tokens AS mix_tokens, round(coalesce(p, 1)::DOUBLE, 6) AS probability,
+  {unit} < coalesce(p, 1) AS kept FROM d LEFT JOIN p ON p.s = d.s AND p.l = d.l AND p.t = d.t"""
+    )
