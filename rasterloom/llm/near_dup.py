@@ -271,7 +271,8 @@ def link_documents(docs: DataFrame, text: str = "text", percent: int = 85) -> Da
     pairs = written(pairs, "pairs")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("rep")).union(large.select("rep")).distinct()
     # A doc_id with several rows takes the text of the class it stands for.
-    bodies = docs.select(F.col("doc_id").cast("long").alias("rep"), text).join(asked, "rep")
+    # ``asked`` grows with the documents, so it isn't broadcast, however small it is here.
+    bodies = docs.select(F.col("doc_id").cast("long").alias("rep"), text).join(asked.hint("merge"), "rep")
     sets = written(bodies.mapInArrow(_sets(text), "rep long, shingles binary").dropDuplicates(["rep"]), "sets")
     links = confirm(pairs, sets, percent).union(large_node_links(large, sets, percent))
     labels = components(links)
