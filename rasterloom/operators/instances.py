@@ -37,7 +37,7 @@ def mask_iou(a: DataFrame, b: DataFrame) -> DataFrame:
     return out.select("scene_id", "a", "b", (F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).alias("iou"))
 
 
-def zonal_measure(mask_px: DataFrame, px: DataFrame, height: str, ring: int = 3, vegetation: int = 2) -> DataFrame:
+def zonal_measure(mask_px: DataFrame, px: DataFrame, height: str, ring: int = 3, vegetation: int = 3) -> DataFrame:
     """Per mask: pixels, roof median and median deviation from it, ground median over a ring of ``ring`` pixels, height, share of vegetation, and why it is refused.
 
     The ring holds pixels in reach of the mask that belong to no mask.

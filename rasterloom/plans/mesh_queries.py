@@ -155,7 +155,7 @@ def mask_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add(
     MASK_SQL
     + """, b AS (SELECT * FROM mask_px WHERE mask_id % 16 = 3), k AS (SELECT b.scene_id, mask_id, ref_mm / 1000.0 AS z, sem FROM b JOIN px p ON p.scene_id = b.scene_id AND p."row" = b."row" AND p.col = b.col),
-r AS (SELECT scene_id, mask_id, count(z) AS n_px, median(z) AS roof_m, avg(CAST(sem = 2 AS INTEGER)) AS vegetation FROM k GROUP BY ALL),
+r AS (SELECT scene_id, mask_id, count(z) AS n_px, median(z) AS roof_m, avg(CAST(sem = 3 AS INTEGER)) AS vegetation FROM k GROUP BY ALL),
 d AS (SELECT scene_id, mask_id, median(abs(z - roof_m)) AS mad_m FROM k JOIN r USING (scene_id, mask_id) GROUP BY ALL),
 u AS (SELECT DISTINCT scene_id, mask_id, "row" + i.range AS "row", col + j.range AS col FROM b, range(-3, 4) i, range(-3, 4) j),
 g AS (SELECT u.scene_id, u.mask_id, median(ref_mm / 1000.0) AS ground_m FROM u JOIN px p ON p.scene_id = u.scene_id AND p."row" = u."row" AND p.col = u.col
