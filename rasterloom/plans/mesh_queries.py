@@ -47,13 +47,11 @@ def face_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add(
     MESH_SQL
-    + """, k AS (SELECT scene_id, lo, hi, count(*) AS n FROM e GROUP BY ALL)
-SELECT v.scene_id, count(*) AS n_vertices, min(z) AS z_min, max(z) AS z_max, any_value(nf) AS n_faces, any_value(nd) AS n_degenerate,
-  count(*) FILTER (NOT EXISTS (SELECT 1 FROM e WHERE e.scene_id = v.scene_id AND (e.lo = v.vid OR e.hi = v.vid))) AS n_unreferenced, any_value(nb) AS n_boundary, any_value(nm) AS n_nonmanifold
-FROM v JOIN (SELECT scene_id, count(*) AS nf, count(*) FILTER (sqrt(cx * cx + cy * cy + cz * cz) / 2 <= 1e-9) AS nd FROM n GROUP BY scene_id) x USING (scene_id)
-JOIN (SELECT scene_id, count(*) FILTER (n = 1) AS nb, count(*) FILTER (n > 2) AS nm FROM k GROUP BY scene_id) y USING (scene_id) GROUP BY v.scene_id""".replace(
-        "count(*) FILTER (NOT EXISTS (SELECT 1 FROM e WHERE e.scene_id = v.scene_id AND (e.lo = v.vid OR e.hi = v.vid)))", "count(*) - count(u.vid)"
-    ).replace("FROM v JOIN (SELECT scene_id, count(*) AS nf", "FROM v LEFT JOIN (SELECT scene_id, lo AS vid FROM e UNION SELECT scene_id, hi FROM e) u ON u.scene_id = v.scene_id AND u.vid = v.vid JOIN (SELECT scene_id, count(*) AS nf").replace("x USING (scene_id)", "x ON x.scene_id = v.scene_id").replace("y USING (scene_id)", "y ON y.scene_id = v.scene_id")
+    + """, k AS (SELECT scene_id, lo, hi, count(*) AS n FROM e GROUP BY ALL), u AS (SELECT scene_id, lo AS vid FROM e UNION SELECT scene_id, hi FROM e),
+x AS (SELECT scene_id, count(*) AS n_faces, count(*) FILTER (sqrt(cx * cx + cy * cy + cz * cz) / 2 <= 1e-9) AS n_degenerate FROM n GROUP BY scene_id),
+y AS (SELECT scene_id, count(*) FILTER (n = 1) AS n_boundary, count(*) FILTER (n > 2) AS n_nonmanifold FROM k GROUP BY scene_id),
+w AS (SELECT v.scene_id, count(*) AS n_vertices, min(z) AS z_min, max(z) AS z_max, count(*) - count(u.vid) AS n_unreferenced FROM v LEFT JOIN u ON u.scene_id = v.scene_id AND u.vid = v.vid GROUP BY v.scene_id)
+SELECT scene_id, n_vertices, z_min, z_max, n_faces, n_degenerate, n_unreferenced, n_boundary, n_nonmanifold FROM w JOIN x USING (scene_id) JOIN y USING (scene_id)"""
 )
 def validate_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mesh.validate_mesh(*sheet(spark, sf_dir))
@@ -98,7 +96,7 @@ def mesh_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 MASK_SQL = (
     S_SQL
     + f""", masks AS (SELECT p_partkey AS mask_id, CAST(p_partkey % 4 AS INTEGER) AS scene_id, CAST(p_partkey * 13 % 56 AS INTEGER) AS y0, CAST(p_partkey * 29 % 56 AS INTEGER) AS x0,
-  CAST(3 + p_size % 9 AS INTEGER) AS sy, CAST(3 + p_size * 7 % 8 AS INTEGER) AS sx FROM part WHERE p_partkey <= 400),
+  CAST(3 + p_size % 9 AS INTEGER) AS sy, CAST(3 + p_size * 7 % 8 AS INTEGER) AS sx FROM part),
 mask_px AS (SELECT scene_id, mask_id, CAST(y0 + i.range AS INTEGER) AS "row", CAST(x0 + j.range AS INTEGER) AS col FROM masks, range(12) i, range(12) j WHERE i.range < sy AND j.range < sx AND y0 + i.range < {N} AND x0 + j.range < {N})
 """
 )
@@ -114,9 +112,6 @@ def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("scene_id", "mask_id", "row", F.explode("cols").alias("col"))
 
 
-MASK_SQL = MASK_SQL.replace(" WHERE p_partkey <= 400", "")
-
-
 @registry.add(MASK_SQL + """SELECT scene_id, mask_id, count(*) AS area_px, min("row") AS y0, min(col) AS x0, max("row") AS y1, max(col) AS x1 FROM mask_px GROUP BY ALL""")
 def mask_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return instances.mask_bbox(masks(spark, sf_dir))
@@ -140,12 +135,10 @@ def instance_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add(
     MASK_SQL
-    + """, n AS (SELECT scene_id, mask_id, count(*) AS n FROM mask_px GROUP BY ALL), o AS (SELECT * FROM n WHERE mask_id % 20 = 0)
-SELECT scene_id, a, b, round(k / (na.n + nb.n - k), 6) AS iou FROM (
-  SELECT x.scene_id, x.mask_id AS a, y.mask_id AS b, count(*) AS k FROM mask_px x JOIN mask_px y ON y.scene_id = x.scene_id AND y."row" = x."row" AND y.col = x.col WHERE x.mask_id % 20 = 0 AND y.mask_id % 20 <> 0 GROUP BY ALL
-) JOIN n na ON na.scene_id = t.scene_id""".replace(
-        "SELECT scene_id, a, b, round", "SELECT t.scene_id, a, b, round"
-    ).replace(") JOIN n na ON na.scene_id = t.scene_id", ") t JOIN n na ON na.scene_id = t.scene_id AND na.mask_id = a JOIN n nb ON nb.scene_id = t.scene_id AND nb.mask_id = b").replace(", o AS (SELECT * FROM n WHERE mask_id % 20 = 0)", "")
+    + """, n AS (SELECT scene_id, mask_id, count(*) AS n FROM mask_px GROUP BY ALL), t AS (
+  SELECT x.scene_id, x.mask_id AS a, y.mask_id AS b, count(*) AS k FROM mask_px x JOIN mask_px y ON y.scene_id = x.scene_id AND y."row" = x."row" AND y.col = x.col
+  WHERE x.mask_id % 20 = 0 AND y.mask_id % 20 <> 0 GROUP BY ALL)
+SELECT t.scene_id, a, b, round(k / (na.n + nb.n - k), 6) AS iou FROM t JOIN n na ON na.scene_id = t.scene_id AND na.mask_id = a JOIN n nb ON nb.scene_id = t.scene_id AND nb.mask_id = b"""
 )
 def mask_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = masks(spark, sf_dir)
