@@ -166,12 +166,12 @@ def zonal_measure(spark: SparkSession, sf_dir: str) -> DataFrame:
     + """, k AS (SELECT b.scene_id, mask_id, ref_mm / 1000.0 AS z, b."row" AS y, b.col AS x FROM mask_px b JOIN px p ON p.scene_id = b.scene_id AND p."row" = b."row" AND p.col = b.col),
 s AS (SELECT scene_id, mask_id, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, var_pop(x) AS xx, var_pop(y) AS yy, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, z) AS yz, var_pop(z) AS zz FROM k GROUP BY ALL),
 p AS (SELECT *, (xz * yy - yz * xy) / nullif(CASE WHEN abs(xx * yy - xy * xy) * n * n > 1e-9 THEN xx * yy - xy * xy END, 0) AS a, (yz * xx - xz * xy) / nullif(CASE WHEN abs(xx * yy - xy * xy) * n * n > 1e-9 THEN xx * yy - xy * xy END, 0) AS b FROM s)
-SELECT scene_id, mask_id, n, round(a, 7) AS a, round(b, 7) AS b, round(mz - a * mx - b * my, 6) AS c, round(sqrt(greatest(zz - a * xz - b * yz, 0)), 5) AS rmse FROM p"""
+SELECT scene_id, mask_id, n, round(a, 7) AS a, round(b, 7) AS b, round(mz - a * mx - b * my, 6) AS c, round(sqrt(greatest(zz - a * xz - b * yz, 0)), 3) AS rmse FROM p"""
 )
 def fit_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = masks(spark, sf_dir).join(metres(spark, sf_dir).select("scene_id", "row", "col", F.col("ref").alias("z")), ["scene_id", "row", "col"])
     out = instances.fit_plane(own)
-    return out.select("scene_id", "mask_id", "n", *((F.round(c, d) + 0.0).alias(c) for c, d in (("a", 7), ("b", 7), ("c", 6), ("rmse", 5))))
+    return out.select("scene_id", "mask_id", "n", *((F.round(c, d) + 0.0).alias(c) for c, d in (("a", 7), ("b", 7), ("c", 6), ("rmse", 3))))
 
 
 @registry.add(

@@ -47,14 +47,14 @@ _CELL = "CAST(l_linenumber % 4 AS INTEGER) AS scene_id, CAST(l_orderkey % 64 AS
 
 
 @registry.add(
-    f"""WITH s AS (SELECT {_CELL}, l_suppkey * 100000000 + l_orderkey * 10 + l_linenumber AS tile, CASE WHEN l_quantity > 10 THEN l_quantity END AS v FROM lineitem)
+    f"""WITH s AS (SELECT {_CELL}, (l_suppkey * 100000000 + l_orderkey * 10 + l_linenumber) * 100 + CAST(l_quantity AS BIGINT) AS tile, CASE WHEN l_quantity > 10 THEN l_quantity END AS v FROM lineitem)
 SELECT scene_id, "row", col, min_by(v, tile) FILTER (v IS NOT NULL) AS v FROM s GROUP BY ALL"""
 )
 def mosaic_dem(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = views.read(spark, sf_dir, "lineitem")
     samples = li.select(
         (F.col("l_linenumber") % 4).cast("int").alias("scene_id"), (F.col("l_orderkey") % N).cast("int").alias("row"), (F.col("l_partkey") % N).cast("int").alias("col"),
-        (F.col("l_suppkey") * 100_000_000 + F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("tile"), F.when(F.col("l_quantity") > 10, F.col("l_quantity")).alias("v"),
+        ((F.col("l_suppkey") * 100_000_000 + F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100 + F.col("l_quantity").cast("long")).alias("tile"), F.when(F.col("l_quantity") > 10, F.col("l_quantity")).alias("v"),
     )
     return scenes.mosaic_dem(samples)
 

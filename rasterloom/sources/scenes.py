@@ -97,8 +97,8 @@ def required_dem_tiles(bounds: DataFrame, resolution: int = 10) -> DataFrame:
 
 
 def mosaic_dem(samples: DataFrame, order: str = "tile", value: str = "v") -> DataFrame:
-    """scene_id, row, col and the first value by tile order that is there; null, not 0, where no tile has one."""
-    first = F.min_by(value, F.when(F.col(value).isNotNull(), F.col(order)))
+    """scene_id, row, col and the first value by tile order that is there, of equals the least; null, not 0, where no tile has one."""
+    first = F.min_by(value, F.when(F.col(value).isNotNull(), F.struct(order, value)))
     return samples.groupBy("scene_id", "row", "col").agg(first.alias(value))
 
 
