@@ -72,6 +72,26 @@ def unigram_counts(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.select(html).mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def vocabulary(counts: DataFrame, most: int = VOCABULARY) -> dict[str, int]:
+    """The ``most`` words of highest count, ties by word.
+
+    The count that the last of them has is found from how many words have each count, which are
+    few; only words above it, and of those at it as many as are missing, are collected.
+    """
+    counts = written(counts, "unigrams")
+    spread = counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n"))
+    above, least = 0, 0
+    for r in spread.toLocalIterator():
+        if above + r["words"] > most:
+            least = r["n"]
+            break
+        above += r["words"]
+    own = {r["word"]: r["n"] for r in counts.filter(F.col("n") > least).collect()}
+    if least and above < most:
+        own |= {r["word"]: r["n"] for r in counts.filter(F.col("n") == least).orderBy("word").limit(most - above).collect()}
+    return own
+
+
 class Splitter:
     """Splits a run of letters into the words of highest unigram probability (Viterbi).
 
@@ -173,8 +193,7 @@ def judge_urls(pages: DataFrame, url: str = "url", html: str = "html", key: str
     rows = pages.select(F.col(key).alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", rule.alias("rule"), verdict.alias("ruled"))
-    top = unigram_counts(pages, html).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
-    rows = written(url_tokens(rows, {r["word"]: r["n"] for r in top}), "url-tokens")
+    rows = written(url_tokens(rows, vocabulary(unigram_counts(pages, html))), "url-tokens")
     prior, table = bayes_table(rows)
     return scored(rows, prior, table).withColumn(
         "verdict", F.coalesce("ruled", F.when(F.col("score") > 0, "block").otherwise("allow"))
