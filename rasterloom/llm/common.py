@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes that separate words: space and 0x09 to 0x0D. ``bytes.split()`` splits on just these.
 WHITE = r"[\x20\x09-\x0D]"
@@ -54,3 +55,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """At most ``rows`` rows, the first by hash order of ``key``, ties by ``key``.
+
+    In a larger table a bound on the hash first leaves about twice as many, so what each
+    partition sends to be merged shrinks as partitions become more. (Fewer than ``rows`` come if
+    fewer hashes than half of those expected lie under the bound.)
+    """
+    h, n = F.xxhash64(key), df.count()
+    if n > 2 * rows:
+        df = df.filter(h < F.lit(-(2**63) + 2**65 * rows // n))
+    return df.orderBy(h, key).limit(rows)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import batches_of, mix64, texts, written
+from rasterloom.llm.common import batches_of, hash_sample, mix64, texts, written
 
 W, GRAM = 200, 40
 #: Places of an anchor within its window.
@@ -339,7 +339,8 @@ def repeated_ranges(docs: DataFrame, text: str = "text") -> DataFrame:
     """row_key, start, end: bytes of windows that also start elsewhere (``docs`` has row_key); ranges may overlap."""
     body = docs.select("row_key", text)
     anchors = written(body.mapInArrow(_anchor_rows(text), "row_key long, pos long, low short, high short, gram long, context long"), "anchors")
-    grams = anchors.groupBy(F.col("gram").alias("g")).count().filter(F.col("count") > 1).select("g")
+    # Written first, so that both sides of the join are plain shuffles, whose hot keys Spark can split.
+    grams = written(anchors.groupBy(F.col("gram").alias("g")).count().filter(F.col("count") > 1).select("g"), "grams")
     again = written(anchors.join(grams, F.col("gram") == F.col("g"), "left_semi"), "repeated-anchors")
     contexts = again.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("row_key", "pos", "low", "high")).alias("at"))
     contexts = written(contexts.select("gram", "context", (F.col("n") > 1).cast("int").alias("many"), "at.*"), "contexts")
@@ -349,9 +350,9 @@ def repeated_ranges(docs: DataFrame, text: str = "text") -> DataFrame:
     splitters: list[bytes] = []
     if ranges > 1:
         # At most SAMPLED documents, so what is broadcast and what comes back is bounded by their texts.
-        some = wanted.orderBy(F.xxhash64("row_key"), "row_key").limit(SAMPLED)
+        some = hash_sample(wanted, "row_key", SAMPLED)
         keys = body.join(F.broadcast(some), "row_key").select(text, "wanted").mapInArrow(_keys_of(text), "key binary")
-        splitters = _splitters([r["key"] for r in keys.orderBy(F.xxhash64("key"), "key").limit(100 * ranges).collect()], ranges)
+        splitters = _splitters([r["key"] for r in keys.collect()], ranges)
     # Rows that share a row_key are the same, so one of them is enough.
     runs = body.join(wanted, "row_key").dropDuplicates(["row_key"]).select(text, "wanted")
     segments = runs.mapInArrow(_runs_of(text, splitters), "part int, segment binary")
