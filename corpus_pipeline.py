@@ -19,8 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group of near copies."""
-    return near_dup.drop_near_duplicates(docs)
+    """Keeps the document of smallest id of each group of near copies: at least 80 % of the shingles of both are shared."""
+    return near_dup.drop_near_duplicates(docs, percent=80)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

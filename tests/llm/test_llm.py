@@ -450,6 +450,25 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in docs.select("doc_id").collect()}
 
 
+def test_pipeline_drops_near_copies_from_eighty_percent(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(80)
+    texts, shares = {}, []
+    for k in range(30):
+        words = sentence(rng, 200).split()
+        own = list(words)
+        for at in range(20, 20 + 40 * (3 + k % 4), 40):  # 3 to 6 changed words, each in five shingles
+            own[at] = "zz"
+        x, y = ({tuple(w[i : i + 5]) for i in range(196)} for w in (words, own))
+        shares.append(len(x & y) / len(x | y))
+        texts |= {2 * k: " ".join(words), 2 * k + 1: " ".join(own)}
+    assert any(0.8 <= x < 0.85 for x in shares) and any(x < 0.8 for x in shares) and any(x >= 0.85 for x in shares)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], DOCS)
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert kept == set(range(0, 60, 2)) | {2 * k + 1 for k, x in enumerate(shares) if x < 0.8}
+
+
 def test_sql_of_queries(spark):
     con = duckdb.connect()
     sf = "/root/testdata/sf0.001"
