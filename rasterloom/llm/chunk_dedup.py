@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ from rasterloom.llm.common import batches_of, mix64, texts, written
 #: The gear table: a 64-bit number for each byte.
 GEAR = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 REACH = 32
+#: Settings that find repeated passages of over 50 words: short chunks, compared in stretches of at least ``span`` bytes.
+PASSAGES = {"least": 16, "bits": 4, "span": 128}
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
@@ -33,42 +36,76 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
 def borders(data: np.ndarray, least: int, bits: int, most: int) -> list[int]:
     """Ends of the chunks: after a byte whose hash has ``bits`` leading zeros, at least ``least`` and at most ``most`` bytes on."""
     n = len(data)
-    cuts = np.flatnonzero(gear_hashes(data) >> np.uint32(32 - bits) == 0) + 1
+    cuts = (np.flatnonzero(gear_hashes(data) >> np.uint32(32 - bits) == 0) + 1).tolist()
     out, at, k = [], 0, 0
     while at < n:
-        k = int(np.searchsorted(cuts, at + least, side="left"))
-        end = int(cuts[k]) if k < len(cuts) and cuts[k] <= at + most else min(at + most, n)
+        k = bisect_left(cuts, at + least, k)
+        end = cuts[k] if k < len(cuts) and cuts[k] <= at + most else min(at + most, n)
         out.append(end)
         at = end
     return out
 
 
-def _chunks(text: str, keep: str, least: int, bits: int, most: int):
+def stretches(ends: list[int], span: int) -> list[tuple[int, int]]:
+    """(start, end) of the shortest row of chunks of at least ``span`` bytes from every border on, and of the one that ends the text.
+
+    A text under ``span`` bytes is one stretch; with ``span`` 0 each chunk is one.
+    """
+    starts, out, j = [0, *ends][:-1], [], 0
+    for i, start in enumerate(starts):
+        j = max(j, i)
+        while j < len(ends) and ends[j] - start < span:
+            j += 1
+        if j == len(ends):
+            if not out or out[-1][1] < ends[-1]:
+                out.append((starts[max(i - 1, 0)], ends[-1]))
+            break
+        out.append((start, ends[j]))
+    return out
+
+
+def covered(ends: list[int], spans: list[dict]) -> list[dict]:
+    """The chunks (start, length) that lie in ``spans``, which are sorted rows of whole chunks."""
+    out, start, far, k = [], 0, 0, 0
+    for end in ends:
+        while k < len(spans) and spans[k]["start"] <= start:
+            far = max(far, spans[k]["start"] + spans[k]["length"])
+            k += 1
+        if start < far:
+            out.append({"start": start, "length": end - start})
+        start = end
+    return out
+
+
+def _chunks(text: str, keep: str, least: int, bits: int, most: int, span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, 512):
             ids, at, n, dig = [], [], [], []
             for doc, data in zip(batch.column(keep).to_pylist(), texts(batch.column(text)), strict=True):
-                start = 0
-                for end in borders(np.frombuffer(data, np.uint8), least, bits, most):
+                for start, end in stretches(borders(np.frombuffer(data, np.uint8), least, bits, most), span):
                     ids.append(doc)
                     at.append(start)
                     n.append(end - start)
                     dig.append(hashlib.blake2b(data[start:end], digest_size=16).digest())
-                    start = end
             cols = [pa.array(ids, batch.schema.field(keep).type), pa.array(at, pa.int64()), pa.array(n, pa.int32()), pa.array(dig, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "digest"])
 
     return run
 
 
-def chunk_table(docs: DataFrame, text: str = "text", keep: str = "doc_id", least: int = 128, bits: int = 8, most: int = 2048) -> DataFrame:
-    """doc_id, start, length and digest of every chunk of every whole text; a null or empty text has none."""
+def chunk_table(docs: DataFrame, text: str = "text", keep: str = "doc_id", least: int = 128, bits: int = 8, most: int = 2048, span: int = 0) -> DataFrame:
+    """doc_id, start, length and digest of every stretch of chunks of every whole text (``span`` 0: of every chunk); a null or empty text has none."""
     kind = docs.schema[keep].dataType.simpleString()
-    return docs.select(keep, text).mapInArrow(_chunks(text, keep, least, bits, most), f"doc_id {kind}, start long, length int, digest binary")
+    return docs.select(keep, text).mapInArrow(_chunks(text, keep, least, bits, most, span), f"doc_id {kind}, start long, length int, digest binary")
 
 
 def later_copies(chunks: DataFrame) -> DataFrame:
-    """Chunks of which an equal one stands before (smaller doc_id, null first, then smaller start)."""
+    """Chunks of which an equal one stands before (smaller doc_id, null first, then smaller start).
+
+    Hashes are counted first, so only chunks whose hash comes again meet by their digests.
+    """
+    again = chunks.groupBy(F.xxhash64("digest").alias("h")).count().filter(F.col("count") > 1).select("h")
+    chunks = written(chunks.join(again.hint("merge"), F.xxhash64("digest") == F.col("h"), "left_semi"), "chunks")
     firsts = (
         chunks.groupBy("digest")
         .agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "start")).alias("first"))
@@ -79,19 +116,20 @@ def later_copies(chunks: DataFrame) -> DataFrame:
     return chunks.join(firsts, F.col("digest") == F.col("d")).filter(~own.eqNullSafe(F.col("first"))).drop("d", "first")
 
 
-def dedup_chunks(docs: DataFrame, text: str = "text", **settings) -> DataFrame:
+def dedup_chunks(docs: DataFrame, text: str = "text", least: int = 128, bits: int = 8, most: int = 2048, span: int = 0) -> DataFrame:
     """One row per document: n_bytes, n_removed, ``removed`` (start, length; in bytes) and ``kept_text``.
 
     The first copy of a chunk stays and later ones go, so an exact copy of a document is emptied.
     Borders follow content, so an insertion moves only the chunks around it. A chunk may end
     inside a character; the stray bytes then read as U+FFFD in ``kept_text``, while
     ``kept_sha256`` is taken of the bytes. A null or empty text has no chunks and keeps nothing.
+    With a ``span``, a chunk goes only as part of a stretch of at least so many bytes (or a whole
+    text) that stands before; an equal chunk at an earlier place is kept.
     Documents need distinct ids: rows that share one are told apart by place only, so equal rows
     count once.
     """
-    chunks = written(chunk_table(docs, text, **settings), "chunks")
     removed = (
-        later_copies(chunks)
+        later_copies(chunk_table(docs, text, least=least, bits=bits, most=most, span=span))
         .select(F.col("doc_id").alias("k"), F.struct("start", "length").alias("span"))
         .groupBy("k")
         .agg(F.sort_array(F.collect_list("span")).alias("removed"))
@@ -101,9 +139,12 @@ def dedup_chunks(docs: DataFrame, text: str = "text", **settings) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, 512):
             spans = batch.column("removed").to_pylist()
-            n, gone, kept = [], [], []
+            n, gone, kept, went = [], [], [], []
             for data, own in zip(texts(batch.column(text)), spans, strict=True):
                 parts, last = [], 0
+                if own:
+                    own = covered(borders(np.frombuffer(data, np.uint8), least, bits, most), own)
+                went.append(own)
                 for s in own or ():
                     parts.append(data[last : s["start"]])
                     last = s["start"] + s["length"]
@@ -111,7 +152,7 @@ def dedup_chunks(docs: DataFrame, text: str = "text", **settings) -> DataFrame:
                 n.append(len(data))
                 gone.append(len(data) - len(kept[-1]))
             cols = [
-                batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), batch.column("removed"),
+                batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(went, batch.schema.field("removed").type),
                 pa.array([x.decode("utf-8", "replace") for x in kept], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
             ]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "n_removed", "removed", "kept_text", "kept_sha256"])

@@ -312,6 +312,39 @@ def test_chunks_resist_shifts():
     assert len(a & b) >= 0.95 * len(a)
 
 
+def test_chunk_stretches_by_force(spark, docs, texts):
+    got = {r["doc_id"]: r["kept_sha256"] for r in chunk_dedup.dedup_chunks(docs, **chunk_dedup.PASSAGES).collect()}
+    seen = set()
+    for i in sorted(texts):
+        raw = (texts[i] or "").encode()
+        at = [0, *chunk_dedup.borders(np.frombuffer(raw, np.uint8), 16, 4, 2048)]
+        spans = {(a, min(b for b in at if b >= a + 128)) for a in at if a + 128 <= len(raw)}
+        if raw:
+            spans.add((max((a for a in at if a + 128 <= len(raw)), default=0), len(raw)))
+        gone = np.zeros(len(raw), bool)
+        for a, b in sorted(spans):
+            gone[a:b] |= raw[a:b] in seen
+            seen.add(raw[a:b])
+        assert got[i] == hashlib.sha256(np.frombuffer(raw, np.uint8)[~gone].tobytes()).hexdigest(), i
+
+
+def test_passages_of_over_fifty_words_go(spark, tmp_path):
+    rng = np.random.default_rng(50)
+    phrase, rows, size = sentence(rng, 8), [], {}
+    for k in range(60):
+        passage = sentence(rng, int(rng.integers(51, 81)))
+        size[100 + k] = len(passage)
+        for i in (k, 100 + k):
+            rows.append((i, " ".join([sentence(rng, int(rng.integers(40, 120))), passage, sentence(rng, int(rng.integers(40, 120)))])))
+        rows.append((200 + k, " ".join([sentence(rng, 60), phrase, sentence(rng, 60)])))  # a short phrase may stay
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    gone = {r["doc_id"]: r["n_removed"] for r in entries.op7_gear_chunk_dedup(spark, str(tmp_path)).collect()}
+    assert all(n == 0 for i, n in gone.items() if i not in size)
+    assert sum(gone[i] > 0 for i in size) >= 0.95 * len(size)
+    assert sum(gone[i] for i in size) >= 0.65 * sum(size.values())
+    assert all(gone[i] <= n + 2 for i, n in size.items())
+
+
 # --- 8 ---
 
 
