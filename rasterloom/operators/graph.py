@@ -2,43 +2,38 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` into the folder of ``spark.checkpoint.dir`` (a new local one where that is unset) and reads it back."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from rasterloom.session import written
 
 
 def components(edges: DataFrame) -> DataFrame:
     """id and label, the least id reachable, for every id in ``edges`` (a, b).
 
-    Each round takes the least label of neighbours, then the label of that label, so the rounds
-    grow as the logarithm of the longest path. Only a count of one row reaches the driver.
+    Alternates two steps on directed edges (child, parent). Large step: every greater neighbour of
+    a node is joined to the least of all its neighbours. Small step: a node and its lesser
+    neighbours are joined to the least of these. Each shortens paths whatever their numbering, so
+    the rounds grow as the logarithm of the longest path; the edges never grow in number. It ends
+    when every edge points to a node without a parent of its own, and no node has two. Least
+    values are aggregated before edges move, so a node of many neighbours is no large group.
     """
-    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    nearest = both.groupBy("a").agg(F.min("b").alias("m"))
-    label = written(nearest.select(F.col("a").alias("id"), F.least("a", "m").alias("label")), "labels")
+    a, b = F.col("a"), F.col("b")
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    now = written(edges.filter(a != b).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while True:
-        near = both.join(label, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("m"))
-        step = label.join(near, F.col("id") == F.col("a")).select("id", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        roots = label.select(F.col("id").alias("root"), F.col("label").alias("up"))
-        now = written(step.join(roots, F.col("label") == F.col("root")).select("id", "old", F.least("label", "up").alias("label")), "labels")
-        label = now.select("id", "label")
-        if not now.filter(F.col("old") != F.col("label")).limit(1).count():
-            return label
+        both = now.unionByName(now.select(b.alias("a"), a.alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select(a.alias("u"), F.least("a", "m").alias("m"))
+        large = both.join(least, a == F.col("u")).filter(b > a).select(b.alias("a"), F.col("m").alias("b")).distinct()
+        root = large.groupBy("a").agg(F.min("b").alias("m"))
+        down = large.join(root.withColumnRenamed("a", "u"), a == F.col("u")).select(b.alias("a"), F.col("m").alias("b")).filter(a != b)
+        now = written(down.unionByName(root.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        parents = now.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a")
+        chained = now.select(b.alias("p")).join(now.select("a"), F.col("p") == a, "left_semi").select(F.col("p").alias("a"))
+        if parents.union(chained).isEmpty():
+            break
+    return nodes.join(now, F.col("id") == a, "left").select("id", F.coalesce("b", "id").alias("label"))
 
 
 def connected_components(mask: DataFrame, width: int, least: int = 1) -> DataFrame:

@@ -1,8 +1,11 @@
-"""Session defaults that the library's operators are written for."""
+"""Session defaults that the library's operators are written for, and tables written to cut lineage."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -21,3 +24,46 @@ def build_session(app: str = "rasterloom", master: str | None = None, **conf: st
     for key, value in (DEFAULTS | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+#: Folders that ``written`` made in this process and nothing has dropped yet.
+_FOLDERS: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Where it is unset, a new local one if the master is local; a cluster must name one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Writes ``df`` as Parquet into the shared folder and reads it back, which cuts its lineage."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _FOLDERS.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_written(spark: SparkSession, keep: int = 0) -> int:
+    """Deletes what ``written`` has made, but for the first ``keep`` folders; returns how many went.
+
+    For callers that have consumed or stored their results: tables that still read a dropped
+    folder fail.
+    """
+    gone = 0
+    while len(_FOLDERS) > keep:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        gone += 1
+    return gone
+
+
+def written_so_far() -> int:
+    """How many folders ``drop_written`` would delete."""
+    return len(_FOLDERS)
