@@ -25,13 +25,12 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.unionByName(now.select(b.alias("a"), a.alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(a.alias("u"), F.least("a", "m").alias("m"))
-        large = both.join(least, a == F.col("u")).filter(b > a).select(b.alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least, a == F.col("u")).filter(b > a).select(b.alias("a"), F.col("m").alias("b"))
         root = large.groupBy("a").agg(F.min("b").alias("m"))
         down = large.join(root.withColumnRenamed("a", "u"), a == F.col("u")).select(b.alias("a"), F.col("m").alias("b")).filter(a != b)
         now = written(down.unionByName(root.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        parents = now.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").select("a")
-        chained = now.select(b.alias("p")).join(now.select("a"), F.col("p") == a, "left_semi").select(F.col("p").alias("a"))
-        if parents.union(chained).isEmpty():
+        ends = now.select(a.alias("k"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(b.alias("k"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("k").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1").isEmpty():
             break
     return nodes.join(now, F.col("id") == a, "left").select("id", F.coalesce("b", "id").alias("label"))
 
