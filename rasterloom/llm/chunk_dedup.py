@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import batches_of, mix64, texts, written
+from rasterloom.llm.common import batches_of, mix64, row_keyed, texts, written
 
 #: The gear table: a 64-bit number for each byte.
 GEAR = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -34,13 +34,22 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def borders(data: np.ndarray, least: int, bits: int, most: int) -> list[int]:
-    """Ends of the chunks: after a byte whose hash has ``bits`` leading zeros, at least ``least`` and at most ``most`` bytes on."""
+    """Ends of the chunks: after a byte whose hash has ``bits`` leading zeros, at least ``least`` and at most ``most`` bytes on.
+
+    No end lies inside a UTF-8 character; where ``most`` bytes would end in one, the chunk ends before it.
+    """
     n = len(data)
-    cuts = (np.flatnonzero(gear_hashes(data) >> np.uint32(32 - bits) == 0) + 1).tolist()
+    start = np.append((data & 0xC0) != 0x80, True)  # whether a character starts at each byte; the end counts as one
+    cuts = np.flatnonzero(gear_hashes(data) >> np.uint32(32 - bits) == 0) + 1
+    cuts = cuts[start[cuts]].tolist()
     out, at, k = [], 0, 0
     while at < n:
         k = bisect_left(cuts, at + least, k)
-        end = cuts[k] if k < len(cuts) and cuts[k] <= at + most else min(at + most, n)
+        end = min(at + most, n)
+        while not start[end] and end > at + most - 4:
+            end -= 1
+        if k < len(cuts) and cuts[k] <= end:
+            end = cuts[k]
         out.append(end)
         at = end
     return out
@@ -77,42 +86,42 @@ def covered(ends: list[int], spans: list[dict]) -> list[dict]:
     return out
 
 
-def _chunks(text: str, keep: str, least: int, bits: int, most: int, span: int):
+def _chunks(text: str, least: int, bits: int, most: int, span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, 512):
-            ids, at, n, dig = [], [], [], []
-            for doc, data in zip(batch.column(keep).to_pylist(), texts(batch.column(text)), strict=True):
+            row, at, n, dig = [], [], [], []
+            for k, data in enumerate(texts(batch.column(text))):
                 for start, end in stretches(borders(np.frombuffer(data, np.uint8), least, bits, most), span):
-                    ids.append(doc)
+                    row.append(k)
                     at.append(start)
                     n.append(end - start)
                     dig.append(hashlib.blake2b(data[start:end], digest_size=16).digest())
-            cols = [pa.array(ids, batch.schema.field(keep).type), pa.array(at, pa.int64()), pa.array(n, pa.int32()), pa.array(dig, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "length", "digest"])
+            keys = [batch.column(c).take(pa.array(row, pa.int64())) for c in ("doc_id", "row_id")]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(at, pa.int64()), pa.array(n, pa.int32()), pa.array(dig, pa.binary())], ["doc_id", "row_id", "start", "length", "digest"])
 
     return run
 
 
-def chunk_table(docs: DataFrame, text: str = "text", keep: str = "doc_id", least: int = 128, bits: int = 8, most: int = 2048, span: int = 0) -> DataFrame:
-    """doc_id, start, length and digest of every stretch of chunks of every whole text (``span`` 0: of every chunk); a null or empty text has none."""
-    kind = docs.schema[keep].dataType.simpleString()
-    return docs.select(keep, text).mapInArrow(_chunks(text, keep, least, bits, most, span), f"doc_id {kind}, start long, length int, digest binary")
+def chunk_table(rows: DataFrame, text: str = "text", least: int = 128, bits: int = 8, most: int = 2048, span: int = 0) -> DataFrame:
+    """doc_id, row_id, start, length and digest of every stretch of chunks of every whole text (``span`` 0: of every chunk); a null or empty text has none."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("doc_id", "row_id", text).mapInArrow(_chunks(text, least, bits, most, span), f"doc_id {kind}, row_id long, start long, length int, digest binary")
 
 
 def later_copies(chunks: DataFrame) -> DataFrame:
-    """Chunks of which an equal one stands before (smaller doc_id, null first, then smaller start).
+    """Chunks of which an equal one stands before (smaller doc_id, null first, then smaller row_id and start).
 
     Hashes are counted first, so only chunks whose hash comes again meet by their digests.
     """
     again = chunks.groupBy(F.xxhash64("digest").alias("h")).count().filter(F.col("count") > 1).select("h")
     chunks = written(chunks.join(again.hint("merge"), F.xxhash64("digest") == F.col("h"), "left_semi"), "chunks")
+    own = F.struct("doc_id", "row_id", "start")
     firsts = (
         chunks.groupBy("digest")
-        .agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "start")).alias("first"))
+        .agg(F.count("*").alias("copies"), F.min(own).alias("first"))
         .filter(F.col("copies") > 1)
         .select(F.col("digest").alias("d"), "first")
     )
-    own = F.struct("doc_id", "start")
     return chunks.join(firsts, F.col("digest") == F.col("d")).filter(~own.eqNullSafe(F.col("first"))).drop("d", "first")
 
 
@@ -120,21 +129,20 @@ def dedup_chunks(docs: DataFrame, text: str = "text", least: int = 128, bits: in
     """One row per document: n_bytes, n_removed, ``removed`` (start, length; in bytes) and ``kept_text``.
 
     The first copy of a chunk stays and later ones go, so an exact copy of a document is emptied.
-    Borders follow content, so an insertion moves only the chunks around it. A chunk may end
-    inside a character; the stray bytes then read as U+FFFD in ``kept_text``, while
-    ``kept_sha256`` is taken of the bytes. A null or empty text has no chunks and keeps nothing.
-    With a ``span``, a chunk goes only as part of a stretch of at least so many bytes (or a whole
-    text) that stands before; an equal chunk at an earlier place is kept.
-    Documents need distinct ids: rows that share one are told apart by place only, so equal rows
-    count once.
+    Borders follow content and fall between characters, so an insertion moves only the chunks
+    around it. A null or empty text has no chunks and keeps nothing. With a ``span``, a chunk goes
+    only as part of a stretch of at least so many bytes (or a whole text) that stands before; an
+    equal chunk at an earlier place is kept. Rows are told apart even if they share a doc_id: they
+    count as documents of their own, and of equal rows one stays whole. Other columns aren't read.
     """
+    rows = row_keyed(docs, "doc_id", text)
     removed = (
-        later_copies(chunk_table(docs, text, least=least, bits=bits, most=most, span=span))
-        .select(F.col("doc_id").alias("k"), F.struct("start", "length").alias("span"))
-        .groupBy("k")
+        later_copies(chunk_table(rows, text, least, bits, most, span))
+        .select(F.col("doc_id").alias("k"), F.col("row_id").alias("r"), F.struct("start", "length").alias("span"))
+        .groupBy("k", "r")
         .agg(F.sort_array(F.collect_list("span")).alias("removed"))
     )
-    joined = docs.select("doc_id", text).join(removed, F.col("doc_id").eqNullSafe(F.col("k")), "left").drop("k")
+    joined = rows.join(removed, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("row_id") == F.col("r")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, 512):
@@ -153,7 +161,7 @@ def dedup_chunks(docs: DataFrame, text: str = "text", least: int = 128, bits: in
                 gone.append(len(data) - len(kept[-1]))
             cols = [
                 batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(went, batch.schema.field("removed").type),
-                pa.array([x.decode("utf-8", "replace") for x in kept], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
+                pa.array([x.decode() for x in kept], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
             ]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "n_removed", "removed", "kept_text", "kept_sha256"])
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rasterloom.session import written
+
+__all__ = ["WHITE", "batches_of", "hash_sample", "mix64", "row_keyed", "table", "texts", "written"]
+
 #: Bytes that separate words: space and 0x09 to 0x0D. ``bytes.split()`` splits on just these.
 WHITE = r"[\x20\x09-\x0D]"
 
@@ -19,21 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests), a new local one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+def row_keyed(docs: DataFrame, key: str, *keep: str) -> DataFrame:
+    """``key``, ``keep`` and ``row_id``, which is 0 but where rows share their key: these are numbered, so that both together tell rows apart.
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and reads it back, which cuts its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    Only ids are grouped, and only rows of shared ids are written (their numbers must stay).
+    """
+    shared = docs.groupBy(F.col(key).alias("_shared_key")).count().filter(F.col("count") > 1).select("_shared_key")
+    shared = written(shared, "shared-ids")
+    own = docs.select(key, *keep)
+    same = F.col(key).eqNullSafe(F.col("_shared_key"))
+    numbered = own.join(shared, same, "left_semi").withColumn("row_id", F.monotonically_increasing_id() + 1)
+    return own.join(shared, same, "left_anti").withColumn("row_id", F.lit(0).cast("long")).unionByName(written(numbered, "numbered"))
 
 
 def texts(column: pa.ChunkedArray | pa.Array) -> list[bytes]:

@@ -41,7 +41,7 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_gear_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chunk_dedup.dedup_chunks(table(spark, sf_dir, "documents"), **chunk_dedup.PASSAGES)
-    return out.select("doc_id", "n_bytes", "n_removed", F.size(F.coalesce("removed", F.array())).cast("long").alias("n_chunks_removed"), "kept_sha256")
+    return out.select("doc_id", "n_bytes", "n_removed", F.size(F.coalesce("removed", F.array())).cast("long").alias("n_chunks_removed"), "kept_sha256", "kept_text")
 
 
 def op8_url_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:

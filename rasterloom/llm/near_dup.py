@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import batches_of, mix64, texts, written
+from rasterloom.operators.graph import components
 
 WORDS = 5
 TREES, DEPTH = 20, 4
@@ -220,27 +221,6 @@ def large_node_links(members: DataFrame, sets: DataFrame, percent: int) -> DataF
     return dealt.join(sets, "rep").groupBy("node", "i", "j").applyInPandas(meet, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """id and label, the smallest id reachable, for every id in ``links`` (a, b).
-
-    Each round takes the least label of neighbours and then the label of that label, so the
-    number of rounds grows as the logarithm of the longest path; only counts reach the driver.
-    """
-    edges = written(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).filter("a <> b").distinct(), "edges")
-    nearest = edges.groupBy("a").agg(F.min("b").alias("m"))
-    label = written(nearest.select(F.col("a").alias("id"), F.least("a", "m").alias("label")), "labels")
-    while True:
-        near = edges.join(label, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("m"))
-        step = label.join(near, F.col("id") == F.col("a")).select("id", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        roots = label.select(F.col("id").alias("root"), F.col("label").alias("up"))
-        now = step.join(roots, F.col("label") == F.col("root")).select("id", "old", F.least("label", "up").alias("label"))
-        now = written(now, "labels")
-        moved = now.filter(F.col("old") != F.col("label")).limit(1).count()
-        label = now.select("id", "label")
-        if not moved:
-            return label
-
-
 def link_documents(docs: DataFrame, text: str = "text", percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, one row per document.
 
@@ -285,5 +265,5 @@ def link_documents(docs: DataFrame, text: str = "text", percent: int = 85) -> Da
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", percent: int = 85) -> DataFrame:
     """``docs`` without the documents that ``link_documents`` doesn't keep."""
-    gone = link_documents(docs, text, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    gone = link_documents(docs, text, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct().alias("gone")
+    return docs.alias("own").join(gone, F.col("own.doc_id") == F.col("gone.gone_id"), "left_anti")

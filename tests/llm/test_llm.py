@@ -345,6 +345,43 @@ def test_passages_of_over_fifty_words_go(spark, tmp_path):
     assert all(gone[i] <= n + 2 for i, n in size.items())
 
 
+def test_chunk_borders_by_their_rule():
+    """Borders against the rule told byte by byte: a hash with leading zeros, bounds on the length, and no cut character."""
+    rng = np.random.default_rng(12)
+    table = [int(x) & 0xFFFFFFFF for x in chunk_dedup.GEAR]
+    for least, bits, most in ((16, 4, 40), (16, 4, 2048), (128, 8, 2048)):
+        for _ in range(20):
+            raw = "".join(rng.choice(list("abcé€😀 "), int(rng.integers(0, 900)))).encode()
+            want, at = [], 0
+            while at < len(raw):
+                end = min(at + most, len(raw))
+                while end < len(raw) and raw[end] & 0xC0 == 0x80:
+                    end -= 1
+                for k in range(at + least, end):
+                    h = 0
+                    for b in raw[max(0, k - 32) : k]:
+                        h = (2 * h + table[b]) & 0xFFFFFFFF
+                    if h >> (32 - bits) == 0 and raw[k] & 0xC0 != 0x80:
+                        end = k
+                        break
+                want.append(end)
+                at = end
+            assert chunk_dedup.borders(np.frombuffer(raw, np.uint8), least, bits, most) == want
+
+
+def test_chunks_of_shared_ids_and_long_texts(spark):
+    rng = np.random.default_rng(13)
+    a, b, long = sentence(rng, 90), sentence(rng, 90), sentence(rng, 60_000)
+    rows = [(0, a), (1, a), (1, b), (2, b), (2, b), (None, a), (None, long), (3, long), (4, None), (5, "é" * 3000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row_id", F.lit("clash"))
+    out = chunk_dedup.dedup_chunks(table, **chunk_dedup.PASSAGES).collect()
+    assert len(out) == len(rows)
+    left = Counter((r["doc_id"], r["kept_text"]) for r in out)
+    assert left[(None, a)] == left[(None, long)] == left[(1, b)] == left[(4, "")] == 1
+    assert left[(0, "")] == left[(1, "")] == left[(3, "")] == 1 and left[(2, "")] == 2
+    assert all("\ufffd" not in r["kept_text"] for r in out)
+
+
 # --- 8 ---
 
 
@@ -419,7 +456,7 @@ def test_rules_cover_bad_rows_and_leave_good_ones(spark):
 # --- 10 ---
 
 
-def links_by_force(texts):
+def links_by_force(texts, percent=85):
     sets = {}
     for i, t in texts.items():
         w = (t or "").encode().lower().split()
@@ -427,7 +464,7 @@ def links_by_force(texts):
     label = {i: i for i in texts}
     for _ in texts:
         for a, b in itertools.combinations(texts, 2):
-            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 label[a] = label[b] = min(label[a], label[b])
         if all(label[label[i]] == label[i] for i in texts):
             break
@@ -458,6 +495,17 @@ def test_components_of_a_path(spark):
     assert {r["label"] for r in near_dup.components(edges).collect()} == {0}
 
 
+def test_near_duplicates_of_very_long_texts_and_clashing_columns(spark):
+    rng = np.random.default_rng(14)
+    words = sentence(rng, 40_000).split()
+    near = list(words)
+    near[7] = "zz"
+    rows = [(3, " ".join(words)), (4, " ".join(near)), (5, " ".join(words[:20_000]))]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("gone_id", F.lit(1)).withColumn("digest", F.lit("x")).withColumn("rep", F.lit(2))
+    kept = near_dup.drop_near_duplicates(table)
+    assert kept.columns == table.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 5]
+
+
 # --- pipeline ---
 
 
@@ -475,7 +523,7 @@ def test_pipeline_stages(spark, tmp_path):
         ids, before = {r["doc_id"] for r in kept.select("doc_id").collect()}, {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
         assert ids <= set(before)
         if stage.__name__ == "near_duplicates":
-            assert ids == {i for i, x in links_by_force(before).items() if x[2]}
+            assert ids == {i for i, x in links_by_force(before, 80).items() if x[2]}
         if stage.__name__ == "quality":
             assert not any(n[0] < 50 or 100 * n[4] > 50 * n[0] for n in (stats_by_force(before[i]) for i in ids))
         docs = kept
@@ -491,7 +539,7 @@ def test_pipeline_drops_near_copies_from_eighty_percent(spark):
     for k in range(30):
         words = sentence(rng, 200).split()
         own = list(words)
-        for at in range(20, 20 + 40 * (3 + k % 4), 40):  # 3 to 6 changed words, each in five shingles
+        for at in range(20, 20 + 30 * (3 + k % 4), 30):  # 3 to 6 changed words, each in five shingles
             own[at] = "zz"
         x, y = ({tuple(w[i : i + 5]) for i in range(196)} for w in (words, own))
         shares.append(len(x & y) / len(x | y))
