@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import written
@@ -14,9 +15,14 @@ TOPICS = (("legal", "(?i)licen[sc]e|copyright"), ("contact", "@|[+][0-9]"), ("da
 TOPIC_TARGET = {"prose": 0.82, "legal": 0.06, "contact": 0.06, "data": 0.06}
 #: Source targets are their token shares to this power, so that large sources give way.
 SOURCE_POWER = 0.8
-ROUNDS = 8
+#: Rounds at most, in sweeps of SWEEP that end once no weight of the last round moves by more than TOLERANCE of itself.
+ROUNDS, SWEEP, TOLERANCE = 64, 8, 1e-9
+#: Share of tokens that stays at most; less does where a cell's probability would pass 1.
 KEEP_SHARE = 0.9
 SEED = "mix-1"
+AXES = ("source", "lang", "topic")
+#: Up to so many cells are raked as one partition, which saves the shuffles; the result is the same.
+CELLS_A_TASK = 100_000
 
 
 def topic_of(text: Column) -> Column:
@@ -50,19 +56,22 @@ def described(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _scaled(shares: DataFrame, by: str) -> DataFrame:
-    whole = shares.agg(F.sum("raw")).first()[0] or 1.0
-    return shares.select(by, (F.col("raw") / F.lit(float(whole))).alias(f"{by}_target"))
+    whole = W.partitionBy(F.lit(0))
+    return shares.select(by, (F.col("raw") / F.sum("raw").over(whole)).alias(f"{by}_target"))
 
 
 def listed_shares(cells: DataFrame, by: str, target: dict[str, float]) -> DataFrame:
-    """Targets of the values that have tokens, scaled to 1; values not listed share the unlisted rest by their tokens."""
+    """Targets of the values that have tokens, scaled to 1; values not listed share the unlisted rest by their tokens.
+
+    Windows over the whole see one row a value.
+    """
     listed = F.lit(None).cast("double")
     for k, v in sorted(target.items()):
         listed = F.when(F.col(by) == k, F.lit(float(v))).otherwise(listed)
     own = cells.groupBy(by).agg(F.sum("tokens").cast("double").alias("t")).withColumn("listed", listed)
-    other = own.filter(F.col("listed").isNull()).agg(F.sum("t")).first()[0] or 1.0
+    other = F.sum(F.when(F.col("listed").isNull(), F.col("t"))).over(W.partitionBy(F.lit(0)))
     rest = max(0.0, 1 - sum(target.values()))
-    return _scaled(own.withColumn("raw", F.coalesce("listed", F.lit(rest) * F.col("t") / F.lit(other))), by)
+    return _scaled(own.withColumn("raw", F.coalesce("listed", F.lit(rest) * F.col("t") / other)), by)
 
 
 def power_shares(cells: DataFrame, by: str, power: float) -> DataFrame:
@@ -74,46 +83,50 @@ def power_shares(cells: DataFrame, by: str, power: float) -> DataFrame:
 def rake(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Fits ``weight`` of cells (source, lang, topic, tokens > 0, and the three targets) to all marginals in turn.
 
-    Each step multiplies by target over present share, from sums that are combined before they
-    move; each round is written, which cuts lineage. Cells that no document is in stay out, so
-    margins that can't be met together end as close as the last round brings them.
+    Each step multiplies by target over present share, a window sum over the cells of a value.
+    Sweeps are written, which cuts lineage, and go on until weights rest or ``rounds`` are done.
+    Cells that no document is in stay out, so margins that can't be met together end as close as
+    the last round brings them: ``residuals`` of ``calibrated`` say how close.
     """
-    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    n, total = cells.agg(F.count("*"), F.sum("tokens")).first()
     now = cells.withColumn("weight", F.col("tokens").cast("double"))
-    for _ in range(rounds):
-        for by in ("mix_source", "mix_lang", "mix_topic"):
-            sums = now.groupBy(F.col(by).alias("k")).agg(F.sum("weight").alias("s"))
-            fitted = F.col("weight") * F.lit(total) * F.col(f"{by}_target") / F.col("s")
-            now = now.join(sums, F.col(by) == F.col("k")).withColumn("weight", fitted).drop("k", "s")
+    for at in range(0, rounds, SWEEP):
+        if n <= CELLS_A_TASK:
+            now = now.coalesce(1)
+        for k in range(at, min(at + SWEEP, rounds)):
+            now = now.withColumn("before", F.col("weight")) if k + 1 in (at + SWEEP, rounds) else now
+            for by in (f"mix_{x}" for x in AXES):
+                now = now.withColumn("weight", F.col("weight") * F.lit(float(total or 0)) * F.col(f"{by}_target") / F.sum("weight").over(W.partitionBy(by)))
         now = written(now, "rake")
+        rests = now.filter(F.abs(F.col("weight") - F.col("before")) > TOLERANCE * F.col("before")).isEmpty()
+        now = now.drop("before")
+        if rests:
+            break
     return now
 
 
-def calibrated(cells: DataFrame, share: float = KEEP_SHARE, rounds: int = 6) -> DataFrame:
-    """Adds ``probability``: in proportion to weight over tokens, at most 1, so that about ``share`` of all tokens is expected to stay.
+def calibrated(cells: DataFrame, share: float = KEEP_SHARE) -> DataFrame:
+    """Adds ``probability``: in proportion to weight over tokens, at the highest level that keeps at most ``share`` of the tokens and lets none pass 1.
 
-    The factor starts at ``share`` over the mean of weight over tokens and is corrected ``rounds``
-    times for what the limit of 1 takes away.
+    Tokens that a cell is expected to keep are thus in proportion to its weight, so the kept
+    documents have the fitted marginals. Columns ``mix_<axis>_residual`` hold how far the expected
+    share of a cell's source, language and topic then is from its target.
     """
-    pull, level = F.col("weight") / F.col("tokens"), share
-    for _ in range(rounds):
-        chance = F.least(F.lit(1.0), F.lit(level) * pull)
-        whole, got = cells.agg(F.sum("tokens").cast("double"), F.sum(F.col("tokens") * chance)).first()
-        if not whole:
-            break
-        level = level * share * whole / got
-    return cells.withColumn("probability", F.least(F.lit(1.0), F.lit(level) * pull))
+    level = F.least(F.lit(float(share)), F.min(F.col("tokens") / F.col("weight")).over(W.partitionBy(F.lit(0))))
+    out = cells.withColumn("probability", F.least(F.lit(1.0), level * (F.col("weight") / F.col("tokens"))))
+    kept = F.col("tokens") * F.col("probability")
+    whole = F.sum(kept).over(W.partitionBy(F.lit(0)))
+    return out.withColumns({f"mix_{x}_residual": F.sum(kept).over(W.partitionBy(f"mix_{x}")) / whole - F.col(f"mix_{x}_target") for x in AXES})
 
 
-def mix_documents(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, share: float = KEEP_SHARE, seed: str = SEED) -> DataFrame:
-    """``docs`` with mix_source, mix_lang, mix_topic, mix_tokens, mix_probability and mix_kept.
+def margins(cells: DataFrame) -> DataFrame:
+    """axis, value, target and residual of every marginal, from what ``calibrated`` returns."""
+    rows = F.array(*(F.struct(F.lit(x).alias("axis"), F.col(f"mix_{x}").alias("value"), F.col(f"mix_{x}_target").alias("target"), F.col(f"mix_{x}_residual").alias("residual")) for x in AXES))
+    return cells.select(F.explode(rows).alias("m")).groupBy("m.axis", "m.value").agg(F.first("m.target").alias("target"), F.first("m.residual").alias("residual"))
 
-    A document stays if the number drawn from its id lies below its cell's probability; rows with
-    equal doc_id and cell share a fate. Documents without a token (null, empty) have probability 1
-    and stay: they weigh nothing in the mix. A null doc_id draws like an empty one. Columns of
-    ``docs`` with a name that starts with ``mix_`` are replaced. An empty table gives no rows.
-    """
-    rows = described(docs, text)
+
+def calibrated_cells(rows: DataFrame, rounds: int = ROUNDS, share: float = KEEP_SHARE) -> DataFrame:
+    """The cells of described documents with their targets, weights, probabilities and residuals."""
     cells = rows.filter(F.col("mix_tokens") > 0).groupBy("mix_source", "mix_lang", "mix_topic").agg(F.sum("mix_tokens").alias("tokens"))
     cells = written(cells, "cells")
     cells = (
@@ -121,23 +134,39 @@ def mix_documents(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, sha
         .join(listed_shares(cells, "mix_lang", LANG_TARGET), "mix_lang")
         .join(listed_shares(cells, "mix_topic", TOPIC_TARGET), "mix_topic")
     )
-    chances = calibrated(rake(cells, rounds), share).select(
-        F.col("mix_source").alias("s"), F.col("mix_lang").alias("l"), F.col("mix_topic").alias("t"), F.col("probability").alias("p")
+    return written(calibrated(rake(cells, rounds), share), "chances")
+
+
+def mix_documents(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, share: float = KEEP_SHARE, seed: str = SEED, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with mix_source, mix_lang, mix_topic, mix_tokens, mix_probability, mix_kept and three residuals.
+
+    A document stays if the number drawn from its id lies below its cell's probability; rows with
+    equal doc_id and cell share a fate. Documents without a token (null, empty) have probability 1
+    and stay: they weigh nothing in the mix, and have no residual. A null doc_id draws like an
+    empty one. Columns of ``docs`` with a name that starts with ``mix_`` are replaced. An empty
+    table gives no rows. Texts are described once: the described rows are written.
+    """
+    names = [c for c in (docs.columns if keep is None else keep) if not c.startswith("mix_")]
+    own = ["mix_source", "mix_lang", "mix_topic", "mix_tokens"]
+    rows = described(docs.drop(*(c for c in docs.columns if c.startswith("mix_"))), text)
+    rows = written(rows.select(*dict.fromkeys([*names, *own, "doc_id"])), "described")
+    residuals = [f"mix_{x}_residual" for x in AXES]
+    chances = calibrated_cells(rows, rounds, share).select(
+        F.col("mix_source").alias("s"), F.col("mix_lang").alias("l"), F.col("mix_topic").alias("t"), F.col("probability").alias("p"), *residuals
     )
-    chances = written(chances, "chances")
-    same = (F.col("r.mix_source") == F.col("x.s")) & (F.col("r.mix_lang") == F.col("x.l")) & (F.col("r.mix_topic") == F.col("x.t"))
+    same = (F.col("r.mix_source") == F.col("x.s")) & (F.col("r.mix_lang") == F.col("x.l")) & (F.col("r.mix_topic") == F.col("x.t")) & (F.col("r.mix_tokens") > 0)
     # Cells are few beside documents; Spark broadcasts them if their file is small enough, and shuffles otherwise.
     out = rows.alias("r").join(chances.alias("x"), same, "left").withColumn("mix_probability", F.coalesce("x.p", F.lit(1.0)))
     out = out.withColumn("mix_kept", unit_of(F.col("r.doc_id"), seed) < F.col("mix_probability"))
-    return out.select(*(F.col(f"r.{c}") for c in rows.columns if c not in ("mix_probability", "mix_kept")), "mix_probability", "mix_kept")
+    return out.select(*(F.col(f"r.{c}") for c in [*names, *own]), "mix_probability", "mix_kept", *(F.col(f"x.{c}") for c in residuals))
 
 
 def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-def mix_sql(rounds: int = ROUNDS, share: float = KEEP_SHARE, seed: str = SEED, corrections: int = 6) -> str:
-    """``mix_documents`` in SQL over ``documents``, with its rounds written out."""
+def mix_sql(rounds: int = ROUNDS, share: float = KEEP_SHARE, seed: str = SEED) -> str:
+    """``mix_documents`` in SQL over ``documents``; all rounds are done, which changes nothing once weights rest."""
 
     def listed(key: str, target: dict[str, float]) -> str:
         rest = max(0.0, 1 - sum(target.values()))
@@ -157,18 +186,19 @@ def mix_sql(rounds: int = ROUNDS, share: float = KEEP_SHARE, seed: str = SEED, c
         """w0 AS MATERIALIZED (SELECT s, l, t, tokens, ts.target AS s_target, tl.target AS l_target, tt.target AS t_target, (sum(tokens) OVER ())::DOUBLE AS total, tokens::DOUBLE AS w
           FROM cells JOIN ts ON ts.k = s JOIN tl ON tl.k = l JOIN tt ON tt.k = t)""",
     ]
-    n = 0
-    for _ in range(rounds):
-        for key in "slt":
-            parts.append(f"w{n + 1} AS MATERIALIZED (SELECT * EXCLUDE (w), w * total * {key}_target / sum(w) OVER (PARTITION BY {key}) AS w FROM w{n})")
-            n += 1
-    parts.append(f"v0 AS (SELECT {share!r}::DOUBLE AS v)")
-    for k in range(corrections):
-        parts.append(f"v{k + 1} AS MATERIALIZED (SELECT v * {share!r} * sum(tokens)::DOUBLE / sum(tokens * least(1, v * (w / tokens))) AS v FROM w{n}, v{k} GROUP BY v)")
-    parts.append(f"p AS (SELECT s, l, t, least(1, v * (w / tokens)) AS p FROM w{n}, v{corrections})")
+    step = "w0"
+    for key in "slt":
+        source = f"it WHERE i < {rounds}" if step == "w0" else f"({step})"
+        step = f"SELECT * EXCLUDE (w), w * total * {key}_target / sum(w) OVER (PARTITION BY {key}) AS w FROM {source}"
+    parts.append(f"it AS (SELECT 0 AS i, * FROM w0 UNION ALL SELECT i + 1 AS i, * EXCLUDE (i) FROM ({step}))")
+    parts.append(f"wn AS MATERIALIZED (SELECT * EXCLUDE (i) FROM it WHERE i = {rounds})")
+    parts.append(f"p AS MATERIALIZED (SELECT *, least(1, least({share!r}::DOUBLE, min(tokens / w) OVER ()) * (w / tokens)) AS p FROM wn)")
+    gaps = ", ".join(f"sum(tokens * p) OVER (PARTITION BY {k}) / sum(tokens * p) OVER () - {k}_target AS {k}_gap" for k in "slt")
+    parts.append(f"g AS (SELECT *, {gaps} FROM p)")
     unit = f"CAST('0x' || substr(md5({_quoted(seed + ':')} || coalesce(doc_id::VARCHAR, '')), 1, 8) AS BIGINT) / 4294967296.0"
     return (
-        "WITH " + ",\n".join(parts) + f"""
-SELECT doc_id, d.s AS mix_source, d.l AS mix_lang, d.t AS mix_topic, tokens AS mix_tokens, round(coalesce(p, 1)::DOUBLE, 6) AS probability,
-  {unit} < coalesce(p, 1) AS kept FROM d LEFT JOIN p ON p.s = d.s AND p.l = d.l AND p.t = d.t"""
+        "WITH RECURSIVE " + ",\n".join(parts) + f"""
+SELECT doc_id, d.s AS mix_source, d.l AS mix_lang, d.t AS mix_topic, d.tokens AS mix_tokens, round(coalesce(p, 1)::DOUBLE, 6) AS probability,
+  round(s_gap, 6) + 0::DOUBLE AS source_residual, round(l_gap, 6) + 0::DOUBLE AS lang_residual, round(t_gap, 6) + 0::DOUBLE AS topic_residual,
+  {unit} < coalesce(p, 1) AS kept FROM d LEFT JOIN g ON g.s = d.s AND g.l = d.l AND g.t = d.t AND d.tokens > 0"""
     )
