@@ -17,8 +17,9 @@ TOPIC_TARGET = {"prose": 0.82, "legal": 0.06, "contact": 0.06, "data": 0.06}
 SOURCE_POWER = 0.8
 #: Rounds at most, in sweeps of SWEEP that end once no weight of the last round moves by more than TOLERANCE of itself.
 ROUNDS, SWEEP, TOLERANCE = 64, 8, 1e-9
-#: Share of tokens that stays at most; less does where a cell's probability would pass 1.
-KEEP_SHARE = 0.9
+#: Shares of tokens that stay at most and at least. Between them lies the highest share at which no probability passes 1;
+#: where that is under the least, rare values stay whole and their targets are approached, not met.
+KEEP_SHARE, LEAST_SHARE = 0.9, 0.25
 SEED = "mix-1"
 AXES = ("source", "lang", "topic")
 #: Up to so many cells are raked as one partition, which saves the shuffles; the result is the same.
@@ -80,23 +81,30 @@ def power_shares(cells: DataFrame, by: str, power: float) -> DataFrame:
     return _scaled(own.withColumn("raw", F.pow("t", F.lit(power))), by)
 
 
-def rake(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def rake(cells: DataFrame, rounds: int = ROUNDS, share: float | None = None) -> DataFrame:
     """Fits ``weight`` of cells (source, lang, topic, tokens > 0, and the three targets) to all marginals in turn.
 
     Each step multiplies by target over present share, a window sum over the cells of a value.
     Sweeps are written, which cuts lineage, and go on until weights rest or ``rounds`` are done.
     Cells that no document is in stay out, so margins that can't be met together end as close as
-    the last round brings them: ``residuals`` of ``calibrated`` say how close.
+    the last round brings them. Without ``share`` weights start at the tokens and sum to them.
+    With it they go on from the weights that are there, a step more a round brings their sum to
+    that share of the tokens, and none passes its cell's tokens.
     """
     n, total = cells.agg(F.count("*"), F.sum("tokens")).first()
-    now = cells.withColumn("weight", F.col("tokens").cast("double"))
+    tokens = F.col("tokens").cast("double")
+    bounded = (lambda w: w) if share is None else (lambda w: F.least(tokens, w))
+    whole = float(total or 0) * (1.0 if share is None else share)
+    now = cells.withColumn("weight", tokens if share is None else bounded(F.lit(share) * F.col("weight")))
     for at in range(0, rounds, SWEEP):
         if n <= CELLS_A_TASK:
             now = now.coalesce(1)
         for k in range(at, min(at + SWEEP, rounds)):
             now = now.withColumn("before", F.col("weight")) if k + 1 in (at + SWEEP, rounds) else now
             for by in (f"mix_{x}" for x in AXES):
-                now = now.withColumn("weight", F.col("weight") * F.lit(float(total or 0)) * F.col(f"{by}_target") / F.sum("weight").over(W.partitionBy(by)))
+                now = now.withColumn("weight", bounded(F.col("weight") * F.lit(whole) * F.col(f"{by}_target") / F.sum("weight").over(W.partitionBy(by))))
+            if share is not None:  # what bounded values leave open goes to the others
+                now = now.withColumn("weight", bounded(F.col("weight") * F.lit(whole) / F.sum("weight").over(W.partitionBy(F.lit(0)))))
         now = written(now, "rake")
         rests = now.filter(F.abs(F.col("weight") - F.col("before")) > TOLERANCE * F.col("before")).isEmpty()
         now = now.drop("before")
@@ -105,15 +113,21 @@ def rake(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return now
 
 
-def calibrated(cells: DataFrame, share: float = KEEP_SHARE) -> DataFrame:
-    """Adds ``probability``: in proportion to weight over tokens, at the highest level that keeps at most ``share`` of the tokens and lets none pass 1.
+def calibrated(cells: DataFrame, share: float = KEEP_SHARE, least: float = LEAST_SHARE, rounds: int = ROUNDS) -> DataFrame:
+    """Adds ``probability`` to raked cells: in proportion to weight over tokens, and never over 1.
 
-    Tokens that a cell is expected to keep are thus in proportion to its weight, so the kept
-    documents have the fitted marginals. Columns ``mix_<axis>_residual`` hold how far the expected
+    The tokens that a cell is expected to keep are in proportion to its weight, so the kept
+    documents have the fitted marginals, at the highest share of all tokens (at most ``share``)
+    at which that can be. If that is under ``least``, weights are raked once more at that share,
+    each bounded by its cell's tokens. Columns ``mix_<axis>_residual`` hold how far the expected
     share of a cell's source, language and topic then is from its target.
     """
-    level = F.least(F.lit(float(share)), F.min(F.col("tokens") / F.col("weight")).over(W.partitionBy(F.lit(0))))
-    out = cells.withColumn("probability", F.least(F.lit(1.0), level * (F.col("weight") / F.col("tokens"))))
+    feasible = cells.agg(F.min(F.col("tokens") / F.col("weight"))).first()[0]
+    if feasible is not None and feasible < least:
+        out = rake(cells, rounds, least).withColumn("probability", F.col("weight") / F.col("tokens"))
+    else:
+        level = F.lit(min(share, feasible or share))
+        out = cells.withColumn("probability", F.least(F.lit(1.0), level * (F.col("weight") / F.col("tokens"))))
     kept = F.col("tokens") * F.col("probability")
     whole = F.sum(kept).over(W.partitionBy(F.lit(0)))
     return out.withColumns({f"mix_{x}_residual": F.sum(kept).over(W.partitionBy(f"mix_{x}")) / whole - F.col(f"mix_{x}_target") for x in AXES})
@@ -125,7 +139,7 @@ def margins(cells: DataFrame) -> DataFrame:
     return cells.select(F.explode(rows).alias("m")).groupBy("m.axis", "m.value").agg(F.first("m.target").alias("target"), F.first("m.residual").alias("residual"))
 
 
-def calibrated_cells(rows: DataFrame, rounds: int = ROUNDS, share: float = KEEP_SHARE) -> DataFrame:
+def calibrated_cells(rows: DataFrame, rounds: int = ROUNDS, share: float = KEEP_SHARE, least: float = LEAST_SHARE) -> DataFrame:
     """The cells of described documents with their targets, weights, probabilities and residuals."""
     cells = rows.filter(F.col("mix_tokens") > 0).groupBy("mix_source", "mix_lang", "mix_topic").agg(F.sum("mix_tokens").alias("tokens"))
     cells = written(cells, "cells")
@@ -134,10 +148,10 @@ def calibrated_cells(rows: DataFrame, rounds: int = ROUNDS, share: float = KEEP_
         .join(listed_shares(cells, "mix_lang", LANG_TARGET), "mix_lang")
         .join(listed_shares(cells, "mix_topic", TOPIC_TARGET), "mix_topic")
     )
-    return written(calibrated(rake(cells, rounds), share), "chances")
+    return written(calibrated(rake(cells, rounds), share, least, rounds), "chances")
 
 
-def mix_documents(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, share: float = KEEP_SHARE, seed: str = SEED, keep: list[str] | None = None) -> DataFrame:
+def mix_documents(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, share: float = KEEP_SHARE, least: float = LEAST_SHARE, seed: str = SEED, keep: list[str] | None = None) -> DataFrame:
     """``docs`` (or its columns ``keep``) with mix_source, mix_lang, mix_topic, mix_tokens, mix_probability, mix_kept and three residuals.
 
     A document stays if the number drawn from its id lies below its cell's probability; rows with
@@ -151,7 +165,7 @@ def mix_documents(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, sha
     rows = described(docs.drop(*(c for c in docs.columns if c.startswith("mix_"))), text)
     rows = written(rows.select(*dict.fromkeys([*names, *own, "doc_id"])), "described")
     residuals = [f"mix_{x}_residual" for x in AXES]
-    chances = calibrated_cells(rows, rounds, share).select(
+    chances = calibrated_cells(rows, rounds, share, least).select(
         F.col("mix_source").alias("s"), F.col("mix_lang").alias("l"), F.col("mix_topic").alias("t"), F.col("probability").alias("p"), *residuals
     )
     same = (F.col("r.mix_source") == F.col("x.s")) & (F.col("r.mix_lang") == F.col("x.l")) & (F.col("r.mix_topic") == F.col("x.t")) & (F.col("r.mix_tokens") > 0)
@@ -165,7 +179,7 @@ def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-def mix_sql(rounds: int = ROUNDS, share: float = KEEP_SHARE, seed: str = SEED) -> str:
+def mix_sql(rounds: int = ROUNDS, share: float = KEEP_SHARE, least: float = LEAST_SHARE, seed: str = SEED) -> str:
     """``mix_documents`` in SQL over ``documents``; all rounds are done, which changes nothing once weights rest."""
 
     def listed(key: str, target: dict[str, float]) -> str:
@@ -186,13 +200,22 @@ def mix_sql(rounds: int = ROUNDS, share: float = KEEP_SHARE, seed: str = SEED) -
         """w0 AS MATERIALIZED (SELECT s, l, t, tokens, ts.target AS s_target, tl.target AS l_target, tt.target AS t_target, (sum(tokens) OVER ())::DOUBLE AS total, tokens::DOUBLE AS w
           FROM cells JOIN ts ON ts.k = s JOIN tl ON tl.k = l JOIN tt ON tt.k = t)""",
     ]
-    step = "w0"
-    for key in "slt":
-        source = f"it WHERE i < {rounds}" if step == "w0" else f"({step})"
-        step = f"SELECT * EXCLUDE (w), w * total * {key}_target / sum(w) OVER (PARTITION BY {key}) AS w FROM {source}"
-    parts.append(f"it AS (SELECT 0 AS i, * FROM w0 UNION ALL SELECT i + 1 AS i, * EXCLUDE (i) FROM ({step}))")
-    parts.append(f"wn AS MATERIALIZED (SELECT * EXCLUDE (i) FROM it WHERE i = {rounds})")
-    parts.append(f"p AS MATERIALIZED (SELECT *, least(1, least({share!r}::DOUBLE, min(tokens / w) OVER ()) * (w / tokens)) AS p FROM wn)")
+
+    def raked(name: str, start: str, bound: str) -> None:
+        step = start
+        for key in "slt":
+            source = f"{name} WHERE i < {rounds}" if step == start else f"({step})"
+            step = f"SELECT * EXCLUDE (w), {bound.format(f'w * total * {key}_target / sum(w) OVER (PARTITION BY {key})')} AS w FROM {source}"
+        if name == "r2":
+            step = f"SELECT * EXCLUDE (w), {bound.format('w * total / sum(w) OVER ()')} AS w FROM ({step})"
+        parts.append(f"{name} AS (SELECT 0 AS i, * FROM {start} UNION ALL SELECT i + 1 AS i, * EXCLUDE (i) FROM ({step}))")
+        parts.append(f"{name}_end AS MATERIALIZED (SELECT * EXCLUDE (i) FROM {name} WHERE i = {rounds})")
+
+    raked("r1", "w0", "{}")
+    parts.append("f AS MATERIALIZED (SELECT *, min(tokens / w) OVER () AS feasible FROM r1_end)")
+    parts.append(f"b0 AS MATERIALIZED (SELECT * REPLACE (least(tokens, {least!r}::DOUBLE * w) AS w, {least!r}::DOUBLE * total AS total) FROM f WHERE feasible < {least!r})")
+    raked("r2", "b0", "least(tokens, {})")
+    parts.append(f"p AS MATERIALIZED (SELECT *, least(1, least({share!r}::DOUBLE, feasible) * (w / tokens)) AS p FROM f WHERE feasible >= {least!r} UNION ALL SELECT *, w / tokens AS p FROM r2_end)")
     gaps = ", ".join(f"sum(tokens * p) OVER (PARTITION BY {k}) / sum(tokens * p) OVER () - {k}_target AS {k}_gap" for k in "slt")
     parts.append(f"g AS (SELECT *, {gaps} FROM p)")
     unit = f"CAST('0x' || substr(md5({_quoted(seed + ':')} || coalesce(doc_id::VARCHAR, '')), 1, 8) AS BIGINT) / 4294967296.0"
