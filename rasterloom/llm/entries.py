@@ -36,7 +36,7 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_documents(table(spark, sf_dir, "documents"), keep=["doc_id"])
     residuals = ((F.round(f"mix_{x}_residual", 6) + F.lit(0.0)).alias(f"{x}_residual") for x in mixing.AXES)
     return mixed.select(
-        "doc_id", "mix_source", "mix_lang", "mix_topic", "mix_tokens", F.round("mix_probability", 6).alias("probability"), *residuals, F.col("mix_kept").alias("kept")
+        "doc_id", "mix_source", "mix_lang", "mix_topic", "mix_tokens", F.round("mix_probability", 5).alias("probability"), *residuals, F.col("mix_kept").alias("kept")
     )
 
 

@@ -16,7 +16,7 @@ TOPIC_TARGET = {"prose": 0.82, "legal": 0.06, "contact": 0.06, "data": 0.06}
 #: Source targets are their token shares to this power, so that large sources give way.
 SOURCE_POWER = 0.8
 #: Rounds at most, in sweeps of SWEEP that end once no weight of the last round moves by more than TOLERANCE of itself.
-ROUNDS, SWEEP, TOLERANCE = 64, 8, 1e-9
+ROUNDS, SWEEP, TOLERANCE = 64, 8, 1e-13
 #: Shares of tokens that stay at most and at least. Between them lies the highest share at which no probability passes 1;
 #: where that is under the least, rare values stay whole and their targets are approached, not met.
 KEEP_SHARE, LEAST_SHARE = 0.9, 0.25
@@ -221,7 +221,7 @@ def mix_sql(rounds: int = ROUNDS, share: float = KEEP_SHARE, least: float = LEAS
     unit = f"CAST('0x' || substr(md5({_quoted(seed + ':')} || coalesce(doc_id::VARCHAR, '')), 1, 8) AS BIGINT) / 4294967296.0"
     return (
         "WITH RECURSIVE " + ",\n".join(parts) + f"""
-SELECT doc_id, d.s AS mix_source, d.l AS mix_lang, d.t AS mix_topic, d.tokens AS mix_tokens, round(coalesce(p, 1)::DOUBLE, 6) AS probability,
+SELECT doc_id, d.s AS mix_source, d.l AS mix_lang, d.t AS mix_topic, d.tokens AS mix_tokens, round(coalesce(p, 1)::DOUBLE, 5) AS probability,
   round(s_gap, 6) + 0::DOUBLE AS source_residual, round(l_gap, 6) + 0::DOUBLE AS lang_residual, round(t_gap, 6) + 0::DOUBLE AS topic_residual,
   {unit} < coalesce(p, 1) AS kept FROM d LEFT JOIN g ON g.s = d.s AND g.l = d.l AND g.t = d.t AND d.tokens > 0"""
     )
