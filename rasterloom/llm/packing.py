@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm.common import batches_of, texts, written
 
+#: Fits by least squares, each of what the one before left.
+FITS = 3
 #: Words whose ids a worker holds in each of two generations.
 CACHE = 400_000
 _STORES: dict[str, _Encoder] = {}
@@ -28,12 +30,18 @@ def _merger(path: str):
     """The vocabulary as ranks of byte strings, a NUL for the end of a word; and which ids end one.
 
     The end marks have the lowest ranks, so they join a word's last byte before any merge, as the
-    file's own rule has it.
+    file's own rule has it. None if the file's merges don't make ids in rising order: ids can't
+    stand for ranks then, and the tokenizer does all words.
     """
     import tiktoken
 
     with open(path) as file:
-        vocab = json.load(file)["model"]["vocab"]
+        model = json.load(file)["model"]
+    vocab = model["vocab"]
+    pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
+    made = np.array([vocab[a + b] for a, b in pairs])
+    if (np.diff(made) <= 0).any():
+        return None
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
     byte_of = {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in set(shown))}
     ranks: dict[bytes, int] = {}
@@ -76,7 +84,7 @@ class _Encoder:
         """Ids of words that the new generation lacks."""
         known = {w: ids for w in missed if (ids := self.old.get(w)) is not None}
         fresh = sorted(missed.difference(known))
-        easy = [w for w in fresh if _EASY(w)]
+        easy = [w for w in fresh if _EASY(w)] if self.merger else []
         if easy:
             known.update(zip(easy, self._merged(easy), strict=True))
         hard = [w for w in fresh if w not in known]
@@ -134,10 +142,10 @@ def tokenised_pieces(docs: DataFrame, most: int = 2048, path: str | None = None,
     )
 
 
-def length_patterns(lengths: np.ndarray, most: int, widest: int = 400_000) -> np.ndarray:
+def length_patterns(lengths: np.ndarray, most: int) -> np.ndarray:
     """Patterns of one, two and three of the lengths that fill ``most`` exactly, padded with 0; nearly full ones where no exact one is.
 
-    ``widest`` bounds the triples; with more, every k-th first length is taken.
+    The last length follows from the others, so there are under most^2 / 6 triples, whatever the corpus.
     """
     have = np.zeros(most + 1, bool)
     have[lengths] = True
@@ -147,17 +155,16 @@ def length_patterns(lengths: np.ndarray, most: int, widest: int = 400_000) -> np
     single = np.stack([a, 0 * a, 0 * a], 1)
     pair_b = np.minimum(below[most - a], a)
     pairs = np.stack([a, pair_b, 0 * a], 1)[pair_b > 0]
-    step = max(1, len(a) ** 2 // (2 * widest))
     triples = []
-    for x in a[::step]:
+    for x in a:
         b = a[(a <= x) & (a <= most - x)]
         c = below[most - x - b]
         fine = (c > 0) & (c <= b)
         triples.append(np.stack([np.full(fine.sum(), x), b[fine], c[fine]], 1))
-    return np.unique(np.concatenate([single, pairs, *triples]), axis=0)
+    return np.concatenate([single, pairs, *triples])
 
 
-def fit_counts(patterns: np.ndarray, histogram: np.ndarray, rounds: int = 200) -> np.ndarray:
+def fit_counts(patterns: np.ndarray, histogram: np.ndarray, rounds: int = 100) -> np.ndarray:
     """Non-negative repeat counts that bring the patterns' histogram closest to the given one (accelerated projected gradient).
 
     Rows are weighted by the inverse of the square root of their count, so rare lengths matter too.
@@ -189,11 +196,40 @@ def _take(pattern: np.ndarray, times: int, left: np.ndarray) -> int:
     return times
 
 
+def fitted_plan(left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths of a sequence, repeats) by least squares; takes the pieces that they hold out of the histogram ``left``.
+
+    Counts are rounded down, and the largest remainders up; what is left is fitted again, while
+    that places pieces.
+    """
+    most, plan = len(left) - 1, []
+    for _ in range(FITS):
+        lengths = np.flatnonzero(left)
+        if not len(lengths):
+            break
+        patterns = length_patterns(lengths, most)
+        patterns = patterns[patterns.sum(1) >= most - most // 256]
+        if not len(patterns):
+            break
+        counts = fit_counts(patterns, left)
+        whole = np.floor(counts).astype(np.int64)
+        whole[np.argsort(whole - counts, kind="stable")[: round(float((counts - whole).sum()))]] += 1
+        placed = 0
+        for k in np.argsort(-whole, kind="stable")[: np.count_nonzero(whole)]:
+            if n := _take(patterns[k], int(whole[k]), left):
+                plan.append((tuple(int(x) for x in patterns[k] if x), n))
+                placed += n
+        if not placed:
+            break
+    return plan
+
+
 def plan_patterns(histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a sequence, repeats) that use every length as often as the histogram has it.
 
-    Counts from least squares are rounded down; the residual lengths are packed best-fit, largest
-    first, at the level of the histogram, so the work is bounded by the number of lengths.
+    Full pieces stand alone; then come the patterns of ``fitted_plan``. The residual lengths are
+    packed best-fit, largest first, at the level of the histogram, so the work is bounded by the
+    number of lengths.
     """
     most = len(histogram) - 1
     left = histogram.astype(np.int64).copy()
@@ -201,17 +237,7 @@ def plan_patterns(histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     if left[most]:
         plan.append(((most,), int(left[most])))
         left[most] = 0
-    lengths = np.flatnonzero(left)
-    if len(lengths):
-        patterns = length_patterns(lengths, most)
-        patterns = patterns[patterns.sum(1) >= most - most // 256]
-        if len(patterns):
-            counts = fit_counts(patterns, left)
-            order = np.argsort(-counts, kind="stable")
-            for k in order[counts[order] >= 0.5]:
-                want = int(np.floor(counts[k] + 0.25))
-                if want and (n := _take(patterns[k], want, left)):
-                    plan.append((tuple(int(x) for x in patterns[k] if x), n))
+    plan += fitted_plan(left)
     while left.any():
         room, own = most, []
         have = left.copy()

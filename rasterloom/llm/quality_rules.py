@@ -7,10 +7,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import batches_of, texts
+from rasterloom.llm.common import batches_of, hash_sample, texts
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 RATIOS = ("mean_word", "symbol_ratio", "dup_line_ratio", "repeat_ratio", "distinct_ratio", "alpha_ratio", "digit_ratio")
@@ -206,12 +207,10 @@ def labelled_stats(docs: DataFrame, labels: DataFrame, rows: int, text: str = "t
     """
     chosen = (
         labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
-        .select(F.col("doc_id").alias("label_id"), F.col("quality").cast("int").alias("quality"))
-        .orderBy(F.xxhash64("label_id"), "label_id")
-        .limit(rows)
-        .groupBy("label_id")
-        .agg(F.min("quality").alias("quality"))
+        .groupBy(F.col("doc_id").alias("label_id"))
+        .agg(F.min(F.col("quality").cast("int")).alias("quality"))
     )
+    chosen = hash_sample(chosen, "label_id", rows)
     # At most ``rows`` small rows, so the broadcast is bounded.
     own = docs.select("doc_id", text).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).drop("label_id")
     return with_stats(own, text, ("doc_id", "quality"))
@@ -221,7 +220,7 @@ def fit_decision_list(docs: DataFrame, labels: DataFrame, rows: int = 20_000, **
     """Rules that find documents of quality 0, fitted on at most ``rows`` labelled documents."""
     pdf = labelled_stats(docs, labels, rows).orderBy("doc_id").toPandas()
     stats = {c: pdf[c].to_numpy(np.float64) for c in (*COUNTS[:1], *RATIOS)}
-    fold = (pdf["doc_id"].to_numpy(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(3) > 0
+    fold = np.array([xxhash.xxh3_64_intdigest(str(x).encode()) % 3 > 0 for x in pdf["doc_id"]], bool)
     return learn_rules(stats, (pdf["quality"] == 0).to_numpy(), fold, **settings)
 
 

@@ -25,8 +25,8 @@ RULES = (
 )
 #: Words that the unigram model keeps, by count; and buckets of the hashed token table. Both bound what is broadcast.
 VOCABULARY, BUCKETS = 50_000, 1 << 16
-LONGEST = 24
-_WORD = re.compile(rb"[a-z]{2,24}")
+#: Runs of letters that count as words; longer runs are no words of their own, and aren't cut into false ones.
+_WORD = re.compile(rb"(?<![a-z])[a-z]{2,24}(?![a-z])")
 _TAGS = re.compile(rb"<(?:script|style)[^>]*>.*?</(?:script|style)>|<[^>]*>", re.DOTALL)
 
 
