@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rasterloom.session import written
+
 
 def sample_at(px: DataFrame, points: DataFrame, value: str, name: str) -> DataFrame:
     """``points`` with the value of their pixel; null outside."""
@@ -149,21 +151,36 @@ def global_affine(anchors: DataFrame, depth: str = "d", height: str = "value_m",
     return out
 
 
-def nearest_fill(px: DataFrame, v: str, h: int, w: int, reach: int) -> DataFrame:
-    """Adds ``filled``: the value itself, or that of the nearest pixel with one within ``reach`` rows; ties go to the least row, then column.
+def nearest_fill(px: DataFrame, v: str, name: str = "filled") -> DataFrame:
+    """Adds ``name``: the value itself, or that of the nearest pixel that has one, at any distance; ties go to the least row, then column.
 
-    Along each row the nearest values to the left and right are known from two windows; each
-    pixel then compares the rows within ``reach``. With ``reach`` of the raster's height the
-    result is exact for any hole; a pixel with nothing in reach gets 0.
+    Along each column two windows carry the nearest rows with a value above and below. Every hole
+    then asks the columns of its row within a reach that doubles until the distance found is no
+    larger than it, so a hole meets about as many columns as it is far from a value, and only holes
+    still open go round again. A scene without any value stays null.
     """
-    back = W.partitionBy("scene_id", "row").orderBy("col").rowsBetween(W.unboundedPreceding, 0)
-    ahead = W.partitionBy("scene_id", "row").orderBy("col").rowsBetween(0, W.unboundedFollowing)
-    at = F.when(F.col(v).isNotNull(), F.struct("col", F.col(v).alias("v")))
-    sides = px.withColumn("_l", F.last(at, ignorenulls=True).over(back)).withColumn("_r", F.first(at, ignorenulls=True).over(ahead))
-    rows = sides.select("scene_id", "row", "col", "_l", "_r", F.explode(F.sequence(F.col("row") - reach, F.col("row") + reach)).alias("to"))
-    holes = px.filter(F.col(v).isNull()).select("scene_id", F.col("row").alias("to"), "col")
-    met = rows.filter(F.col("to").between(0, h - 1)).join(holes, ["scene_id", "to", "col"])
-    side = lambda s: F.when(F.col(s).isNotNull(), F.struct((F.pow(F.col("row") - F.col("to"), F.lit(2)) + F.pow(F.col(f"{s}.col") - F.col("col"), F.lit(2))).alias("d"), "row", F.col(f"{s}.col").alias("c"), F.col(f"{s}.v").alias("v")))
-    best = met.groupBy("scene_id", "to", "col").agg(F.min(F.least(F.coalesce(side("_l"), side("_r")), F.coalesce(side("_r"), side("_l")))).alias("best"))
-    best = best.select("scene_id", F.col("to").alias("row"), "col", F.col("best.v").alias("_v"))
-    return px.join(best, ["scene_id", "row", "col"], "left").withColumn("filled", F.coalesce(v, "_v", F.lit(0).cast(px.schema[v].dataType))).drop("_v")
+    keys = ["scene_id", "row", "col"]
+    above = W.partitionBy("scene_id", "col").orderBy("row").rowsBetween(W.unboundedPreceding, 0)
+    below = W.partitionBy("scene_id", "col").orderBy("row").rowsBetween(0, W.unboundedFollowing)
+    at = F.when(F.col(v).isNotNull(), F.struct(F.col("row").alias("r"), F.col(v).alias("v")))
+    sides = px.select(*keys, F.col(v).isNull().alias("hole"), F.last(at, ignorenulls=True).over(above).alias("u"), F.first(at, ignorenulls=True).over(below).alias("d"))
+    sides = written(sides, "columns")
+    lines = sides.select("scene_id", "row", F.col("col").alias("c"), "u", "d").filter("u is not null or d is not null")
+    wide = px.groupBy("scene_id").agg(F.max("col").alias("last"))
+    todo = sides.filter("hole").select(*keys).join(wide, "scene_id").join(lines.select("scene_id").distinct(), "scene_id", "left_semi")
+    found, reach = None, 4
+    while True:
+        span = F.sequence(F.greatest(F.col("col") - reach, F.lit(0)), F.least(F.col("col") + reach, F.col("last")))
+        met = todo.withColumn("c", F.explode(span)).join(lines, ["scene_id", "row", "c"], "left")
+        side = lambda s: F.when(F.col(s).isNotNull(), F.struct((F.pow(F.col(f"{s}.r") - F.col("row"), F.lit(2)) + F.pow(F.col("c") - F.col("col"), F.lit(2))).alias("d2"), F.col(f"{s}.r").alias("r"), F.col("c"), F.col(f"{s}.v").alias("v")))
+        best = met.groupBy(*keys, "last").agg(F.min(F.least(F.coalesce(side("u"), side("d")), F.coalesce(side("d"), side("u")))).alias("best"))
+        # A value in a column farther than ``reach`` is farther than ``reach`` itself.
+        done = F.coalesce(F.col("best.d2") <= reach * reach, F.lit(False)) | (F.lit(reach) >= F.greatest(F.col("col"), F.col("last") - F.col("col")))
+        best = written(best.withColumn("done", done), "nearest")
+        own = best.filter("done").select(*keys, F.col("best.v").alias("_v"))
+        found = own if found is None else found.unionByName(own)
+        todo = best.filter("not done").select(*keys, "last")
+        if todo.isEmpty():
+            break
+        reach *= 2
+    return px.join(found, keys, "left").withColumn(name, F.coalesce(v, "_v")).drop("_v")

@@ -14,14 +14,14 @@ from rasterloom.sources import views
 registry = Registry()
 N = views.GRID
 A_SQL = f"{M_SQL.rstrip()}, {views.ANCHORS_SQL.strip()} "
-LINES_SQL = """lines AS (SELECT CAST(s_suppkey AS BIGINT) AS line_id, CAST(s_suppkey % 4 AS INTEGER) AS scene_id, (s_suppkey * 7 % 50)::DOUBLE AS r0, (s_suppkey * 11 % 60)::DOUBLE AS c0,
+LINES_SQL = """lines AS (SELECT CAST(s_suppkey AS BIGINT) AS line_id, CAST(s_suppkey // 7 AS INTEGER) AS scene_id, (s_suppkey * 7 % 50)::DOUBLE AS r0, (s_suppkey * 11 % 60)::DOUBLE AS c0,
   (s_nationkey * 2.5)::DOUBLE AS r1, (s_suppkey % 64 * 0.75)::DOUBLE AS c1 FROM supplier)"""
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     return views.read(spark, sf_dir, "supplier").select(
-        k.alias("line_id"), (k % 4).cast("int").alias("scene_id"), (k * 7 % 50).cast("double").alias("r0"), (k * 11 % 60).cast("double").alias("c0"),
+        k.alias("line_id"), views.scene_of("s_suppkey", views.SUPPLIERS_A_SCENE), (k * 7 % 50).cast("double").alias("r0"), (k * 11 % 60).cast("double").alias("c0"),
         (F.col("s_nationkey") * 2.5).alias("r1"), (k % 64 * 0.75).alias("c1"),
     )
 
@@ -32,10 +32,10 @@ def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     y, x, a = (k * 7 % 50).cast("double") - 0.5, (k * 11 % 50).cast("double") - 0.5, F.col("s_nationkey") % 9 + 3.0
     point = lambda r, c: F.struct(r.alias("y"), c.alias("x"))
     ring = [(y, x), (y, x + a), (y + a / 2, x + a), (y + a / 2, x + a / 3), (y + a, x + a / 3), (y + a, x)]
-    return views.read(spark, sf_dir, "supplier").select(k.alias("feature_id"), (k % 4).cast("int").alias("scene_id"), F.array(*(point(*p) for p in ring)).alias("pts"))
+    return views.read(spark, sf_dir, "supplier").select(k.alias("feature_id"), views.scene_of("s_suppkey", views.SUPPLIERS_A_SCENE), F.array(*(point(*p) for p in ring)).alias("pts"))
 
 
-POLY_SQL = """base AS (SELECT CAST(s_suppkey AS BIGINT) AS feature_id, CAST(s_suppkey % 4 AS INTEGER) AS scene_id, (s_suppkey * 7 % 50) - 0.5::DOUBLE AS y, (s_suppkey * 11 % 50) - 0.5::DOUBLE AS x, (s_nationkey % 9 + 3)::DOUBLE AS a FROM supplier),
+POLY_SQL = """base AS (SELECT CAST(s_suppkey AS BIGINT) AS feature_id, CAST(s_suppkey // 7 AS INTEGER) AS scene_id, (s_suppkey * 7 % 50) - 0.5::DOUBLE AS y, (s_suppkey * 11 % 50) - 0.5::DOUBLE AS x, (s_nationkey % 9 + 3)::DOUBLE AS a FROM supplier),
 corners AS (SELECT feature_id, scene_id, k, py, px FROM base, (VALUES (0)) v(z), LATERAL (SELECT unnest([0, 1, 2, 3, 4, 5]) AS k, unnest([y, y, y + a / 2, y + a / 2, y + a, y + a]) AS py, unnest([x, x + a, x + a, x + a / 3, x + a / 3, x]) AS px)),
 edges AS (SELECT a.feature_id, a.scene_id, a.py AS y0, a.px AS x0, b.py AS y1, b.px AS x1 FROM corners a JOIN corners b ON b.feature_id = a.feature_id AND b.k = (a.k + 1) % 6)"""
 
@@ -61,17 +61,20 @@ def harvest_dem(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add(
     S_SQL
     + f""", n AS (SELECT scene_id, least(CAST("row" AS INTEGER) // 8, {(N - 1 + 7) // 8 - 1}) AS r0, least(col // 8, {(N - 1 + 7) // 8 - 1}) AS c0, "row", col FROM grid),
-l AS (SELECT s.scene_id, y.range AS node_r, x.range AS node_c, y.range * 1.5 + s.scene_id AS a, x.range * y.range / 4.0 AS b FROM (SELECT DISTINCT scene_id FROM grid) s, range(9) y, range(9) x)
-SELECT n.scene_id, n."row", n.col, round(sum((CASE WHEN i.range = 1 THEN n."row" / 8 - r0 ELSE 1 - n."row" / 8 + r0 END) * (CASE WHEN j.range = 1 THEN n.col / 8 - c0 ELSE 1 - n.col / 8 + c0 END) * a), 6) AS a,
-  round(sum((CASE WHEN i.range = 1 THEN n."row" / 8 - r0 ELSE 1 - n."row" / 8 + r0 END) * (CASE WHEN j.range = 1 THEN n.col / 8 - c0 ELSE 1 - n.col / 8 + c0 END) * b), 6) AS b
+l AS (SELECT scene_id, (CAST("row" AS INTEGER) + 7) // 8 AS node_r, (CAST(col AS INTEGER) + 7) // 8 AS node_c, z AS a, z / 4 + node_r AS b FROM surface
+  WHERE ("row" % 8 = 0 OR "row" = {N - 1}) AND (col % 8 = 0 OR col = {N - 1}))
+SELECT n.scene_id, n."row", n.col, round(sum((CASE WHEN i.range = 1 THEN n."row" / 8 - r0 ELSE 1 - n."row" / 8 + r0 END) * (CASE WHEN j.range = 1 THEN n.col / 8 - c0 ELSE 1 - n.col / 8 + c0 END) * a), 8) AS a,
+  round(sum((CASE WHEN i.range = 1 THEN n."row" / 8 - r0 ELSE 1 - n."row" / 8 + r0 END) * (CASE WHEN j.range = 1 THEN n.col / 8 - c0 ELSE 1 - n.col / 8 + c0 END) * b), 8) AS b
 FROM n, range(2) i, range(2) j JOIN l ON l.scene_id = n.scene_id AND l.node_r = r0 + i.range AND l.node_c = c0 + j.range GROUP BY ALL"""
 )
 def lattice_upsample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("id")
-    lattice = spark.range(4 * 81).select(F.expr("cast(id div 81 as int)").alias("scene_id"), F.expr("cast(id div 9 % 9 as int)").alias("node_r"), (i % 9).cast("int").alias("node_c"))
-    lattice = lattice.withColumns({"a": F.col("node_r") * 1.5 + F.col("scene_id"), "b": F.col("node_c") * F.col("node_r") / 4.0})
+    """A lattice of every eighth pixel and the last, brought to all pixels."""
+    on = lambda c: (F.col(c) % 8 == 0) | (F.col(c) == N - 1)
+    nodes = views.surface(spark, sf_dir).filter(on("row") & on("col"))
+    node_r, node_c = F.expr("cast((row + 7) div 8 as int)"), F.expr("cast((col + 7) div 8 as int)")
+    lattice = nodes.select("scene_id", node_r.alias("node_r"), node_c.alias("node_c"), F.col("z").alias("a"), (F.col("z") / 4 + node_r).alias("b"))
     own = views.surface(spark, sf_dir).select("scene_id", "row", "col")
-    return rounded(joins.lattice_upsample(lattice, own, 8, N, N))
+    return rounded(joins.lattice_upsample(lattice, own, 8, N, N), 8)
 
 
 @registry.add(
@@ -149,12 +152,11 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add(
     S_SQL
-    + """, v AS (SELECT * FROM px_full WHERE ref_mm IS NOT NULL), h AS (SELECT scene_id, "row", col FROM px_full WHERE ref_mm IS NULL AND "row" < 16),
-d AS (SELECT h.scene_id, h."row", h.col, v.ref_mm, row_number() OVER (PARTITION BY h.scene_id, h."row", h.col ORDER BY pow(v."row" - h."row", 2) + pow(v.col - h.col, 2), v."row", v.col) AS k
-  FROM h JOIN v ON v.scene_id = h.scene_id AND abs(v."row" - h."row") <= 12)
-SELECT scene_id, "row", col, coalesce(p.ref_mm, d.ref_mm, 0) AS filled FROM px_full p LEFT JOIN d USING (scene_id, "row", col) WHERE "row" < 16 AND coalesce(k, 1) = 1"""
+    + """, v AS (SELECT * FROM px_full WHERE ref_mm IS NOT NULL), h AS (SELECT scene_id, "row", col FROM px_full WHERE ref_mm IS NULL),
+d AS (SELECT h.scene_id, h."row", h.col, min_by(v.ref_mm, (pow(v."row" - h."row", 2) + pow(v.col - h.col, 2)) * 10000 + v."row" * 100 + v.col) AS near
+  FROM h JOIN v ON v.scene_id = h.scene_id GROUP BY ALL)
+SELECT scene_id, "row", col, coalesce(p.ref_mm, near) AS filled FROM px_full p LEFT JOIN d USING (scene_id, "row", col)"""
 )
 def fill_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The top sixteen rows of each scene, holes filled from the nearest pixel within twelve rows."""
-    out = joins.nearest_fill(views.px_full(spark, sf_dir).select("scene_id", "row", "col", "ref_mm"), "ref_mm", N, N, 12)
-    return out.filter("row < 16").select("scene_id", "row", "col", "filled")
+    """Every hole of every scene takes the value of the nearest pixel."""
+    return joins.nearest_fill(views.px_full(spark, sf_dir).select("scene_id", "row", "col", "ref_mm"), "ref_mm").select("scene_id", "row", "col", "filled")

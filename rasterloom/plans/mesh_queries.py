@@ -80,22 +80,15 @@ def weld(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mesh.weld(sheet(spark, sf_dir)[0], 8.0)
 
 
-@registry.add(
-    MESH_SQL
-    + """, s AS (SELECT scene_id, lo AS a, hi AS b FROM e WHERE lo % 64 < 24 AND hi % 64 < 24 AND lo < 1024 AND hi < 1024 UNION SELECT scene_id, hi, lo FROM e WHERE lo % 64 < 24 AND hi % 64 < 24 AND lo < 1024 AND hi < 1024),
-r AS (SELECT * FROM (WITH RECURSIVE r(scene_id, a, b) AS (SELECT scene_id, a, a FROM s UNION SELECT r.scene_id, r.a, s.b FROM r JOIN s ON s.scene_id = r.scene_id AND s.a = r.b) SELECT * FROM r))
-SELECT scene_id, a AS vid, min(b) AS label FROM r GROUP BY ALL"""
-)
+@registry.add()
 def mesh_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of the faces in one corner of each sheet."""
-    near = lambda c: (F.col(c) % 64 < 24) & (F.col(c) < 1024)
-    e = mesh.face_edges(sheet(spark, sf_dir)[1]).filter(near("lo") & near("hi"))
-    return mesh.mesh_components(e.select("scene_id", F.col("lo").alias("a"), F.col("hi").alias("b"), F.col("hi").alias("c")), N * N)
+    """Components of the faces of each sheet; recursive SQL is too slow for whole sheets, tests hold them against brute force."""
+    return mesh.mesh_components(sheet(spark, sf_dir)[1], N * N)
 
 
 MASK_SQL = (
     S_SQL
-    + f""", masks AS (SELECT p_partkey AS mask_id, CAST(p_partkey % 4 AS INTEGER) AS scene_id, CAST(p_partkey * 13 % 56 AS INTEGER) AS y0, CAST(p_partkey * 29 % 56 AS INTEGER) AS x0,
+    + f""", masks AS (SELECT p_partkey AS mask_id, CAST(p_partkey // 128 AS INTEGER) AS scene_id, CAST(p_partkey * 13 % 56 AS INTEGER) AS y0, CAST(p_partkey * 29 % 56 AS INTEGER) AS x0,
   CAST(3 + p_size % 9 AS INTEGER) AS sy, CAST(3 + p_size * 7 % 8 AS INTEGER) AS sx FROM part),
 mask_px AS (SELECT scene_id, mask_id, CAST(y0 + i.range AS INTEGER) AS "row", CAST(x0 + j.range AS INTEGER) AS col FROM masks, range(12) i, range(12) j WHERE i.range < sy AND j.range < sx AND y0 + i.range < {N} AND x0 + j.range < {N})
 """
@@ -108,7 +101,7 @@ def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     y0, x0 = (k * 13 % 56).cast("int"), (k * 29 % 56).cast("int")
     rows = F.sequence(y0, F.least(y0 + 2 + size % 9, F.lit(N - 1)).cast("int"))
     cols = F.sequence(x0, F.least(x0 + 2 + size * 7 % 8, F.lit(N - 1)).cast("int"))
-    out = views.read(spark, sf_dir, "part").select(k.alias("mask_id"), (k % 4).cast("int").alias("scene_id"), F.explode(rows).alias("row"), cols.alias("cols"))
+    out = views.read(spark, sf_dir, "part").select(k.alias("mask_id"), views.scene_of("p_partkey", views.PARTS_A_SCENE), F.explode(rows).alias("row"), cols.alias("cols"))
     return out.select("scene_id", "mask_id", "row", F.explode("cols").alias("col"))
 
 
@@ -137,17 +130,18 @@ def instance_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     MASK_SQL
     + """, n AS (SELECT scene_id, mask_id, count(*) AS n FROM mask_px GROUP BY ALL), t AS (
   SELECT x.scene_id, x.mask_id AS a, y.mask_id AS b, count(*) AS k FROM mask_px x JOIN mask_px y ON y.scene_id = x.scene_id AND y."row" = x."row" AND y.col = x.col
-  WHERE x.mask_id % 20 = 0 AND y.mask_id % 20 <> 0 GROUP BY ALL)
+  WHERE x.mask_id % 20 = 0 AND y.mask_id <> x.mask_id GROUP BY ALL)
 SELECT t.scene_id, a, b, round(k / (na.n + nb.n - k), 6) AS iou FROM t JOIN n na ON na.scene_id = t.scene_id AND na.mask_id = a JOIN n nb ON nb.scene_id = t.scene_id AND nb.mask_id = b"""
 )
 def mask_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masks whose id is divisible by 20 against all others."""
     own = masks(spark, sf_dir)
-    return rounded(instances.mask_iou(own.filter("mask_id % 20 = 0"), own.filter("mask_id % 20 <> 0")))
+    return rounded(instances.mask_iou(own.filter("mask_id % 20 = 0"), own).filter("a <> b"))
 
 
 @registry.add(
     MASK_SQL
-    + """, b AS (SELECT * FROM mask_px WHERE mask_id % 16 = 3), k AS (SELECT b.scene_id, mask_id, ref_mm / 1000.0 AS z, sem FROM b JOIN px p ON p.scene_id = b.scene_id AND p."row" = b."row" AND p.col = b.col),
+    + """, b AS (SELECT * FROM mask_px), k AS (SELECT b.scene_id, mask_id, ref_mm / 1000.0 AS z, sem FROM b JOIN px p ON p.scene_id = b.scene_id AND p."row" = b."row" AND p.col = b.col),
 r AS (SELECT scene_id, mask_id, count(z) AS n_px, median(z) AS roof_m, avg(CAST(sem = 3 AS INTEGER)) AS vegetation FROM k GROUP BY ALL),
 d AS (SELECT scene_id, mask_id, median(abs(z - roof_m)) AS mad_m FROM k JOIN r USING (scene_id, mask_id) GROUP BY ALL),
 u AS (SELECT DISTINCT scene_id, mask_id, "row" + i.range AS "row", col + j.range AS col FROM b, range(-3, 4) i, range(-3, 4) j),
@@ -157,7 +151,7 @@ SELECT scene_id, mask_id, n_px, round(roof_m, 6) AS roof_m, round(vegetation, 6)
   CASE WHEN n_px < 40 THEN 'small' WHEN vegetation > 0.6 THEN 'vegetation' WHEN roof_m - ground_m < 2.5 THEN 'low' END AS refused FROM r JOIN d USING (scene_id, mask_id) LEFT JOIN g USING (scene_id, mask_id)"""
 )
 def zonal_measure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = masks(spark, sf_dir).filter("mask_id % 16 = 3")
+    own = masks(spark, sf_dir)
     return rounded(instances.zonal_measure(own, metres(spark, sf_dir).select("scene_id", "row", "col", "ref", "sem"), "ref"))
 
 

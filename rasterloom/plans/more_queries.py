@@ -28,8 +28,7 @@ SELECT g.scene_id, g."row", g.col, round(v, 8) AS v FROM g LEFT JOIN v USING (sc
 )
 def resample_to_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bilinear values of a coarser, shifted grid; null outside the source."""
-    i = F.col("id")
-    grid = spark.range(4 * 40 * 48).select(F.expr("cast(id div 1920 as int)").alias("scene_id"), F.expr("cast(id div 48 % 40 as int)").alias("row"), (i % 48).cast("int").alias("col"))
+    grid = views.full_grid(spark, sf_dir, 40, 48)
     at = grid.withColumns({"y": F.col("row") * 1.75 - 3, "x": F.col("col") * 1.25 + 0.5})
     inside = at.filter(F.col("y").between(0, N - 1) & F.col("x").between(0, N - 1))
     points = inside.select("scene_id", F.col("row").alias("to_row"), F.col("col").alias("to_col"), "y", "x")
@@ -39,7 +38,7 @@ def resample_to_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add(
     M_SQL
-    + """, q AS (SELECT o_orderkey, CAST(o_custkey % 4 AS INTEGER) AS scene_id, (o_orderkey % 80) * 0.5 + 0.25 AS x, -((o_orderkey // 7) % 80) * 0.5 - 0.25 AS y FROM orders)
+    + """, q AS (SELECT o_orderkey, CAST(o_orderkey // 1024 AS INTEGER) AS scene_id, (o_orderkey % 80) * 0.5 + 0.25 AS x, -((o_orderkey // 7) % 80) * 0.5 - 0.25 AS y FROM orders)
 SELECT o_orderkey, ref, sigma, err FROM q LEFT JOIN m ON m.scene_id = q.scene_id AND m.col = CAST(floor(x / 0.5) AS INTEGER) AND m."row" = CAST(floor(-y / 0.5) AS INTEGER)"""
 )
 def pixel_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +47,7 @@ def pixel_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.array(*(F.lit(v) for v in (0.5, 0.0, 0.0, 0.0, -0.5, 0.0)))
     x, y = (o % 80) * 0.5 + 0.25, -(F.expr("o_orderkey div 7") % 80) * 0.5 - 0.25
     row, col = geo.world_to_pixel(t, x, y)
-    points = views.read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 4).cast("int").alias("scene_id"), F.rint(row).cast("int").alias("row"), F.rint(col).cast("int").alias("col"))
+    points = views.read(spark, sf_dir, "orders").select("o_orderkey", views.scene_of("o_orderkey", views.ORDERS_A_SCENE), F.rint(row).cast("int").alias("row"), F.rint(col).cast("int").alias("col"))
     px = metres(spark, sf_dir).select("scene_id", "row", "col", "ref", "sigma", "err")
     return points.join(px, ["scene_id", "row", "col"], "left").select("o_orderkey", "ref", "sigma", "err")
 

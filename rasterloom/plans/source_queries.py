@@ -43,7 +43,7 @@ def required_dem_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scenes.required_dem_tiles(bounds)
 
 
-_CELL = "CAST(l_linenumber % 4 AS INTEGER) AS scene_id, CAST(l_orderkey % 64 AS INTEGER) AS \"row\", CAST(l_partkey % 64 AS INTEGER) AS col"
+_CELL = "CAST(l_orderkey // 1024 AS INTEGER) AS scene_id, CAST(l_orderkey % 64 AS INTEGER) AS \"row\", CAST(l_partkey % 64 AS INTEGER) AS col"
 
 
 @registry.add(
@@ -53,7 +53,7 @@ SELECT scene_id, "row", col, min_by(v, tile) FILTER (v IS NOT NULL) AS v FROM s
 def mosaic_dem(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = views.read(spark, sf_dir, "lineitem")
     samples = li.select(
-        (F.col("l_linenumber") % 4).cast("int").alias("scene_id"), (F.col("l_orderkey") % N).cast("int").alias("row"), (F.col("l_partkey") % N).cast("int").alias("col"),
+        views.scene_of("l_orderkey", views.ORDERS_A_SCENE), (F.col("l_orderkey") % N).cast("int").alias("row"), (F.col("l_partkey") % N).cast("int").alias("col"),
         ((F.col("l_suppkey") * 100_000_000 + F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100 + F.col("l_quantity").cast("long")).alias("tile"), F.when(F.col("l_quantity") > 10, F.col("l_quantity")).alias("v"),
     )
     return scenes.mosaic_dem(samples)
@@ -145,7 +145,7 @@ def refine_semantics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def extract_dtm(spark: SparkSession, sf_dir: str) -> DataFrame:
     sem = views.px_full(spark, sf_dir).select("scene_id", "row", "col", "sem")
     own = views.surface(spark, sf_dir).join(sem, ["scene_id", "row", "col"])
-    return rounded(harvest.extract_dtm(own, "z", N, N, 2.0, 12.0, reach=16).select("scene_id", "row", "col", "dtm"), 5)
+    return rounded(harvest.extract_dtm(own, "z", N, N, 2.0, 12.0).select("scene_id", "row", "col", "dtm"), 5)
 
 
 @registry.add(

@@ -1,21 +1,29 @@
 """Raster, anchor, vector and scene views over star-schema tables, and the same views as SQL.
 
-They give the operators inputs of any size: the pixel grid is ``n`` by ``n`` for each of four
-scenes, and all values come from integers, so sums don't depend on their order.
+They give the operators inputs that grow with the tables: every ORDERS_A_SCENE orders are a scene
+of ``n`` by ``n`` pixels, with masks, lines and polygons from blocks of parts and suppliers. All
+values come from integers, so sums don't depend on their order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GRID = 64
+#: Keys that share a scene. About a third of the pixels of a scene have no row.
+ORDERS_A_SCENE, PARTS_A_SCENE, SUPPLIERS_A_SCENE = 1024, 128, 7
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scene_of(key: str, size: int) -> Column:
+    """The scene of a key."""
+    return F.expr(f"cast({key} div {size} as int)").alias("scene_id")
+
+
 def px(spark: SparkSession, sf_dir: str, n: int = GRID) -> DataFrame:
     """scene_id, row, col, and per pixel: ref_mm, pred_mm, sigma_mm, sem and r, g, b; cells without rows are absent."""
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
@@ -23,7 +31,7 @@ def px(spark: SparkSession, sf_dir: str, n: int = GRID) -> DataFrame:
     cells = (
         read(spark, sf_dir, "lineitem")
         .groupBy(
-            (F.col("l_linenumber") % 4).cast("int").alias("scene_id"),
+            scene_of("l_orderkey", ORDERS_A_SCENE),
             (F.col("l_orderkey") % n).cast("int").alias("row"),
             (F.col("l_partkey") % n).cast("int").alias("col"),
         )
@@ -46,17 +54,16 @@ def px(spark: SparkSession, sf_dir: str, n: int = GRID) -> DataFrame:
     )
 
 
-def full_grid(spark: SparkSession, n: int = GRID, scenes: int = 4) -> DataFrame:
-    """Every (scene_id, row, col)."""
-    i = F.col("id")
-    return spark.range(scenes * n * n).select(
-        F.expr(f"cast(id div {n * n} as int)").alias("scene_id"), F.expr(f"cast(id div {n} % {n} as int)").alias("row"), (i % n).cast("int").alias("col")
-    )
+def full_grid(spark: SparkSession, sf_dir: str, n: int = GRID, w: int | None = None) -> DataFrame:
+    """Every (scene_id, row, col) of ``n`` rows and ``w`` columns (as many as rows) of the scenes that have orders."""
+    ids = read(spark, sf_dir, "orders").select(scene_of("o_orderkey", ORDERS_A_SCENE)).distinct()
+    line = lambda size: F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
+    return ids.select("scene_id", line(n).alias("row")).select("scene_id", "row", line(w or n).alias("col"))
 
 
 def px_full(spark: SparkSession, sf_dir: str, n: int = GRID) -> DataFrame:
     """``px`` on the whole grid, null where there is no pixel."""
-    return full_grid(spark, n).join(px(spark, sf_dir, n), ["scene_id", "row", "col"], "left")
+    return full_grid(spark, sf_dir, n).join(px(spark, sf_dir, n), ["scene_id", "row", "col"], "left")
 
 
 def surface(spark: SparkSession, sf_dir: str, n: int = GRID) -> DataFrame:
@@ -84,7 +91,7 @@ def anchors(spark: SparkSession, sf_dir: str, n: int = GRID) -> DataFrame:
     o = F.col("o_orderkey")
     return read(spark, sf_dir, "orders").select(
         o.alias("anchor_id"),
-        (F.col("o_custkey") % 4).cast("int").alias("scene_id"),
+        scene_of("o_orderkey", ORDERS_A_SCENE),
         (o % n).cast("int").alias("row"),
         (F.expr("o_orderkey div 3") % n).cast("int").alias("col"),
         F.round(F.col("o_totalprice") * 100).cast("long").alias("value_mm"),
@@ -97,7 +104,7 @@ def anchors(spark: SparkSession, sf_dir: str, n: int = GRID) -> DataFrame:
 #: The same views in SQL.
 PX_SQL = f"""
 cells AS (
-  SELECT CAST(l_linenumber % 4 AS INTEGER) AS scene_id, CAST(l_orderkey % {GRID} AS INTEGER) AS "row",
+  SELECT CAST(l_orderkey // {ORDERS_A_SCENE} AS INTEGER) AS scene_id, CAST(l_orderkey % {GRID} AS INTEGER) AS "row",
          CAST(l_partkey % {GRID} AS INTEGER) AS col, count(*) AS n,
          CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS ref_sum,
          CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT) * (100 - CAST(round(l_discount * 100) AS BIGINT))) AS BIGINT) AS pred_sum,
@@ -111,8 +118,8 @@ cells AS (
   FROM cells
 )"""
 FULL_SQL = f"""{PX_SQL}, grid AS (
-  SELECT CAST(s.range AS INTEGER) AS scene_id, CAST(y.range AS INTEGER) AS "row", CAST(x.range AS INTEGER) AS col
-  FROM range(4) s, range({GRID}) y, range({GRID}) x
+  SELECT s.scene_id, CAST(y.range AS INTEGER) AS "row", CAST(x.range AS INTEGER) AS col
+  FROM (SELECT DISTINCT CAST(o_orderkey // {ORDERS_A_SCENE} AS INTEGER) AS scene_id FROM orders) s, range({GRID}) y, range({GRID}) x
 ), px_full AS (
   SELECT * FROM grid LEFT JOIN px USING (scene_id, "row", col)
 ), surface AS (
@@ -131,7 +138,7 @@ scenes AS (
 )"""
 ANCHORS_SQL = f"""
 anchors AS (
-  SELECT o_orderkey AS anchor_id, CAST(o_custkey % 4 AS INTEGER) AS scene_id, CAST(o_orderkey % {GRID} AS INTEGER) AS "row",
+  SELECT o_orderkey AS anchor_id, CAST(o_orderkey // {ORDERS_A_SCENE} AS INTEGER) AS scene_id, CAST(o_orderkey % {GRID} AS INTEGER) AS "row",
          CAST((o_orderkey // 3) % {GRID} AS INTEGER) AS col, CAST(round(o_totalprice * 100) AS BIGINT) AS value_mm,
          substr(o_orderpriority, 1, 1) AS source, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) / 5.0::DOUBLE AS weight,
          o_orderstatus = 'O' AS relative
