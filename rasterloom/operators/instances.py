@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rasterloom.operators import focal
+
 
 def mask_bbox(mask_px: DataFrame) -> DataFrame:
     """scene_id, mask_id, area_px and the inclusive box y0, x0, y1, x1."""
@@ -28,6 +31,22 @@ def paint_instances(mask_px: DataFrame, least: int = 0) -> tuple[DataFrame, Data
     return records.select("scene_id", "instance", "mask_id", "area_px", "visible_px"), shown
 
 
+def write_instances(records: DataFrame, pixels: DataFrame, path: str) -> None:
+    """Writes the records and the id map of ``paint_instances``."""
+    records.write.parquet(f"{path}/records")
+    pixels.select("scene_id", "row", "col", "instance").write.parquet(f"{path}/pixels")
+
+
+def read_instances(spark: SparkSession, path: str, grid: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """(records, pixels with ``boundary``, taken anew on ``grid``); None where nothing is stored."""
+    try:
+        records, pixels = spark.read.parquet(f"{path}/records"), spark.read.parquet(f"{path}/pixels")
+    except AnalysisException:
+        return None
+    whole = grid.join(pixels.select("scene_id").distinct(), "scene_id", "left_semi").join(pixels, ["scene_id", "row", "col"], "left")
+    return records, focal.boundaries(whole, "instance").filter("instance is not null")
+
+
 def mask_iou(a: DataFrame, b: DataFrame) -> DataFrame:
     """scene_id, a, b and IoU of every two masks that share a pixel; pairs come from shared pixels, not from all pairs."""
     na = a.groupBy("scene_id", F.col("mask_id").alias("a")).agg(F.count("*").alias("na"))

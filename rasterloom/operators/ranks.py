@@ -14,20 +14,20 @@ def quantiles(df: DataFrame, value: str, at: tuple[float, ...], by: tuple[str, .
     group sees one row a block, one over a block at most ``cells`` rows, so no task holds the
     values of a whole group. Nulls don't count; groups without a value are absent.
     """
-    k = F.round(F.col(value) / step).cast("long")
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, k.alias("k")).agg(F.count("*").alias("n")).withColumn("block", F.floor(F.col("k") / cells))
-    upto = W.partitionBy(*by).orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    blocks = counts.groupBy(*by, "block").agg(F.sum("n").alias("size"))
-    blocks = blocks.select(*by, "block", F.coalesce(F.sum("size").over(upto), F.lit(0)).alias("start"), F.sum("size").over(W.partitionBy(*by)).alias("whole"))
-    inner = W.partitionBy(*by, "block").orderBy("k")
-    own = counts.join(blocks, [*by, "block"]).withColumn("end", F.col("start") + F.sum("n").over(inner))
-    own = own.withColumn("first", F.col("end") - F.col("n"))
+    step_no = F.round(F.col(value) / step).cast("long")
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, step_no.alias("_k")).agg(F.count("*").alias("_n")).withColumn("_block", F.floor(F.col("_k") / cells))
+    upto = W.partitionBy(*by).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = counts.groupBy(*by, "_block").agg(F.sum("_n").alias("_size"))
+    blocks = blocks.select(*by, "_block", F.coalesce(F.sum("_size").over(upto), F.lit(0)).alias("_start"), F.sum("_size").over(W.partitionBy(*by)).alias("_whole"))
+    inner = W.partitionBy(*by, "_block").orderBy("_k")
+    own = counts.join(blocks, [*by, "_block"]).withColumn("_end", F.col("_start") + F.sum("_n").over(inner))
+    own = own.withColumn("_first", F.col("_end") - F.col("_n"))
     low, high = [], []
     for q in at:
-        place = q * (F.col("whole") - 1)
+        place = q * (F.col("_whole") - 1)
         for out, spot in ((low, F.floor(place)), (high, F.ceil(place))):
-            out.append(F.max(F.when((F.col("first") <= spot) & (spot < F.col("end")), F.col("k"))))
-    parts = own.groupBy(*by, "whole").agg(F.array(*low).alias("lo"), F.array(*high).alias("hi"))
-    share = [q * (F.col("whole") - 1) - F.floor(q * (F.col("whole") - 1)) for q in at]
-    ends = [(F.col("lo")[i] + f * (F.col("hi")[i] - F.col("lo")[i])) * step for i, f in enumerate(share)]
+            out.append(F.max(F.when((F.col("_first") <= spot) & (spot < F.col("_end")), F.col("_k"))))
+    parts = own.groupBy(*by, "_whole").agg(F.array(*low).alias("_lo"), F.array(*high).alias("_hi"))
+    share = [q * (F.col("_whole") - 1) - F.floor(q * (F.col("_whole") - 1)) for q in at]
+    ends = [(F.col("_lo")[i] + f * (F.col("_hi")[i] - F.col("_lo")[i])) * step for i, f in enumerate(share)]
     return parts.select(*by, F.array(*ends).alias("q"))

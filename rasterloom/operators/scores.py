@@ -165,3 +165,11 @@ def mask_quality(mask: DataFrame, px: DataFrame, height: str, least: float = 2.5
         F.try_divide(F.count_if(on & tall), F.count_if(tall)).alias("recall"),
         F.try_divide(F.count_if(on & tall), F.count_if(on)).alias("precision"),
     )
+
+
+def metrics_table(records: DataFrame, order: tuple[str, ...], digits: int = 3) -> DataFrame:
+    """place, metric and mean, least and most over scenes as text of fixed digits; metrics in the given order, those not named are left out."""
+    long = records.unpivot([], list(order), "metric", "v").groupBy("metric").agg(F.avg("v").alias("mean"), F.min("v").alias("least"), F.max("v").alias("most"))
+    shown = lambda c: F.format_string(f"%.{digits}f", F.col(c)).alias(c)
+    place = F.array_position(F.array(*(F.lit(m) for m in order)), F.col("metric")).cast("int")
+    return long.select(place.alias("place"), "metric", shown("mean"), shown("least"), shown("most"))

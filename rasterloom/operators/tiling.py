@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions import encode
+from rasterloom.operators import focal
 
 
 def cut_tiles(px: DataFrame, v: str, h: int, w: int, tile: int = 512, pad: int = 1) -> DataFrame:
@@ -90,3 +91,16 @@ def quantisation_sweep(px: DataFrame, layers: list[str], bits: tuple[int, ...] =
     fine = F.col("worst") <= 0.001 * F.col("span")
     cheapest = out.groupBy(by, "layer").agg(F.min(F.when(fine, F.col("bits"))).alias("cheapest"))
     return out.join(cheapest, [by, "layer"]).select(by, "layer", "bits", "step", "worst", F.try_divide("worst", "span").alias("worst_share"), "n_codes", "cheapest")
+
+
+def roundtrip_report(px: DataFrame, layers: list[str], levels: int, h: int, w: int) -> DataFrame:
+    """scene_id, lod, layer, the largest error of each coding after decoding, and whether both stay within half a step."""
+    long = focal.pyramid(px, levels, h, w).unpivot(["scene_id", "lod"], layers, "layer", "v").filter(F.col("v").isNotNull())
+    ends = long.groupBy("scene_id", "layer").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
+    met = long.join(ends, ["scene_id", "layer"])
+    terrain = F.abs(encode.decode_terrain_rgb(*encode.encode_terrain_rgb(v)) - v)
+    linear = F.abs(encode.decode_linear(*encode.encode_linear(v, lo, hi), lo, encode.widened(lo, hi)) - v)
+    out = met.groupBy("scene_id", "lod", "layer", "lo", "hi").agg(F.max(terrain).alias("terrain_error"), F.max(linear).alias("linear_error"))
+    fine = (F.col("terrain_error") <= encode.STEP_M / 2 + 1e-6) & (F.col("linear_error") <= (encode.widened(lo, hi) - lo) / encode.MAX_CODE / 2 + 1e-6)
+    return out.withColumn("within", fine).drop("lo", "hi")

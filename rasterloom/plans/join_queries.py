@@ -63,8 +63,8 @@ def harvest_dem(spark: SparkSession, sf_dir: str) -> DataFrame:
     + f""", n AS (SELECT scene_id, least(CAST("row" AS INTEGER) // 8, {(N - 1 + 7) // 8 - 1}) AS r0, least(col // 8, {(N - 1 + 7) // 8 - 1}) AS c0, "row", col FROM grid),
 l AS (SELECT scene_id, (CAST("row" AS INTEGER) + 7) // 8 AS node_r, (CAST(col AS INTEGER) + 7) // 8 AS node_c, z AS a, z / 4 + node_r AS b FROM surface
   WHERE ("row" % 8 = 0 OR "row" = {N - 1}) AND (col % 8 = 0 OR col = {N - 1}))
-SELECT n.scene_id, n."row", n.col, round(sum((CASE WHEN i.range = 1 THEN n."row" / 8 - r0 ELSE 1 - n."row" / 8 + r0 END) * (CASE WHEN j.range = 1 THEN n.col / 8 - c0 ELSE 1 - n.col / 8 + c0 END) * a), 8) AS a,
-  round(sum((CASE WHEN i.range = 1 THEN n."row" / 8 - r0 ELSE 1 - n."row" / 8 + r0 END) * (CASE WHEN j.range = 1 THEN n.col / 8 - c0 ELSE 1 - n.col / 8 + c0 END) * b), 8) AS b
+SELECT n.scene_id, n."row", n.col, round(sum((CASE WHEN i.range = 1 THEN n."row" / 8 - r0 ELSE 1 - n."row" / 8 + r0 END) * (CASE WHEN j.range = 1 THEN n.col / 8 - c0 ELSE 1 - n.col / 8 + c0 END) * a), 12) AS a,
+  round(sum((CASE WHEN i.range = 1 THEN n."row" / 8 - r0 ELSE 1 - n."row" / 8 + r0 END) * (CASE WHEN j.range = 1 THEN n.col / 8 - c0 ELSE 1 - n.col / 8 + c0 END) * b), 12) AS b
 FROM n, range(2) i, range(2) j JOIN l ON l.scene_id = n.scene_id AND l.node_r = r0 + i.range AND l.node_c = c0 + j.range GROUP BY ALL"""
 )
 def lattice_upsample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +74,7 @@ def lattice_upsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     node_r, node_c = F.expr("cast((row + 7) div 8 as int)"), F.expr("cast((col + 7) div 8 as int)")
     lattice = nodes.select("scene_id", node_r.alias("node_r"), node_c.alias("node_c"), F.col("z").alias("a"), (F.col("z") / 4 + node_r).alias("b"))
     own = views.surface(spark, sf_dir).select("scene_id", "row", "col")
-    return rounded(joins.lattice_upsample(lattice, own, 8, N, N), 8)
+    return rounded(joins.lattice_upsample(lattice, own, 8, N, N), 12)
 
 
 @registry.add(
