@@ -199,8 +199,8 @@ def _take(pattern: np.ndarray, times: int, left: np.ndarray) -> int:
 def fitted_plan(left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a sequence, repeats) by least squares; takes the pieces that they hold out of the histogram ``left``.
 
-    Counts are rounded down, and the largest remainders up; what is left is fitted again, while
-    that places pieces.
+    Counts are rounded down, and the largest remainders up; at most 4 patterns for each possible
+    length are taken. What is left is fitted again, while that places pieces.
     """
     most, plan = len(left) - 1, []
     for _ in range(FITS):
@@ -215,7 +215,9 @@ def fitted_plan(left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
         whole = np.floor(counts).astype(np.int64)
         whole[np.argsort(whole - counts, kind="stable")[: round(float((counts - whole).sum()))]] += 1
         placed = 0
-        for k in np.argsort(-whole, kind="stable")[: np.count_nonzero(whole)]:
+        # The patterns of largest counts, a few for each length, so the plan's size has a bound that no corpus moves;
+        # what the others would hold is fitted again, or packed best-fit.
+        for k in np.argsort(-whole, kind="stable")[: min(np.count_nonzero(whole), 4 * most)]:
             if n := _take(patterns[k], int(whole[k]), left):
                 plan.append((tuple(int(x) for x in patterns[k] if x), n))
                 placed += n
