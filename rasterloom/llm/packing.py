@@ -211,13 +211,15 @@ def fitted_plan(left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
         patterns = patterns[patterns.sum(1) >= most - most // 256]
         if not len(patterns):
             break
-        counts = fit_counts(patterns, left)
+        # A fit spreads over very many patterns; those of largest counts, a few for each length, are fitted
+        # again alone, so the plan's size has a bound that no corpus moves.
+        best = np.argsort(-fit_counts(patterns, left), kind="stable")[: 4 * most]
+        patterns = patterns[best]
+        counts = fit_counts(patterns, left, 400)
         whole = np.floor(counts).astype(np.int64)
         whole[np.argsort(whole - counts, kind="stable")[: round(float((counts - whole).sum()))]] += 1
         placed = 0
-        # The patterns of largest counts, a few for each length, so the plan's size has a bound that no corpus moves;
-        # what the others would hold is fitted again, or packed best-fit.
-        for k in np.argsort(-whole, kind="stable")[: min(np.count_nonzero(whole), 4 * most)]:
+        for k in np.argsort(-whole, kind="stable")[: np.count_nonzero(whole)]:
             if n := _take(patterns[k], int(whole[k]), left):
                 plan.append((tuple(int(x) for x in patterns[k] if x), n))
                 placed += n
