@@ -28,11 +28,11 @@ def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return focal.gaussian(views.surface(spark, sf_dir), "z", 1.5, N, N).withColumn("high", F.col("z") - F.col("low")).drop("low")
 
 
-@registry.add(S_SQL + LOW_SQL + ', f AS (SELECT scene_id, avg(z) / 10 AS a, min(z) AS b FROM surface GROUP BY scene_id) SELECT scene_id, "row", col, round(a * z + b, 5) AS raw_m, round(a * high + b, 5) AS height_m FROM bands JOIN f USING (scene_id)')
+@registry.add(S_SQL + LOW_SQL + ', f AS (SELECT scene_id, sqrt(avg(z)) AS a, min(z) AS b FROM surface GROUP BY scene_id) SELECT scene_id, "row", col, round(a * z + b, 5) AS raw_m, round(a * high + b, 5) AS height_m FROM bands JOIN f USING (scene_id)')
 def apply_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heights from depth, and from the high band of a dual-branch field, by one line a scene."""
     own = bands(spark, sf_dir)
-    fit = own.groupBy("scene_id").agg((F.avg("z") / 10).alias("a"), F.min("z").alias("b"))
+    fit = own.groupBy("scene_id").agg(F.sqrt(F.avg("z")).alias("a"), F.min("z").alias("b"))
     out = surfaces.apply_calibration(own.join(fit, "scene_id"), "z", name="raw_m")
     return rounded(surfaces.apply_calibration(out, "z", "high").select("scene_id", "row", "col", "raw_m", "height_m"), 5)
 
@@ -111,14 +111,14 @@ def cast_shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surfaces.cast_shadow(views.surface(spark, sf_dir), "z", _AZ, _EL, 2.0, N, N, 12, 32)
 
 
-_FEATURES_SQL = S_SQL + LOW_SQL + """, f AS (SELECT b.scene_id, round(quantile_cont(round(high, 3), 0.99), 3) AS hi_p99, round(stddev_pop(high), 4) AS hi_std, round(quantile_cont(z, 0.99) - quantile_cont(z, 0.01), 4) AS rd_range, 0.5::DOUBLE AS gsd_m FROM bands b GROUP BY scene_id),
-d AS (SELECT scene_id, round(quantile_cont(pred_mm / 1000.0, 0.99) - quantile_cont(pred_mm / 1000.0, 0.01), 4) AS dem_relief_m FROM px GROUP BY scene_id)"""
+_FEATURES_SQL = S_SQL + LOW_SQL + """, f AS (SELECT b.scene_id, round(quantile_cont(round(high, 3), 0.99), 3) AS hi_p99, round(stddev_pop(high), 4) AS hi_std, round(quantile_cont(z, 0.99) - quantile_cont(z, 0.01), 6) AS rd_range, 0.5::DOUBLE AS gsd_m FROM bands b GROUP BY scene_id),
+d AS (SELECT scene_id, round(quantile_cont(pred_mm / 1000.0, 0.99) - quantile_cont(pred_mm / 1000.0, 0.01), 6) AS dem_relief_m FROM px GROUP BY scene_id)"""
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     dem = views.px(spark, sf_dir).select("scene_id", "row", "col", (F.col("pred_mm") / 1000.0).alias("dem"))
     out = surfaces.scene_features(bands(spark, sf_dir).join(dem, ["scene_id", "row", "col"], "left"), "z", "high", "dem", 0.5)
-    return out.select("scene_id", F.round("hi_p99", 3).alias("hi_p99"), *(F.round(c, 4).alias(c) for c in ("hi_std", "rd_range")), "gsd_m", F.round("dem_relief_m", 4).alias("dem_relief_m"))
+    return out.select("scene_id", F.round("hi_p99", 3).alias("hi_p99"), F.round("hi_std", 4).alias("hi_std"), F.round("rd_range", 6).alias("rd_range"), "gsd_m", F.round("dem_relief_m", 6).alias("dem_relief_m"))
 
 
 @registry.add(_FEATURES_SQL + " SELECT * FROM f LEFT JOIN d USING (scene_id)")
