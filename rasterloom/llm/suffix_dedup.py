@@ -17,6 +17,12 @@ right context of W - d bytes. The job:
    with the order. Together with the same for left contexts they say, for each d, which
    windows are equal.
 4. Repeated windows become byte ranges of their documents.
+
+A GRAM-byte string that more than RANGE distinct contexts start with (a line that stands in many
+different surroundings) would be one range that nothing can split. Its contexts are split by d
+into bands first (STEPS): all windows of a band of w places share W - w + 1 bytes, so each band is
+an anchor of its own, shifted to the start of these bytes, and goes through steps 1 to 3 with that
+longer string as its first bytes. The last bands are single windows: all its distinct keys differ.
 """
 
 from __future__ import annotations
@@ -27,6 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +42,8 @@ from rasterloom.llm.common import batches_of, hash_sample, mix64, texts, written
 W, GRAM = 200, 40
 #: Places of an anchor within its window.
 PLACES = W - GRAM + 1
+#: Widths of the bands of d: that of all anchors, and those that hot strings are split into in turn.
+STEPS = (PLACES, 23, 1)
 #: Suffixes of a sorted run, and of a range after the exchange.
 RUN, RANGE = 40_000, 30_000
 #: Documents whose suffixes are sampled for the splitters.
@@ -273,17 +282,17 @@ def repeated_windows(shared: np.ndarray, load: np.ndarray) -> np.ndarray:
     return out
 
 
-def _runs_of(text: str, splitters: list[bytes]):
-    """Sorts a task's suffixes into runs and cuts them at the splitters into front-coded segments."""
+def _runs_of(text: str, splitters: list[bytes], first: int):
+    """Sorts a task's suffixes into runs and cuts them at the splitters, by their ``first`` bytes, into front-coded segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(items: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
             items.sort()
             to, blob, at = [], [], 0
             while at < len(items):
-                part = bisect_right(splitters, items[at][0][:GRAM])
+                part = bisect_right(splitters, items[at][0][:first])
                 end = at + 1
-                while end < len(items) and (part == len(splitters) or items[end][0][:GRAM] < splitters[part]):
+                while end < len(items) and (part == len(splitters) or items[end][0][:first] < splitters[part]):
                     end += 1
                 to.append(part)
                 blob.append(front_code(items[at:end]))
@@ -321,11 +330,11 @@ def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"gram": load["gram"][row], "context": load["context"][row], "d_low": start, "d_high": stop - 1})
 
 
-def _keys_of(text: str):
+def _keys_of(text: str, first: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_of(batches, 256):
             rows = zip(texts(batch.column(text)), batch.column("wanted").to_pylist(), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array([data[x["pos"] : x["pos"] + GRAM] for data, own in rows for x in own], pa.binary())], ["key"])
+            yield pa.RecordBatch.from_arrays([pa.array([data[x["pos"] : x["pos"] + first] for data, own in rows for x in own], pa.binary())], ["key"])
 
     return run
 
@@ -335,29 +344,92 @@ def _splitters(sample: list[bytes], n: int) -> list[bytes]:
     return sorted({own[len(own) * k // n] for k in range(1, n)}) if own and n > 1 else []
 
 
-def repeated_ranges(docs: DataFrame, text: str = "text") -> DataFrame:
-    """row_key, start, end: bytes of windows that also start elsewhere (``docs`` has row_key); ranges may overlap."""
-    body = docs.select("row_key", text)
-    anchors = written(body.mapInArrow(_anchor_rows(text), "row_key long, pos long, low short, high short, gram long, context long"), "anchors")
-    # Written first, so that both sides of the join are plain shuffles, whose hot keys Spark can split.
-    grams = written(anchors.groupBy(F.col("gram").alias("g")).count().filter(F.col("count") > 1).select("g"), "grams")
-    again = written(anchors.join(grams, F.col("gram") == F.col("g"), "left_semi"), "repeated-anchors")
-    contexts = again.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("row_key", "pos", "low", "high")).alias("at"))
-    contexts = written(contexts.select("gram", "context", (F.col("n") > 1).cast("int").alias("many"), "at.*"), "contexts")
+_ANCHOR = "row_key long, pos long, low short, high short, gram long, context long"
+
+
+def _shifted(text: str, width: int):
+    """Splits contexts into bands of ``width`` places, each with an anchor at the start of the bytes that its windows share.
+
+    ``g``, ``c`` and ``shift`` say which context a band is from, and by how much its places d are less.
+    """
+    first = W - width + 1
+    names = ["row_key", "pos", "low", "high", "gram", "context", "many", "g", "c", "shift"]
+    types = [pa.int64(), pa.int64(), pa.int16(), pa.int16(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int16()]
+
+    def signed(data: bytes, seed: int) -> int:
+        h = xxhash.xxh3_64_intdigest(data, seed)
+        return h - (1 << 64) if h >> 63 else h
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(rows: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*rows, strict=True)) or [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+
+        held: list[tuple] = []
+        for batch in batches_of(batches, 256):
+            for key, data, wanted in zip(batch.column("row_key").to_pylist(), texts(batch.column(text)), batch.column("wanted").to_pylist(), strict=True):
+                for x in wanted:
+                    for shift in range(x["low"] // width * width, x["high"] + 1, width):
+                        pos, low, high = x["pos"] - shift, max(x["low"] - shift, 0), min(x["high"] - shift, width - 1)
+                        gram = signed(data[pos : pos + first], 0)
+                        context = signed(data[pos - high : pos + W - low], low * 512 + high)
+                        held.append((key, pos, low, high, gram, context, x["many"], x["gram"], x["context"], shift))
+                    if len(held) >= RUN:
+                        yield flush(held)
+                        held = []
+        yield flush(held)
+
+    return run
+
+
+def _with_wanted(body: DataFrame, contexts: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """What is wanted of each text, and the same with the texts. Rows that share a row_key are the same, so one of them is enough."""
     wanted = contexts.groupBy("row_key").agg(F.collect_list(F.struct("pos", "low", "high", "many", "context", "gram")).alias("wanted"))
     wanted = written(wanted, "wanted")
+    return wanted, body.join(wanted, "row_key").dropDuplicates(["row_key"]).select("row_key", text, "wanted")
+
+
+def _merge(body: DataFrame, contexts: DataFrame, text: str, first: int) -> DataFrame:
+    """gram, context, d_low, d_high of repeated windows of distinct contexts, by the distributed merge sort."""
+    wanted, runs = _with_wanted(body, contexts, text)
     ranges = max(1, -(-contexts.count() // RANGE))
     splitters: list[bytes] = []
     if ranges > 1:
         # At most SAMPLED documents, so what is broadcast and what comes back is bounded by their texts.
         some = hash_sample(wanted, "row_key", SAMPLED)
-        keys = body.join(F.broadcast(some), "row_key").select(text, "wanted").mapInArrow(_keys_of(text), "key binary")
+        keys = body.join(F.broadcast(some), "row_key").select(text, "wanted").mapInArrow(_keys_of(text, first), "key binary")
         splitters = _splitters([r["key"] for r in keys.collect()], ranges)
-    # Rows that share a row_key are the same, so one of them is enough.
-    runs = body.join(wanted, "row_key").dropDuplicates(["row_key"]).select(text, "wanted")
-    segments = runs.mapInArrow(_runs_of(text, splitters), "part int, segment binary")
-    hits = segments.groupBy("part").applyInPandas(_merged, "gram long, context long, d_low int, d_high int")
-    hits = written(hits, "repeats").withColumnsRenamed({"gram": "g", "context": "c"})
+    segments = runs.select(text, "wanted").mapInArrow(_runs_of(text, splitters, first), "part int, segment binary")
+    return written(segments.groupBy("part").applyInPandas(_merged, "gram long, context long, d_low int, d_high int"), "repeats")
+
+
+def _repeats(body: DataFrame, rows: DataFrame, text: str, step: int) -> DataFrame:
+    """gram, context, d_low, d_high of the windows in ``rows`` (anchors, and ``many`` if their context is known to repeat)."""
+    contexts = rows.groupBy("gram", "context").agg(F.sum(F.col("many") + 1).alias("n"), F.min(F.struct("row_key", "pos", "low", "high")).alias("at"))
+    contexts = written(contexts.select("gram", "context", (F.col("n") > 1).cast("int").alias("many"), "at.*"), "contexts")
+    if step + 1 == len(STEPS):
+        return _merge(body, contexts, text, W - STEPS[step] + 1)
+    hot = written(contexts.groupBy("gram").count().filter(F.col("count") > RANGE).select("gram"), "hot-grams")
+    if hot.isEmpty():
+        return _merge(body, contexts, text, W - STEPS[step] + 1)
+    hits = _merge(body, contexts.join(hot, "gram", "left_anti"), text, W - STEPS[step] + 1)
+    _, split = _with_wanted(body, contexts.join(hot, "gram", "left_semi"), text)
+    bands = written(split.mapInArrow(_shifted(text, STEPS[step + 1]), f"{_ANCHOR}, many int, g long, c long, shift short"), "bands")
+    again = bands.groupBy("gram").agg(F.sum(F.col("many") + 1).alias("n")).filter(F.col("n") > 1).select("gram")
+    bands = written(bands.join(again, "gram", "left_semi"), "repeated-bands")
+    finer = _repeats(body, bands, text, step + 1)
+    places = [(F.col(d) + F.col("shift")).cast("int").alias(d) for d in ("d_low", "d_high")]
+    return hits.unionByName(bands.join(finer, ["gram", "context"]).select(F.col("g").alias("gram"), F.col("c").alias("context"), *places))
+
+
+def repeated_ranges(docs: DataFrame, text: str = "text") -> DataFrame:
+    """row_key, start, end: bytes of windows that also start elsewhere (``docs`` has row_key); ranges may overlap."""
+    body = docs.select("row_key", text)
+    anchors = written(body.mapInArrow(_anchor_rows(text), _ANCHOR), "anchors")
+    # Written first, so that both sides of the join are plain shuffles, whose hot keys Spark can split.
+    grams = written(anchors.groupBy(F.col("gram").alias("g")).count().filter(F.col("count") > 1).select("g"), "grams")
+    again = written(anchors.join(grams, F.col("gram") == F.col("g"), "left_semi"), "repeated-anchors")
+    hits = _repeats(body, again.withColumn("many", F.lit(0)), text, 0).withColumnsRenamed({"gram": "g", "context": "c"})
     found = again.join(hits, (F.col("gram") == F.col("g")) & (F.col("context") == F.col("c")))
     return found.select("row_key", (F.col("pos") - F.col("d_high")).alias("start"), (F.col("pos") - F.col("d_low") + W).alias("end"))
 

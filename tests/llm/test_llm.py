@@ -170,6 +170,24 @@ def test_suffix_dedup_repeated_rows_and_nothing(spark, texts):
     assert suffix_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+def test_suffix_dedup_splits_lines_of_many_surroundings(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    letters = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    lines = [letters(n) for n in (70, 130, 185, 199)]
+    surroundings = [letters(150) for _ in range(30)]
+    # Each line stands in many surroundings; some share 100 bytes on the left or on the right, so that windows repeat.
+    rows = [surroundings[rng.integers(30)] + line + surroundings[rng.integers(30)] for line in lines for _ in range(30)]
+    rows += [letters(300), rows[5], None, rows[9] + "é" + rows[40]]
+    steps = []
+    plain = suffix_dedup._repeats
+    monkeypatch.setattr(suffix_dedup, "RANGE", 8)
+    monkeypatch.setattr(suffix_dedup, "_repeats", lambda body, anchors, text, step: steps.append(step) or plain(body, anchors, text, step))
+    table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = [tuple(r)[1:] for r in suffix_dedup.digest(suffix_dedup.remove_repeats(table)).orderBy("doc_id").collect()]
+    assert got == repeats_by_force(rows)
+    assert steps == [0, 1, 2]
+
+
 def test_loser_tree_merges_with_prefixes():
     rng = np.random.default_rng(2)
     keys = ["".join(rng.choice(list("ab"), rng.integers(0, 12))).encode() for _ in range(300)]
