@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.operators import focal
+from rasterloom.operators import focal, scenery
 from rasterloom.plans.registry import Registry, rounded
 from rasterloom.sources import views
 
@@ -156,8 +156,7 @@ SELECT scene_id, round(avg(abs(degrees(atan(sqrt(p.gx * p.gx + p.gy * p.gy))) -
 FROM p JOIN r USING (scene_id, "row", col) GROUP BY scene_id"""
 )
 def slope_mae(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = focal.slope_deg(focal.slope_deg(_sides(spark, sf_dir), "pred", 1.0, "sp"), "ref", 1.0, "sr")
-    return rounded(both.groupBy("scene_id").agg(F.avg(F.abs(F.col("sp") - F.col("sr"))).alias("slope_mae_deg")))
+    return rounded(scenery.slope_mae(_sides(spark, sf_dir), "pred", "ref"))
 
 
 @registry.add(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.functions import encode, geo, tags
-from rasterloom.operators import focal
+from rasterloom.operators import focal, scenery
 from rasterloom.plans.focal_queries import S_SQL, _grad_sql
 from rasterloom.plans.registry import Registry, rounded
 from rasterloom.plans.score_queries import M_SQL, metres
@@ -199,12 +199,7 @@ SELECT scene_id, "row", col, round((c3 - lo) / greatest(hi - lo, 1e-6) * (1 - lu
 )
 def shadow_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blue against the stronger of red and green, scaled over the scene, in the dark."""
-    hue = F.atan2(F.col("b") / 255.0, F.greatest(F.col("r") / 255.0, F.col("g") / 255.0, F.lit(1e-6)))
-    rows = views.px(spark, sf_dir).select("scene_id", "row", "col", hue.alias("c3"), encode.spectral_channels(F.col("r"), F.col("g"), F.col("b"))["lum"].alias("lum"))
-    span = rows.groupBy("scene_id").agg(F.min("c3").alias("lo"), F.max("c3").alias("hi"))
-    out = rows.join(F.broadcast(span), "scene_id")  # one row a scene
-    index = (F.col("c3") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-6)) * (1 - F.col("lum"))
-    return rounded(out.select("scene_id", "row", "col", index.alias("shadow_index")))
+    return rounded(scenery.shadow_index(views.px(spark, sf_dir)).select("scene_id", "row", "col", "shadow_index"))
 
 
 @registry.add(
