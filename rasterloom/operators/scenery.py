@@ -7,10 +7,11 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rasterloom.functions import encode, geo
-from rasterloom.operators import focal, footprints, graph, scores, surfaces
+from rasterloom.operators import focal, footprints, graph, instances, scores, surfaces
 
 KEYS = ["scene_id", "row", "col"]
 #: Class codes of land cover.
@@ -235,3 +236,65 @@ def separation(v: DataFrame, f: DataFrame, labels: DataFrame, group: str = "grp"
     shared = used.groupBy("scene_id", "vid").agg((F.count("*") - 1).alias("_k")).groupBy("scene_id").agg(F.sum("_k").alias("shared_vertices"))
     out = own.groupBy("scene_id").agg(F.count("*").alias("buildings"), F.avg("_own").alias("own_component")).join(shared, "scene_id")
     return out.withColumn("separation_score", F.col("own_component") * F.when(F.col("shared_vertices") == 0, 1.0).otherwise(0.5))
+
+
+def adaptive_blocks(px: DataFrame, z: str, h: int, w: int, tol: float = 0.35, block: int = 8) -> DataFrame:
+    """scene_id, br, bc, ``fine`` (the surface through the corners misses a pixel by more than ``tol``) and whether the blocks above, below, left and right are fine."""
+    err = focal.block_error(px, z, h, w, block)
+    own = err.select("scene_id", "br", "bc", (F.round("error", 6) > tol).alias("fine"))
+    across, along = W.partitionBy("scene_id", "br").orderBy("bc"), W.partitionBy("scene_id", "bc").orderBy("br")
+    near = {"up": F.lag("fine").over(along), "down": F.lead("fine").over(along), "left": F.lag("fine").over(across), "right": F.lead("fine").over(across)}
+    return own.withColumns({k: F.coalesce(c, F.lit(False)) for k, c in near.items()})
+
+
+def adaptive_vertices(blocks: DataFrame, h: int, w: int, block: int = 8) -> DataFrame:
+    """scene_id, row, col of the vertices of an adaptive mesh: all of fine blocks; of others the corners, the centre, and the edges that face a fine block."""
+    r0, c0 = F.col("br") * block, F.col("bc") * block
+    own = blocks.withColumns({"r0": r0, "c0": c0, "r1": F.least(r0 + block, F.lit(h - 1)), "c1": F.least(c0 + block, F.lit(w - 1))})
+    own = own.withColumn("row", F.explode(F.sequence("r0", "r1"))).withColumn("col", F.explode(F.sequence("c0", "c1")))
+    top, bottom, first, last = F.col("row") == F.col("r0"), F.col("row") == F.col("r1"), F.col("col") == F.col("c0"), F.col("col") == F.col("c1")
+    centre = (F.col("row") == F.floor((F.col("r0") + F.col("r1")) / 2)) & (F.col("col") == F.floor((F.col("c0") + F.col("c1")) / 2))
+    edges = (top & F.col("up")) | (bottom & F.col("down")) | (first & F.col("left")) | (last & F.col("right"))
+    return own.filter(F.col("fine") | ((top | bottom) & (first | last)) | centre | edges).select(*KEYS).distinct()
+
+
+def collect_samples(inventory: DataFrame, px: DataFrame, pos: str, ndsm: str) -> tuple[DataFrame, DataFrame]:
+    """(samples, skipped): scenes that a scale can be learned from, and the others with the first reason against them.
+
+    ``inventory`` has scene_id, depth and reference (paths or null), reference_kind, dtm (path or
+    null), and the sizes of depth and truth. A sample has its target, the error of heights at it,
+    and that of no heights at all.
+    """
+    goal = scores.scene_target(px, pos, ndsm)
+    reason = (
+        F.when(F.col("depth").isNull(), "no relative depth")
+        .when(F.col("reference").isNull(), "no reference")
+        .when(~F.col("reference_kind").eqNullSafe("ndsm") & F.col("dtm").isNull(), "elevation without bare earth")
+        .when(~F.col("depth_size").eqNullSafe(F.col("truth_size")), "grid mismatch")
+        .when(F.col("target").isNull(), "empty high band")
+    )
+    judged = inventory.join(goal, "scene_id", "left").withColumn("reason", reason)
+    good = judged.filter("reason is null").select("scene_id", "target", "n_px")
+    p, t = F.greatest(F.col("target") * F.col(pos), F.lit(0.0)), F.col(ndsm)
+    errors = px.join(good, "scene_id").groupBy("scene_id", "target", "n_px").agg(F.avg(F.abs(p - t)).alias("ndsm_mae_at_target"), F.avg(F.abs(t)).alias("floor_mae"))
+    return errors, judged.filter("reason is not null").select("scene_id", "reason")
+
+
+def select_buildings(pixels: DataFrame, px: DataFrame, height: str, width: int, least: int = 40) -> DataFrame:
+    """Buildings among instances: each instance's cells, parted into 4-connected pieces, measured, and numbered by instance and piece where nothing refuses them.
+
+    ``pixels`` is scene_id, row, col, instance (one a pixel). A piece's pixels are the corners of
+    its cells. Returns scene_id, building, instance and the measures of ``zonal_measure``.
+    """
+    span = 1_000_000  # instances of a scene
+    cells = footprints.to_cells(pixels, "instance").withColumn("scene_id", F.col("scene_id").cast("long") * span + F.col("instance"))
+    part = graph.connected_components(cells, width)
+    corners = F.array(*(F.struct((F.col("row") + i).alias("row"), (F.col("col") + j).alias("col")) for i in (0, 1) for j in (0, 1)))
+    owner = F.expr(f"cast(scene_id div {span} as int)").alias("scene_id")
+    own = part.select(owner, (F.col("scene_id") % span).cast("int").alias("instance"), F.col("component").alias("mask_id"), F.explode(corners).alias("p"))
+    own = own.select("scene_id", "instance", "mask_id", "p.row", "p.col").distinct()
+    large = own.groupBy("scene_id", "instance", "mask_id").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).select("scene_id", "instance", "mask_id")
+    kept = own.join(large, ["scene_id", "instance", "mask_id"], "left_semi")
+    measured = instances.zonal_measure(kept.drop("instance"), px, height).filter("refused is null").drop("refused")
+    order = W.partitionBy("scene_id").orderBy("instance", "mask_id")
+    return measured.join(large, ["scene_id", "mask_id"]).withColumn("building", F.row_number().over(order)).drop("mask_id")

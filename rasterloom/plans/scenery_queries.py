@@ -7,12 +7,14 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.operators import footprints, graph, mesh, scenery
+from rasterloom.operators import footprints, graph, instances, mesh, scenery
 from rasterloom.plans.focal_queries import MIRROR, S_SQL
+from rasterloom.plans.focal_queries import registry as focal_registry
 from rasterloom.plans.footprint_queries import registry as footprint_registry
 from rasterloom.plans.join_queries import registry as join_registry
 from rasterloom.plans.mesh_queries import MASK_SQL, masks
 from rasterloom.plans.registry import Registry, rounded
+from rasterloom.plans.score_queries import M_SQL, metres
 from rasterloom.sources import views
 
 registry = Registry()
@@ -132,3 +134,46 @@ def separation(spark: SparkSession, sf_dir: str) -> DataFrame:
     nw = F.col("nw")
     f = cells.select("scene_id", "grp", F.explode(F.array(face(nw, nw + N, nw + 1), face(nw + 1, nw + N, nw + N + 1))).alias("f")).select("scene_id", "grp", "f.*")
     return rounded(scenery.separation(v, f, mesh.mesh_components(f, 1 << 40)))
+
+
+_FINE_SQL = f"""WITH b AS ({focal_registry.sql["block_error"]}), f AS (SELECT *, error > 75 AS fine FROM b),
+k AS (SELECT *, br * 8 AS r0, bc * 8 AS c0, least(br * 8 + 8, {N - 1}) AS r1, least(bc * 8 + 8, {N - 1}) AS c1, coalesce(lag(fine) OVER d, false) AS up, coalesce(lead(fine) OVER d, false) AS down,
+  coalesce(lag(fine) OVER a, false) AS lef, coalesce(lead(fine) OVER a, false) AS rig FROM f WINDOW d AS (PARTITION BY scene_id, bc ORDER BY br), a AS (PARTITION BY scene_id, br ORDER BY bc))
+"""
+
+
+@registry.add(
+    _FINE_SQL
+    + f"""SELECT DISTINCT scene_id, CAST(y.range AS INTEGER) AS "row", CAST(x.range AS INTEGER) AS col FROM k, range({N}) y, range({N}) x WHERE y.range BETWEEN r0 AND r1 AND x.range BETWEEN c0 AND c1 AND
+(fine OR (y.range IN (r0, r1) AND x.range IN (c0, c1)) OR (y.range = (r0 + r1) // 2 AND x.range = (c0 + c1) // 2) OR (up AND y.range = r0) OR (down AND y.range = r1) OR (lef AND x.range = c0) OR (rig AND x.range = c1))"""
+)
+def adaptive_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vertices of a mesh whose blocks are fine where the surface through their corners misses by over 75 m."""
+    return scenery.adaptive_vertices(scenery.adaptive_blocks(views.surface(spark, sf_dir), "z", N, N, 75.0), N, N)
+
+
+@registry.add(
+    M_SQL
+    + """, i AS (SELECT DISTINCT CAST(o_orderkey // 1024 AS INTEGER) AS scene_id FROM orders), t AS (SELECT scene_id, sum(h_pred * h_ref) / sum(h_pred * h_pred) AS target, count(*) AS n_px FROM m GROUP BY ALL),
+j AS (SELECT *, CASE WHEN scene_id % 5 = 1 THEN 'no relative depth' WHEN scene_id % 7 = 2 THEN 'no reference' WHEN scene_id % 2 = 1 AND scene_id % 3 = 0 THEN 'elevation without bare earth'
+  WHEN scene_id % 11 = 4 THEN 'grid mismatch' WHEN target IS NULL THEN 'empty high band' END AS reason FROM i LEFT JOIN t USING (scene_id))
+SELECT j.scene_id, reason, round(target, 6) AS target, n_px, round(avg(abs(greatest(target * h_pred, 0) - h_ref)), 6) AS ndsm_mae_at_target, round(avg(abs(h_ref)), 6) AS floor_mae
+FROM j JOIN m USING (scene_id) WHERE reason IS NULL GROUP BY ALL UNION ALL SELECT scene_id, reason, NULL, NULL, NULL, NULL FROM j WHERE reason IS NOT NULL"""
+)
+def collect_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of all scenes, and the scenes that give none, with the reason."""
+    k = F.col("scene_id")
+    found = lambda missing, path: F.when(~missing, F.concat(F.lit(path), k.cast("string")))
+    inventory = views.read(spark, sf_dir, "orders").select(views.scene_of("o_orderkey", views.ORDERS_A_SCENE)).distinct().select(
+        "scene_id", found(k % 5 == 1, "depth/").alias("depth"), found(k % 7 == 2, "reference/").alias("reference"), F.when(k % 2 == 1, "dsm").otherwise("ndsm").alias("reference_kind"),
+        found(k % 3 == 0, "dtm/").alias("dtm"), F.lit(N).alias("depth_size"), F.when(k % 11 == 4, N // 2).otherwise(N).alias("truth_size"),
+    )
+    samples, skipped = scenery.collect_samples(inventory, metres(spark, sf_dir), "h_pred", "h_ref")
+    return rounded(samples.withColumn("reason", F.lit(None).cast("string")).unionByName(skipped, allowMissingColumns=True))
+
+
+@registry.add()
+def select_buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buildings among the painted masks; tests hold the operator against a fixture."""
+    px = metres(spark, sf_dir).select("scene_id", "row", "col", "sem", "h_ref")
+    return rounded(scenery.select_buildings(instances.paint_instances(masks(spark, sf_dir), 12)[1], px, "h_ref", N))

@@ -140,3 +140,14 @@ def test_shadow_of_one_building(spark):
     (anchor,) = scenery.harvest_shadow(block, block, dark, 180.0, 45.0, 0.5, H, W).collect()
     assert math.isclose(anchor["height_m"], 5.0) and anchor["weight"] == 1.0 and (anchor["row"], anchor["col"], anchor["ref_row"], anchor["ref_col"]) == (18, 12, 14, 13)
     assert scenery.harvest_shadow(block, block, dark.filter(F.lit(False)), 180.0, 45.0, 0.5, H, W).count() == 0
+
+
+def test_select_buildings(spark):
+    """Two squares joined by a line are two pieces (a line has no cells); a low square and a small one are refused."""
+    blocks = [(1, 0, 0, 8, 8), (1, 3, 8, 1, 4), (1, 0, 12, 8, 8), (2, 14, 0, 8, 8), (3, 14, 14, 4, 4)]
+    own = sorted({(9, y, x, k) for k, y0, x0, h, w in blocks for y in range(y0, y0 + h) for x in range(x0, x0 + w)})
+    tall = {(y, x): 10.0 + (x >= 12) * 5 for _, y, x, k in own if k == 1} | {(y, x): 20.0 for _, y, x, k in own if k == 3}
+    pixels = spark.createDataFrame(own, "scene_id int, row int, col int, instance int")
+    px = spark.createDataFrame([(9, y, x, 0, tall.get((y, x), 1.0)) for y in range(H) for x in range(W)], "scene_id int, row int, col int, sem int, z double")
+    got = scenery.select_buildings(pixels, px, "z", W).orderBy("building").collect()
+    assert [(r["building"], r["instance"], r["n_px"], r["roof_m"], r["height_m"]) for r in got] == [(1, 1, 64, 10.0, 9.0), (2, 1, 64, 15.0, 14.0)]
