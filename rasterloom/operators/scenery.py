@@ -280,18 +280,19 @@ def collect_samples(inventory: DataFrame, px: DataFrame, pos: str, ndsm: str) ->
     return errors, judged.filter("reason is not null").select("scene_id", "reason")
 
 
-def select_buildings(pixels: DataFrame, px: DataFrame, height: str, width: int, least: int = 40) -> DataFrame:
+def select_buildings(pixels: DataFrame, px: DataFrame, height: str, h: int, w: int, least: int = 40) -> DataFrame:
     """Buildings among instances: each instance's cells, parted into 4-connected pieces, measured, and numbered by instance and piece where nothing refuses them.
 
     ``pixels`` is scene_id, row, col, instance (one a pixel). A piece's pixels are the corners of
     its cells. Returns scene_id, building, instance and the measures of ``zonal_measure``.
     """
-    span = 1_000_000  # instances of a scene
-    cells = footprints.to_cells(pixels, "instance").withColumn("scene_id", F.col("scene_id").cast("long") * span + F.col("instance"))
-    part = graph.connected_components(cells, width)
-    corners = F.array(*(F.struct((F.col("row") + i).alias("row"), (F.col("col") + j).alias("col")) for i in (0, 1) for j in (0, 1)))
-    owner = F.expr(f"cast(scene_id div {span} as int)").alias("scene_id")
-    own = part.select(owner, (F.col("scene_id") % span).cast("int").alias("instance"), F.col("component").alias("mask_id"), F.explode(corners).alias("p"))
+    # Instances lie one below the other, an empty row between, so that pieces of two never touch.
+    step = F.lit(h + 1).cast("long")
+    cells = footprints.to_cells(pixels, "instance").select("scene_id", (F.col("instance") * step + F.col("row")).alias("row"), "col")
+    part = graph.connected_components(cells, w)
+    row = (F.col("row") % step).cast("int")
+    corners = F.array(*(F.struct((row + i).alias("row"), (F.col("col") + j).alias("col")) for i in (0, 1) for j in (0, 1)))
+    own = part.select("scene_id", F.floor(F.col("row") / step).cast("int").alias("instance"), F.col("component").alias("mask_id"), F.explode(corners).alias("p"))
     own = own.select("scene_id", "instance", "mask_id", "p.row", "p.col").distinct()
     large = own.groupBy("scene_id", "instance", "mask_id").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).select("scene_id", "instance", "mask_id")
     kept = own.join(large, ["scene_id", "instance", "mask_id"], "left_semi")

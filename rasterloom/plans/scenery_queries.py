@@ -75,8 +75,12 @@ def prominence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add()
 def detect_shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cast shadows of every scene; tests hold the operator against brute force."""
-    return scenery.detect_shadow(views.px_full(spark, sf_dir), N, N, least=1)
+    """Cast shadows of every scene, whose patches of 8 x 8 have the colour and class of their first pixel; tests hold the operator against brute force."""
+    patch = [F.expr(f"{c} div 8").alias(f"p_{c}") for c in ("row", "col")]
+    keys = ["scene_id", "p_row", "p_col"]
+    first = views.px(spark, sf_dir).groupBy("scene_id", *patch).agg(F.min_by(F.struct("r", "g", "b", "sem"), F.struct("row", "col")).alias("c"))
+    px = views.full_grid(spark, sf_dir).select("*", *patch).join(first, keys, "left").select("scene_id", "row", "col", "c.*")
+    return scenery.detect_shadow(px, N, N)
 
 
 @registry.add()
@@ -176,4 +180,4 @@ def collect_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def select_buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Buildings among the painted masks; tests hold the operator against a fixture."""
     px = metres(spark, sf_dir).select("scene_id", "row", "col", "sem", "h_ref")
-    return rounded(scenery.select_buildings(instances.paint_instances(masks(spark, sf_dir), 12)[1], px, "h_ref", N))
+    return rounded(scenery.select_buildings(instances.paint_instances(masks(spark, sf_dir), 12)[1], px, "h_ref", N, N))

@@ -149,5 +149,5 @@ def test_select_buildings(spark):
     tall = {(y, x): 10.0 + (x >= 12) * 5 for _, y, x, k in own if k == 1} | {(y, x): 20.0 for _, y, x, k in own if k == 3}
     pixels = spark.createDataFrame(own, "scene_id int, row int, col int, instance int")
     px = spark.createDataFrame([(9, y, x, 0, tall.get((y, x), 1.0)) for y in range(H) for x in range(W)], "scene_id int, row int, col int, sem int, z double")
-    got = scenery.select_buildings(pixels, px, "z", W).orderBy("building").collect()
+    got = scenery.select_buildings(pixels, px, "z", H, W).orderBy("building").collect()
     assert [(r["building"], r["instance"], r["n_px"], r["roof_m"], r["height_m"]) for r in got] == [(1, 1, 64, 10.0, 9.0), (2, 1, 64, 15.0, 14.0)]
