@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import additive_ann, chat, chunk_dedup, mixing, near_dup, packing, pii, quality_rules, suffix_dedup, url_filter
+from rasterloom.llm import additive_ann, bit_dups, chat, chunk_dedup, mixing, near_dup, packing, pii, quality_rules, suffix_dedup, url_filter, word_runs, word_variants
 from rasterloom.llm.common import table
 
 
@@ -58,10 +58,25 @@ def op10_chosen_path_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.link_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_recompression_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return word_runs.digest(word_runs.find_runs(docs.withColumn("text", word_runs.repeating(F.col("text"), F.col("doc_id")))))
+
+
+def op12_trie_pair_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = word_variants.vocabulary(table(spark, sf_dir, "documents"), change=word_variants.thinned)
+    return word_variants.group_variants(words)
+
+
+def op13_popcount_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_dups.link_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_additive_ann, op2_pattern_packing, op3_suffix_merge_dedup, op4_perspective_rotation, op5_pii_spans, op6_source_mixing,
         op7_gear_chunk_dedup, op8_url_bayes, op9_quality_rules, op10_chosen_path_near_dup,
+        op11_recompression_runs, op12_trie_pair_variants, op13_popcount_simhash,
     )
     return {f.__name__: f for f in own}
 
