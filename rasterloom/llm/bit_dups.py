@@ -188,7 +188,7 @@ def link_fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id",
     """
     rows = written(fingerprints(docs, text, key), "prints")
     points = written(rows.groupBy("print").agg(F.min(key).alias("least")), "points")
-    links = close_pairs(points.select("print"), most)
+    links = written(close_pairs(points.select("print"), most), "links")
     labels = components(links).select(F.col("id").alias("print"), "label")
     labelled = points.join(labels, "print", "left").withColumn("label", F.coalesce("label", "print"))
     named = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
