@@ -131,8 +131,8 @@ def box_nms(boxes: DataFrame, iou: float = 0.7, cell: int = 64) -> DataFrame:
     return kept.withColumn("rank", F.row_number().over(W.partitionBy("scene_id").orderBy(F.desc("area_px"), "mask_id")))
 
 
-def choose_roof(points: DataFrame, by: tuple[str, ...] = ("scene_id", "mask_id"), z: str = "z") -> DataFrame:
-    """Per roof: mode (platform, plane or measured), median height, deviation, pitch and share of inliers.
+def choose_roof(points: DataFrame, by: tuple[str, ...] = ("scene_id", "mask_id"), z: str = "z", planes: bool = False) -> DataFrame:
+    """Per roof: mode (platform, plane or measured), median height, deviation, pitch and share of inliers; with ``planes`` also the line z = a col + b row + c.
 
     A plane is fitted, fitted again without points off it by more than the larger of 0.6 m and
     three median deviations (if 8 points or more are left), and taken only where it explains the
@@ -155,10 +155,10 @@ def choose_roof(points: DataFrame, by: tuple[str, ...] = ("scene_id", "mask_id")
     second = plane(judged.filter("_k").join(enough.select(*by), keys, "left_semi")).select(*by, *(F.col(c).alias(f"_{c}") for c in "abc"))
     line = plane(own).join(second, keys, "left").select(*by, *(F.coalesce(f"_{c}", c).alias(c) for c in "abc"))
     met = own.join(level, keys).join(line, keys, "left").withColumn("_r", off).withColumn("_f", F.col(z) - F.col("median"))
-    out = met.groupBy(*by, "n", "median", "wide", "high", "a", "b").agg(
+    out = met.groupBy(*by, "n", "median", "wide", "high", "a", "b", "c").agg(
         F.sqrt(F.avg(F.col("_f") * F.col("_f"))).alias("flat"), F.sqrt(F.avg(F.col("_r") * F.col("_r"))).alias("tilt"), F.avg((F.abs("_r") <= plane_tol).cast("double")).alias("inlier")
     )
     pitch = F.coalesce(F.abs("a") * F.col("wide") + F.abs("b") * F.col("high"), F.lit(0.0))
     tilted = (F.col("inlier") >= inlier_share) & (pitch >= least_pitch) & (F.col("tilt") <= gain * F.col("flat")) & (F.col("tilt") <= residual_tol)
     mode = F.when(F.col("n") < 8, "measured").when(F.col("flat") <= flat_tol, "platform").when(tilted, "plane").when(F.col("flat") <= scatter, "platform").otherwise("measured")
-    return out.withColumn("mode", mode).select(*by, "n", "mode", F.col("median").alias("platform_m"), F.when(F.col("mode") == "plane", F.col("tilt")).otherwise(F.col("flat")).alias("rmse_m"), pitch.alias("pitch_m"), F.coalesce("inlier", F.lit(0.0)).alias("inlier"))
+    return out.withColumn("mode", mode).select(*by, "n", "mode", F.col("median").alias("platform_m"), F.when(F.col("mode") == "plane", F.col("tilt")).otherwise(F.col("flat")).alias("rmse_m"), pitch.alias("pitch_m"), F.coalesce("inlier", F.lit(0.0)).alias("inlier"), *(["a", "b", "c"] if planes else []))

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rasterloom.functions import encode, geo
-from rasterloom.operators import focal, footprints, graph, instances, scores, surfaces
+from rasterloom.operators import focal, footprints, graph, instances, scores, solids, surfaces
 
 KEYS = ["scene_id", "row", "col"]
 #: Class codes of land cover.
@@ -281,14 +281,14 @@ def collect_samples(inventory: DataFrame, px: DataFrame, pos: str, ndsm: str) ->
 
 
 def select_buildings(pixels: DataFrame, px: DataFrame, height: str, h: int, w: int, least: int = 40) -> DataFrame:
-    """Buildings among instances: each instance's cells, parted into 4-connected pieces, measured, and numbered by instance and piece where nothing refuses them.
+    """Buildings among instances: each instance's cells without pinches, parted into 4-connected pieces, measured, and numbered by instance and piece where nothing refuses them.
 
     ``pixels`` is scene_id, row, col, instance (one a pixel). A piece's pixels are the corners of
     its cells. Returns scene_id, building, instance and the measures of ``zonal_measure``.
     """
     # Instances lie one below the other, an empty row between, so that pieces of two never touch.
     step = F.lit(h + 1).cast("long")
-    cells = footprints.to_cells(pixels, "instance").select("scene_id", (F.col("instance") * step + F.col("row")).alias("row"), "col")
+    cells = solids.unpinch(footprints.to_cells(pixels, "instance"), "instance").select("scene_id", (F.col("instance") * step + F.col("row")).alias("row"), "col")
     part = graph.connected_components(cells, w)
     row = (F.col("row") % step).cast("int")
     corners = F.array(*(F.struct((row + i).alias("row"), (F.col("col") + j).alias("col")) for i in (0, 1) for j in (0, 1)))
