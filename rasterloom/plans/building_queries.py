@@ -6,10 +6,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.operators import mesh, mosaic, outlines, solids
+from rasterloom.operators import adaptive, calibration, mesh, mosaic, outlines, scenery, solids
+from rasterloom.plans.calibration_queries import graph_anchors
 from rasterloom.plans.focal_queries import S_SQL
 from rasterloom.plans.mesh_queries import MASK_SQL, masks
 from rasterloom.plans.registry import Registry, rounded
+from rasterloom.plans.scenery_queries import _FINE_SQL
+from rasterloom.plans.score_queries import metres
 from rasterloom.sources import views
 
 registry = Registry()
@@ -196,3 +199,37 @@ def facade_uv(spark: SparkSession, sf_dir: str) -> DataFrame:
     uv = solids.facade_uv(v, v.select("scene_id", "mask_id", "row", "col").limit(0), N, N, 0.5)
     # A bit more than each value, so that no tie of rounding falls on one of them.
     return rounded(uv.filter("part = 'roof'").select("scene_id", "mask_id", "row", "col", *((F.col(c) + 1e-9).alias(c) for c in ("uv_row", "uv_col"))))
+
+
+FAN_SQL = (
+    _FINE_SQL
+    + f""", own AS (SELECT *, ((r0 + r1) // 2) * {N} + (c0 + c1) // 2 AS centre FROM k),
+live AS (SELECT DISTINCT scene_id, y.range AS y, x.range AS x FROM own, range({N}) y, range({N}) x WHERE y.range BETWEEN r0 AND r1 AND x.range BETWEEN c0 AND c1 AND
+(fine OR (y.range IN (r0, r1) AND x.range IN (c0, c1)) OR (y.range = (r0 + r1) // 2 AND x.range = (c0 + c1) // 2) OR (up AND y.range = r0) OR (down AND y.range = r1) OR (lef AND x.range = c0) OR (rig AND x.range = c1))),
+ring AS (SELECT o.scene_id, br, bc, centre, l.y * {N} + l.x AS a, CASE WHEN l.y = r1 AND l.x < c1 THEN l.x - c0 WHEN l.x = c1 AND l.y > r0 THEN c1 - c0 + r1 - l.y WHEN l.y = r0 AND l.x > c0 THEN c1 - c0 + r1 - r0 + c1 - l.x ELSE 2 * (c1 - c0) + r1 - r0 + l.y - r0 END AS k
+  FROM own o JOIN live l ON l.scene_id = o.scene_id AND l.y BETWEEN r0 AND r1 AND l.x BETWEEN c0 AND c1 WHERE NOT fine AND (l.y IN (r0, r1) OR l.x IN (c0, c1))),
+fan AS (SELECT scene_id, a, coalesce(lead(a) OVER b, first(a) OVER b) AS b, centre AS c FROM ring WINDOW b AS (PARTITION BY scene_id, br, bc ORDER BY k)),
+cell AS (SELECT scene_id, y.range * {N} + x.range AS tl FROM own, range({N}) y, range({N}) x WHERE fine AND y.range BETWEEN r0 AND r1 - 1 AND x.range BETWEEN c0 AND c1 - 1)
+"""
+)
+
+
+@registry.add(FAN_SQL + f"SELECT scene_id, tl + {N} AS a, tl + {N + 1} AS b, tl + 1 AS c FROM cell UNION ALL SELECT scene_id, tl + {N}, tl + 1, tl FROM cell UNION ALL SELECT scene_id, a, b, c FROM fan WHERE a <> c AND b <> c")
+def adaptive_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triangles of the vertices of ``adaptive_plan``."""
+    blocks = scenery.adaptive_blocks(views.surface(spark, sf_dir), "z", N, N, 75.0)
+    return adaptive.adaptive_triangles(blocks, scenery.adaptive_vertices(blocks, N, N), N, N)
+
+
+@registry.add()
+def tolerance_for_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tightest tolerance whose mesh of each scene, a gentler surface, has at most 5 000 triangles; tests hold it against counts of triangles."""
+    px = views.surface(spark, sf_dir).withColumn("z", F.col("z") / 20 * (F.col("col") % 8) / 8)
+    return rounded(adaptive.tolerance_for_budget(px, "z", N, N, 5000))
+
+
+@registry.add()
+def bootstrap_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and deviation of every pixel over 24 fits; tests hold them against fits done one by one."""
+    px = metres(spark, sf_dir).select("scene_id", "row", "col", (F.col("pred") / 1000).alias("d"))
+    return rounded(calibration.bootstrap_sigma(px, graph_anchors(spark, sf_dir), N, N, 32), 3)
