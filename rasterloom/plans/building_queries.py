@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.operators import adaptive, calibration, mesh, mosaic, outlines, scenery, solids
+from rasterloom.operators import adaptive, calibration, focal, mesh, mosaic, outlines, runs, scenery, solids
 from rasterloom.plans.calibration_queries import graph_anchors
 from rasterloom.plans.focal_queries import S_SQL
 from rasterloom.plans.mesh_queries import MASK_SQL, masks
 from rasterloom.plans.registry import Registry, rounded
 from rasterloom.plans.scenery_queries import _FINE_SQL
 from rasterloom.plans.score_queries import metres
+from rasterloom.session import shared_folder
 from rasterloom.sources import views
 
 registry = Registry()
@@ -233,3 +236,55 @@ def bootstrap_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and deviation of every pixel over 24 fits; tests hold them against fits done one by one."""
     px = metres(spark, sf_dir).select("scene_id", "row", "col", (F.col("pred") / 1000).alias("d"))
     return rounded(calibration.bootstrap_sigma(px, graph_anchors(spark, sf_dir), N, N, 32), 3)
+
+
+def study_px(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pixel of each scene with depth, class, a smooth elevation model, and reference: hills, boxes of buildings, and depth that bends across the scene."""
+    hill = 200 + F.col("scene_id") % 9 + 0.3 * F.col("row") + 6 * F.sin(F.col("col") / 9)
+    px = views.px_full(spark, sf_dir).select("scene_id", "row", "col", F.coalesce("sem", F.lit(0)).alias("cls"))
+    tall = (F.expr("row div 12 + col div 12") % 3 == 0) & (F.col("row") % 12 < 7) & (F.col("col") % 12 < 7)
+    own = px.withColumns({"dem": hill, "ref": hill + F.when(tall, 12.0).otherwise(0.0), "sem": F.when(tall, 2).when(F.col("cls") == 2, 0).otherwise(F.col("cls"))})
+    return own.withColumn("d", (F.col("ref") - 180) / (60 + F.col("col") / 8)).select("scene_id", "row", "col", "d", "sem", "dem", "ref")
+
+
+@registry.add()
+def run_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All scenes calibrated and scored; every seventh lacks its image, every eleventh its depth. Tests hold the operator against a study of ten scenes."""
+    k = F.col("scene_id")
+    px = study_px(spark, sf_dir).withColumn("d", F.when(k % 11 != 5, F.col("d")))
+    ids = views.full_grid(spark, sf_dir, 1).select("scene_id")
+    inventory = ids.select("scene_id", F.when(k % 7 != 3, F.concat(F.lit("image/"), k)).alias("image"), F.concat(F.lit("reference/"), k).alias("reference"))
+    scenes = ids.select("scene_id", F.lit(True).alias("georeferenced"), F.lit("copernicus_30.tif").alias("dem_source"))
+    records, _ = runs.run_study(inventory, px, scenes, N, N, 2.0, replicates=4, anchor_stride=8, smooth=12.0)
+    return rounded(records.select("scene_id", "reason", "tier", "n_used", "n_px", "mae_m", "rmse_m", "bias_m"), 3)
+
+
+_TILES = [(k, y, x) for k, n in ((0, 64), (1, 32), (2, 16)) for y in range(0, n, 24) for x in range(0, n, 24)]
+_TILE_BYTES = sum(3 * (min(24, (64 >> k) - y) + 2) * (min(24, (64 >> k) - x) + 2) for k, y, x in _TILES)
+
+
+@registry.add(
+    S_SQL
+    + f""", l AS (SELECT scene_id, 'z' AS layer, z AS v FROM surface UNION ALL SELECT scene_id, 'up', z * 2 + "row" FROM surface)
+SELECT scene_id, layer, CAST({_TILE_BYTES} AS BIGINT) AS bytes, CAST({len(_TILES)} AS BIGINT) AS n_tiles, CAST({64 * 64 + 32 * 32 + 16 * 16} AS BIGINT) AS n_px, round(min(v), 6) AS lo, round(max(v), 6) AS hi, true AS within FROM l GROUP BY ALL"""
+)
+def build_tileset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of two layers, written, read back and held against the pixels they came from."""
+    px = views.surface(spark, sf_dir).withColumn("up", F.col("z") * 2 + F.col("row"))
+    path = f"{shared_folder(spark)}/tileset-{uuid.uuid4().hex}"
+    manifest = runs.build_tileset(px, ["z", "up"], path, N, N, 24, 1, 3)
+    long = focal.pyramid(px, 3, N, N).unpivot(["scene_id", "lod", "row", "col"], ["z", "up"], "layer", "was")
+    met = runs.decode_tiles(runs.read_tiles(spark, path)).join(long, ["scene_id", "layer", "lod", "row", "col"], "full")
+    kept = met.groupBy("scene_id", "layer").agg(F.count("*").alias("n_px"), F.max(F.coalesce(F.abs(F.col("v") - F.col("was")), F.lit(1.0))).alias("off"))
+    tiles = F.aggregate("lods", F.lit(0).cast("long"), lambda n, x: n + F.size(x["tiles"]))
+    out = manifest.join(kept, ["scene_id", "layer"])
+    return rounded(out.select("scene_id", "layer", "bytes", tiles.alias("n_tiles"), "n_px", "lo", "hi", (F.col("off") <= (F.col("hi") - F.col("lo")) / 2**25 + 1e-9).alias("within")))
+
+
+@registry.add()
+def delivery_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payload, bit depths and round trips of one layer in one table; its parts have twins of their own."""
+    px = views.surface(spark, sf_dir)
+    path = f"{shared_folder(spark)}/tileset-{uuid.uuid4().hex}"
+    runs.build_tileset(px, ["z"], path, N, N, 24, 1, 2)
+    return rounded(runs.delivery_report(px, ["z"], runs.read_tiles(spark, path), N, N, 2, (16, 8)))
