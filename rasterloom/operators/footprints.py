@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rasterloom.operators import instances, joins
+from rasterloom.operators.instances import grown, shrunk
 from rasterloom.session import written
 
 PIXEL = ("scene_id", "row", "col")
@@ -36,23 +37,6 @@ def mask_minus(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select(*PIXEL).distinct().join(b.select(*PIXEL).distinct(), list(PIXEL), "left_anti")
 
 
-def grown(mask_px: DataFrame, key: str, radius: int) -> DataFrame:
-    """Pixels within ``radius`` of each mask (a box): along rows, then along columns, so a pixel is sent 4 radius + 2 times, not the square."""
-    own = mask_px.select("scene_id", key, "row", "col")
-    for axis in ("col", "row"):
-        own = own.withColumn(axis, F.explode(F.sequence(F.col(axis) - radius, F.col(axis) + radius))).distinct()
-    return own
-
-
-def shrunk(mask_px: DataFrame, key: str, radius: int) -> DataFrame:
-    """Pixels whose whole box of ``radius`` lies in their mask."""
-    own = mask_px.select("scene_id", key, "row", "col").distinct()
-    for across, along in (("row", "col"), ("col", "row")):
-        near = W.partitionBy("scene_id", key, across).orderBy(along).rangeBetween(-radius, radius)
-        own = own.withColumn("_n", F.count("*").over(near)).filter(F.col("_n") == 2 * radius + 1).drop("_n")
-    return own
-
-
 def core_and_ring(mask_px: DataFrame, h: int, w: int, key: str = "mask_id", core: int = 2, ring: int = 3) -> DataFrame:
     """scene_id, key, row, col and ``part``: the core of each mask, ``core`` pixels in, and the ring of ``ring`` pixels around it."""
     inner = shrunk(mask_px, key, core).withColumn("part", F.lit("core"))

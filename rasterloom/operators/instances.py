@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rasterloom.operators import focal
+from rasterloom.session import written
 
 
 def mask_bbox(mask_px: DataFrame) -> DataFrame:
@@ -56,25 +57,60 @@ def mask_iou(a: DataFrame, b: DataFrame) -> DataFrame:
     return out.select("scene_id", "a", "b", (F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).alias("iou"))
 
 
-def zonal_measure(mask_px: DataFrame, px: DataFrame, height: str, ring: int = 3, vegetation: int = 3) -> DataFrame:
-    """Per mask: pixels, roof median and median deviation from it, ground median over a ring of ``ring`` pixels, height, share of vegetation, and why it is refused.
+def grown(mask_px: DataFrame, key: str, radius: int) -> DataFrame:
+    """Pixels within ``radius`` of each mask (a box): along rows, then along columns, so a pixel is sent 4 radius + 2 times, not the square."""
+    own = mask_px.select("scene_id", key, "row", "col")
+    for axis in ("col", "row"):
+        own = own.withColumn(axis, F.explode(F.sequence(F.col(axis) - radius, F.col(axis) + radius))).distinct()
+    return own
 
-    The ring holds pixels in reach of the mask that belong to no mask.
+
+def shrunk(mask_px: DataFrame, key: str, radius: int) -> DataFrame:
+    """Pixels whose whole box of ``radius`` lies in their mask."""
+    own = mask_px.select("scene_id", key, "row", "col").distinct()
+    for across, along in (("row", "col"), ("col", "row")):
+        near = W.partitionBy("scene_id", key, across).orderBy(along).rangeBetween(-radius, radius)
+        own = own.withColumn("_n", F.count("*").over(near)).filter(F.col("_n") == 2 * radius + 1).drop("_n")
+    return own
+
+
+#: Fixed values of what a building is: pixels, roof pixels, share of vegetation (refused, noted), height and scatter in metres.
+LEAST_PX, LEAST_ROOF, MOST_GREEN, SOME_GREEN, LEAST_HEIGHT_M, MOST_SCATTER_M = 40, 8, 0.6, 0.3, 2.5, 4.0
+
+
+def zonal_measure(mask_px: DataFrame, px: DataFrame, height: str, ring: int = 3, vegetation: int = 3, edge: int = 2, ground: str | None = None) -> DataFrame:
+    """Per mask: pixels and roof pixels, roof median, median deviation from it and share of outliers, ground median, height, share of vegetation, why it is refused, and a note.
+
+    The roof is read ``edge`` pixels inside the mask (of a mask without such pixels, all over).
+    The ring holds pixels within ``ring`` of the mask that belong to no mask; with ``ground``, a
+    column of bare earth, those outside this mask. Outliers are off the median by over three median deviations.
     """
-    own = mask_px.join(px, ["scene_id", "row", "col"])
-    roof = own.groupBy("scene_id", "mask_id").agg(
-        F.count(height).alias("n_px"), F.median(height).alias("roof_m"), F.avg((F.col("sem") == vegetation).cast("double")).alias("vegetation")
-    )
-    spread = own.join(roof, ["scene_id", "mask_id"]).groupBy("scene_id", "mask_id").agg(F.median(F.abs(F.col(height) - F.col("roof_m"))).alias("mad_m"))
-    offsets = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-ring, ring + 1) for j in range(-ring, ring + 1))))
-    around = mask_px.select("scene_id", "mask_id", "row", "col", offsets.alias("o"))
-    around = around.select("scene_id", "mask_id", (F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col")).distinct()
-    free = around.join(mask_px.select("scene_id", "row", "col").distinct(), ["scene_id", "row", "col"], "left_anti")
-    ground = free.join(px, ["scene_id", "row", "col"]).groupBy("scene_id", "mask_id").agg(F.median(height).alias("ground_m"))
-    out = roof.join(spread, ["scene_id", "mask_id"]).join(ground, ["scene_id", "mask_id"], "left")
+    keys = ["scene_id", "mask_id"]
+    cols = ["sem", height] if ground is None else ["sem", height, ground]
+    inner = shrunk(mask_px, "mask_id", edge).withColumn("_in", F.lit(True))
+    own = mask_px.join(px.select("scene_id", "row", "col", *dict.fromkeys(cols)), ["scene_id", "row", "col"]).join(inner, [*keys, "row", "col"], "left")
+    own = written(own.select(*keys, "sem", F.col(height).alias("_h"), F.coalesce("_in", F.lit(False)).alias("_in")), "zones")
+    inside = F.when(F.col("_in"), F.col("_h"))
+    roof = own.groupBy(*keys).agg(
+        F.count("_h").alias("n_px"), F.count_if("_in").alias("_n_in"), F.count(inside).alias("_nc"), F.median(inside).alias("_rc"), F.median("_h").alias("_rm"), F.avg((F.col("sem") == vegetation).cast("double")).alias("vegetation")
+    )
+    cored = F.col("_n_in") > 0
+    roof = roof.select(*keys, "n_px", F.when(cored, F.col("_nc")).otherwise(F.col("n_px")).alias("n_roof"), F.when(cored, F.col("_rc")).otherwise(F.col("_rm")).alias("roof_m"), "vegetation", cored.alias("_cored"))
+    off = own.join(roof, keys).filter(F.col("_in") | ~F.col("_cored")).select(*keys, F.abs(F.col("_h") - F.col("roof_m")).alias("_off"))
+    spread = off.groupBy(*keys).agg(F.median("_off").alias("mad_m"))
+    odd = off.join(spread, keys).groupBy(*keys).agg(F.avg((F.col("_off") > 3 * F.greatest("mad_m", F.lit(1e-3))).cast("double")).alias("outlier_share"))
+    around = grown(mask_px, "mask_id", ring)
+    free = around.join(mask_px.select("scene_id", "row", "col").distinct(), ["scene_id", "row", "col"], "left_anti") if ground is None else around.join(mask_px.select(*keys, "row", "col"), [*keys, "row", "col"], "left_anti")
+    level = free.join(px.select("scene_id", "row", "col", F.col(ground or height).alias("_g")), ["scene_id", "row", "col"]).groupBy(*keys).agg(F.median("_g").alias("ground_m"))
+    out = roof.drop("_cored").join(spread, keys, "left").join(odd, keys, "left").join(level, keys, "left")
     out = out.withColumn("height_m", F.col("roof_m") - F.col("ground_m"))
-    refused = F.when(F.col("n_px") < 40, "small").when(F.col("vegetation") > 0.6, "vegetation").when(F.col("height_m") < 2.5, "low")
-    return out.withColumn("refused", refused)
+    refused = (
+        F.when(F.col("n_px") < LEAST_PX, "small").when(F.col("n_roof") < LEAST_ROOF, "few roof pixels").when(F.col("ground_m").isNull(), "no ground")
+        .when(F.col("vegetation") > MOST_GREEN, "vegetation").when(F.col("height_m") < LEAST_HEIGHT_M, "low")
+    )
+    green = F.when(F.col("vegetation") > SOME_GREEN, F.concat(F.bround(F.col("vegetation") * 100, 0).cast("int"), F.lit("% of this footprint reads as vegetation")))
+    loose = F.when(F.col("mad_m") > MOST_SCATTER_M, F.concat(F.lit("roof height scatters by "), F.format_string("%.1f", "mad_m"), F.lit(" m MAD")))
+    return out.withColumn("refused", refused).withColumn("note", F.concat_ws("; ", green, loose))
 
 
 def fit_plane(points: DataFrame, by: tuple[str, ...] = ("scene_id", "mask_id"), z: str = "z") -> DataFrame:

@@ -296,6 +296,6 @@ def select_buildings(pixels: DataFrame, px: DataFrame, height: str, h: int, w: i
     own = own.select("scene_id", "instance", "mask_id", "p.row", "p.col").distinct()
     large = own.groupBy("scene_id", "instance", "mask_id").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).select("scene_id", "instance", "mask_id")
     kept = own.join(large, ["scene_id", "instance", "mask_id"], "left_semi")
-    measured = instances.zonal_measure(kept.drop("instance"), px, height).filter("refused is null").drop("refused")
+    measured = instances.zonal_measure(kept.drop("instance"), px, height).filter("refused is null").drop("refused", "n_roof", "outlier_share", "note")
     order = W.partitionBy("scene_id").orderBy("instance", "mask_id")
     return measured.join(large, ["scene_id", "mask_id"]).withColumn("building", F.row_number().over(order)).drop("mask_id")

@@ -113,13 +113,14 @@ feet AS (SELECT scene_id, mask_id, count(*) AS n_feet FROM foot GROUP BY ALL)
 
 def city(spark: SparkSession, sf_dir: str, floor: bool = False) -> tuple[DataFrame, DataFrame]:
     """Solids over unpinched cells, five metres and the surface high, on ground 0."""
-    cells = solids.unpinch(pinched_cells(spark, sf_dir).filter(f"row < {N - 1} and col < {N - 1}"))
+    there = views.full_grid(spark, sf_dir, 1).select("scene_id")
+    cells = solids.unpinch(pinched_cells(spark, sf_dir).filter(f"row < {N - 1} and col < {N - 1}").join(there, "scene_id", "left_semi"))
     roof = solids.cells_to_pixels(cells).join(views.surface(spark, sf_dir).select("scene_id", "row", "col", (F.col("z") + 5).alias("z")), ["scene_id", "row", "col"])
     ground = cells.select("scene_id", "mask_id").distinct().withColumn("ground_m", F.lit(0.0))
     return solids.building_solids(cells, roof, ground, N, N, 0.5, floor=floor)
 
 
-SOLID_SQL = SOLID_SQL.replace('WHERE ("row" * 5 + col * 3 + mask_id) % 7 < 5', f'WHERE ("row" * 5 + col * 3 + mask_id) % 7 < 5 AND "row" < {N - 1} AND col < {N - 1}')
+SOLID_SQL = SOLID_SQL.replace('WHERE ("row" * 5 + col * 3 + mask_id) % 7 < 5', f'WHERE ("row" * 5 + col * 3 + mask_id) % 7 < 5 AND "row" < {N - 1} AND col < {N - 1} AND scene_id IN (SELECT scene_id FROM px_full)')
 
 
 @registry.add(

@@ -141,18 +141,21 @@ def mask_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add(
     MASK_SQL
-    + """, b AS (SELECT * FROM mask_px), k AS (SELECT b.scene_id, mask_id, ref_mm / 1000.0 AS z, sem FROM b JOIN px p ON p.scene_id = b.scene_id AND p."row" = b."row" AND p.col = b.col),
-r AS (SELECT scene_id, mask_id, count(z) AS n_px, median(z) AS roof_m, avg(CAST(sem = 3 AS INTEGER)) AS vegetation FROM k GROUP BY ALL),
-d AS (SELECT scene_id, mask_id, median(abs(z - roof_m)) AS mad_m FROM k JOIN r USING (scene_id, mask_id) GROUP BY ALL),
+    + """, b AS (SELECT * FROM mask_px), i AS (SELECT x.scene_id, x.mask_id, x."row", x.col FROM b x JOIN b y ON y.mask_id = x.mask_id AND abs(y."row" - x."row") <= 2 AND abs(y.col - x.col) <= 2 GROUP BY ALL HAVING count(*) = 25),
+k AS (SELECT b.scene_id, b.mask_id, ref_mm / 1000.0 AS z, sem, i.mask_id IS NOT NULL AS cored FROM b JOIN px p ON p.scene_id = b.scene_id AND p."row" = b."row" AND p.col = b.col LEFT JOIN i ON i.mask_id = b.mask_id AND i."row" = b."row" AND i.col = b.col),
+r AS (SELECT scene_id, mask_id, count(z) AS n_px, bool_or(cored) AS has_core, CASE WHEN bool_or(cored) THEN count(z) FILTER (cored) ELSE count(z) END AS n_roof, CASE WHEN bool_or(cored) THEN median(z) FILTER (cored) ELSE median(z) END AS roof_m, avg(CAST(sem = 3 AS INTEGER)) AS vegetation FROM k GROUP BY ALL),
+f AS (SELECT k.scene_id, k.mask_id, abs(z - roof_m) AS gap FROM k JOIN r ON r.mask_id = k.mask_id AND r.scene_id = k.scene_id WHERE cored OR NOT has_core), d AS (SELECT scene_id, mask_id, median(gap) AS mad_m FROM f GROUP BY ALL),
+o AS (SELECT scene_id, mask_id, avg(CAST(gap > 3 * greatest(mad_m, 1e-3) AS INTEGER)) AS outlier_share FROM f JOIN d USING (scene_id, mask_id) GROUP BY ALL),
 u AS (SELECT DISTINCT scene_id, mask_id, "row" + i.range AS "row", col + j.range AS col FROM b, range(-3, 4) i, range(-3, 4) j),
 g AS (SELECT u.scene_id, u.mask_id, median(ref_mm / 1000.0) AS ground_m FROM u JOIN px p ON p.scene_id = u.scene_id AND p."row" = u."row" AND p.col = u.col
   WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.scene_id = u.scene_id AND b."row" = u."row" AND b.col = u.col) GROUP BY ALL)
-SELECT scene_id, mask_id, n_px, round(roof_m, 6) AS roof_m, round(vegetation, 6) AS vegetation, round(mad_m, 6) AS mad_m, round(ground_m, 6) AS ground_m, round(roof_m - ground_m, 6) AS height_m,
-  CASE WHEN n_px < 40 THEN 'small' WHEN vegetation > 0.6 THEN 'vegetation' WHEN roof_m - ground_m < 2.5 THEN 'low' END AS refused FROM r JOIN d USING (scene_id, mask_id) LEFT JOIN g USING (scene_id, mask_id)"""
+SELECT scene_id, mask_id, n_px, n_roof, round(roof_m, 6) AS roof_m, round(vegetation, 6) AS vegetation, round(mad_m, 6) AS mad_m, round(outlier_share, 6) AS outlier_share, round(ground_m, 6) AS ground_m, round(roof_m - ground_m, 6) AS height_m,
+  CASE WHEN n_px < 40 THEN 'small' WHEN n_roof < 8 THEN 'few roof pixels' WHEN ground_m IS NULL THEN 'no ground' WHEN vegetation > 0.6 THEN 'vegetation' WHEN roof_m - ground_m < 2.5 THEN 'low' END AS refused
+FROM r JOIN d USING (scene_id, mask_id) JOIN o USING (scene_id, mask_id) LEFT JOIN g USING (scene_id, mask_id)"""
 )
 def zonal_measure(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = masks(spark, sf_dir)
-    return rounded(instances.zonal_measure(own, metres(spark, sf_dir).select("scene_id", "row", "col", "ref", "sem"), "ref"))
+    return rounded(instances.zonal_measure(own, metres(spark, sf_dir).select("scene_id", "row", "col", "ref", "sem"), "ref").drop("note"))
 
 
 @registry.add(

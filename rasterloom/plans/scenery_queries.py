@@ -178,6 +178,9 @@ def collect_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.add()
 def select_buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Buildings among the painted masks; tests hold the operator against a fixture."""
-    px = metres(spark, sf_dir).select("scene_id", "row", "col", "sem", "h_ref")
-    return rounded(scenery.select_buildings(instances.paint_instances(masks(spark, sf_dir), 12)[1], px, "h_ref", N, N))
+    """Buildings among the painted masks, each level and seven metres or more above a ground of little relief; tests hold the operator against a fixture."""
+    painted = instances.paint_instances(masks(spark, sf_dir), 12)[1]
+    px = views.full_grid(spark, sf_dir).join(painted, ["scene_id", "row", "col"], "left")
+    up = F.col("col") % 4 / 10 + F.when(F.col("instance").isNotNull(), 8 + F.col("instance") % 7).otherwise(1.0)
+    own = px.select("scene_id", "row", "col", F.when(F.col("instance") % 9 == 4, 3).otherwise(2).alias("sem"), up.alias("up"))
+    return rounded(scenery.select_buildings(painted, own, "up", N, N))

@@ -301,3 +301,34 @@ def test_facades_read_their_own_building(spark):
     tiny = v.filter("part = 'roof'").filter("row < 6 and col < 8")
     moved = solids.facade_uv(tiny, flags.limit(0).withColumn("mask_id", F.lit(0)), size, size, 0.5).filter("row = 4 and col = 6").first()
     assert abs(moved["uv_row"] - 4 - 0.225) < 1e-9
+
+
+def test_zones_tell_outliers_and_why_they_are_refused(spark):
+    size = 40
+    z = np.ones((size, size))
+    sem = np.full((size, size), 2)
+    boxes = [(2, 2, 10, 10), (2, 20, 10, 10), (20, 2, 8, 8), (20, 20, 5, 9), (32, 2, 3, 20)]
+    masks = []
+    for k, (y, x, h, w) in enumerate(boxes):
+        m = np.zeros((size, size), bool)
+        m[y : y + h, x : x + w] = True
+        z[m] = 8 + k
+        masks.append(m)
+    z[5, 5] = 30.0  # one of 36 roof pixels
+    z[2, 2] = 90.0  # on the rim, which isn't read
+    sem[2:12, 20:24] = 3
+    sem[20:28, 2:8] = 3
+    z[22:26, 24] = np.nan
+    px = spark.createDataFrame([(0, r, c, int(sem[r, c]), float(z[r, c]) if np.isfinite(z[r, c]) else None) for r in range(size) for c in range(size)], PX + ", sem int, z double").withColumn("dtm", F.lit(0.5))
+    from rasterloom.operators import instances
+
+    got = {r["mask_id"]: r for r in instances.zonal_measure(pixels(spark, masks), px, "z").collect()}
+    assert (got[0]["n_px"], got[0]["n_roof"], got[0]["roof_m"], got[0]["height_m"], got[0]["refused"], got[0]["note"]) == (100, 36, 8.0, 7.0, None, "")
+    assert abs(got[0]["outlier_share"] - 1 / 36) < 1e-9
+    assert got[1]["refused"] is None and got[1]["note"] == "40% of this footprint reads as vegetation"
+    assert got[2]["refused"] == "vegetation"
+    assert got[3]["n_roof"] == 4 and got[3]["refused"] == "few roof pixels"
+    # No pixel lies two inside: the whole mask is read.
+    assert got[4]["n_roof"] == 60 and got[4]["refused"] is None
+    bare = {r["mask_id"]: r for r in instances.zonal_measure(pixels(spark, masks), px, "z", ground="dtm").collect()}
+    assert bare[0]["height_m"] == 7.5
