@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.operators import adaptive, calibration, focal, mesh, mosaic, outlines, runs, scenery, solids
+from rasterloom.operators import adaptive, calibration, focal, mesh, mosaic, outlines, proposals, regular, runs, scenery, solids
 from rasterloom.plans.calibration_queries import graph_anchors
 from rasterloom.plans.focal_queries import S_SQL
 from rasterloom.plans.mesh_queries import MASK_SQL, masks
@@ -289,3 +289,35 @@ def delivery_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/tileset-{uuid.uuid4().hex}"
     runs.build_tileset(px, ["z"], path, N, N, 24, 1, 2)
     return rounded(runs.delivery_report(px, ["z"], runs.read_tiles(spark, path), N, N, 2, (16, 8)))
+
+
+@registry.add()
+def regular_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines of all masks with notches, squared up where that holds; tests hold the operator against turned rectangles, an L and a circle."""
+    out = regular.regular_outlines(punched(spark, sf_dir), N, N, 0.5)
+    return rounded(out.select("scene_id", "mask_id", "stage", "vertices_in", "vertices_out", "area_change", "max_shift_m", "angle_deg", F.array_join("refused", "; ").alias("refused")), 4)
+
+
+def levels():
+    """Loaded once a worker: the pixels of a chip over each of four levels, as sure as the level is high."""
+
+    def find(image: np.ndarray) -> list[tuple[np.ndarray, float, float]]:
+        r = image[..., 0].astype(int)
+        return [(r >= t, t / 256, float((r >= t + 8).sum()) / max(float((r >= t - 8).sum()), 1.0)) for t in (100, 144, 160, 200)]
+
+    return find
+
+
+@registry.add(
+    S_SQL
+    + """, t AS (SELECT unnest([100, 144, 160, 200]) AS t),
+p AS (SELECT scene_id, "row" // 32 * 32 AS y, col // 32 * 32 AS x, t, count(*) FILTER (r >= t) AS area_px, count(*) FILTER (r >= t + 8) / greatest(count(*) FILTER (r >= t - 8), 1) AS stability,
+  min("row") FILTER (r >= t) AS y0, min(col) FILTER (r >= t) AS x0, max("row") FILTER (r >= t) AS y1, max(col) FILTER (r >= t) AS x1 FROM px, t GROUP BY ALL)
+SELECT scene_id, CAST(y AS INTEGER) AS chip_row, CAST(x AS INTEGER) AS chip_col, t / 256 AS iou, round(stability, 6) AS stability, CAST(area_px AS INTEGER) AS area_px, area_px AS n_px, y0, x0, y1, x1 FROM p WHERE t / 256 >= 0.55 AND stability >= 0.75 AND area_px >= 64"""
+)
+def mask_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proposals of every chip of 32 pixels that pass the thresholds, with the pixels counted from the second table."""
+    records, found = proposals.mask_source(views.px(spark, sf_dir), ("r",), N, N, levels, 32, 0.0)
+    n = found.groupBy("scene_id", "mask_id").agg(F.count("*").alias("n_px"))
+    out = records.join(n, ["scene_id", "mask_id"])
+    return rounded(out.select("scene_id", F.col("r").alias("chip_row"), F.col("c").alias("chip_col"), "iou", "stability", "area_px", "n_px", "y0", "x0", "y1", "x1"))
