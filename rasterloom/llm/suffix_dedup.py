@@ -35,9 +35,10 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import batches_of, hash_sample, mix64, texts, written
+from rasterloom.llm.common import batches_of, mix64, texts, written
 
 W, GRAM = 200, 40
 #: Places of an anchor within its window.
@@ -46,8 +47,8 @@ PLACES = W - GRAM + 1
 STEPS = (PLACES, 23, 1)
 #: Suffixes of a sorted run, and of a range after the exchange.
 RUN, RANGE = 40_000, 30_000
-#: Documents whose suffixes are sampled for the splitters.
-SAMPLED = 512
+#: Contexts that are sampled for each range asked for, and sampled keys that one task ranks.
+PER_RANGE, RANKED = 64, 100_000
 
 _MULT = np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
 _INVERSE = np.uint64(pow(int(_MULT), -1, 2**64))
@@ -339,9 +340,26 @@ def _keys_of(text: str, first: int):
     return run
 
 
-def _splitters(sample: list[bytes], n: int) -> list[bytes]:
-    own = sorted(sample)
-    return sorted({own[len(own) * k // n] for k in range(1, n)}) if own and n > 1 else []
+def range_splitters(body: DataFrame, contexts: DataFrame, text: str, first: int, n: int) -> list[bytes]:
+    """First bytes that cut ``contexts`` into about ceil(n / RANGE) ranges of RANGE each; ``n`` is their number.
+
+    One of every RANGE / PER_RANGE contexts, by hash, gives its key, whatever text it is from, so
+    ranges keep their size as contexts become more. Keys are sorted and ranked by Spark, and just
+    every PER_RANGE-th reaches the driver: one a range.
+    """
+    if n <= RANGE:
+        return []
+    some = contexts.filter(F.pmod(F.xxhash64("gram", "context"), F.lit(max(1, RANGE // PER_RANGE))) == 0)
+    _, sampled = _with_wanted(body, some, text)
+    keys = written(sampled.select(text, "wanted").mapInArrow(_keys_of(text, first), "key binary"), "sampled-keys")
+    parts = -(-keys.count() // RANKED)
+    dealt = written((keys.repartitionByRange(parts, "key") if parts > 1 else keys.coalesce(1)).withColumn("p", F.spark_partition_id()), "dealt-keys")
+    # A row a part: the parts are in the order of their keys.
+    sizes = dealt.groupBy("p").agg(F.count("*").alias("n"))
+    before = sizes.select("p", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("before"))
+    rank = F.col("before") + F.row_number().over(Window.partitionBy("p").orderBy("key"))
+    chosen = dealt.join(before, "p").withColumn("rank", rank).filter(F.col("rank") % PER_RANGE == 0)
+    return sorted({bytes(r["key"]) for r in chosen.select("key").collect()})
 
 
 _ANCHOR = "row_key long, pos long, low short, high short, gram long, context long"
@@ -392,13 +410,7 @@ def _with_wanted(body: DataFrame, contexts: DataFrame, text: str) -> tuple[DataF
 def _merge(body: DataFrame, contexts: DataFrame, text: str, first: int) -> DataFrame:
     """gram, context, d_low, d_high of repeated windows of distinct contexts, by the distributed merge sort."""
     wanted, runs = _with_wanted(body, contexts, text)
-    ranges = max(1, -(-contexts.count() // RANGE))
-    splitters: list[bytes] = []
-    if ranges > 1:
-        # At most SAMPLED documents, so what is broadcast and what comes back is bounded by their texts.
-        some = hash_sample(wanted, "row_key", SAMPLED)
-        keys = body.join(F.broadcast(some), "row_key").select(text, "wanted").mapInArrow(_keys_of(text, first), "key binary")
-        splitters = _splitters([r["key"] for r in keys.collect()], ranges)
+    splitters = range_splitters(body, contexts, text, first, contexts.count())
     segments = runs.select(text, "wanted").mapInArrow(_runs_of(text, splitters, first), "part int, segment binary")
     return written(segments.groupBy("part").applyInPandas(_merged, "gram long, context long, d_low int, d_high int"), "repeats")
 
