@@ -58,6 +58,14 @@ def bilinear_at(px: DataFrame, points: DataFrame, value: str, h: int, w: int, na
     return joined.groupBy(*points.columns).agg(F.sum(F.col("w") * F.col("_v")).alias(name))
 
 
+def nearest_at(px: DataFrame, points: DataFrame, value: str, h: int, w: int, name: str) -> DataFrame:
+    """``points`` (scene_id, y, x) with the value of the nearest pixel, halves to the even one, for classes that have no mean; null outside the raster."""
+    inside = F.col("y").between(0, h - 1) & F.col("x").between(0, w - 1)
+    at = points.withColumns({"_row": F.when(inside, F.rint("y").cast("int")), "_col": F.when(inside, F.rint("x").cast("int"))})
+    own = px.select("scene_id", F.col("row").alias("_row"), F.col("col").alias("_col"), F.col(value).alias(name))
+    return at.join(own, ["scene_id", "_row", "_col"], "left").select(*points.columns, name)
+
+
 def profile(px: DataFrame, lines: DataFrame, value: str, h: int, w: int, gsd: float = 1.0, n: int = 512) -> DataFrame:
     """``n`` samples along each line (line_id, scene_id, r0, c0, r1, c1): step, distance and bilinear value."""
     t = F.col("step") / (n - 1)

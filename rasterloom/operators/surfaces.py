@@ -58,6 +58,29 @@ def guided_filter(px: DataFrame, src: str, guide: str, radius: int, eps: float,
     return out.withColumn(name, F.col("_a") * g + F.col("_b")).drop("_s", "_g", "_gs", "_gg", "_a", "_b")
 
 
+def refine_heights(
+    px: DataFrame, height: str, guide: str, h: int, w: int, gsd: float, radius: float = 2.0, eps: float = 4e-3, clamp: float | None = None, preserve: float = 30.0
+) -> DataFrame:
+    """Adds ``refined``, heights above ground with the edges of ``guide`` (luminance in 0 to 1), and ``moved``, by how much each pixel changed.
+
+    The mean over ``preserve`` metres is held: what is added is taken from there. No pixel moves by
+    over ``clamp`` metres (a quarter of the scene's 99th percentile, to a millimetre, if not given)
+    or under 0. Null heights count as 0.
+    """
+    own = px.withColumn("_z", F.coalesce(F.col(height), F.lit(0.0)))
+    sharp = guided_filter(own, "_z", guide, max(1, round(radius / gsd)), eps, h, w, "_sharp").withColumn("_dz", F.col("_sharp") - F.col("_z"))
+    held = focal.box_mean(sharp, "_dz", max(1, round(preserve / gsd)), h, w, "_mean", "nearest")
+    if clamp is None:
+        most = ranks.quantiles(own, "_z", (0.99,), ("scene_id",)).select("scene_id", (0.25 * F.col("q")[0]).alias("_most"))
+        held = held.join(most, "scene_id")
+    else:
+        held = held.withColumn("_most", F.lit(float(clamp)))
+    step = F.col("_dz") - F.col("_mean")
+    bound = F.when(F.col("_most") > 0, F.least(F.greatest(step, -F.col("_most")), F.col("_most"))).otherwise(step)
+    out = held.withColumn("refined", F.greatest(F.col("_z") + bound, F.lit(0.0)))
+    return out.withColumn("moved", F.col("refined") - F.col("_z")).drop("_z", "_sharp", "_dz", "_mean", "_most")
+
+
 def refine_stats(px: DataFrame, moved: str, by: tuple[str, ...] = ("scene_id",), least: float = 0.05) -> DataFrame:
     """Largest and root-mean-square residual, and the share of pixels that moved by more than ``least``."""
     m = F.col(moved)

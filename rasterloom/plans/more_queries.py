@@ -36,6 +36,17 @@ def resample_to_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(grid.join(found, ["scene_id", "row", "col"], "left"), 8)
 
 
+@registry.add(
+    S_SQL
+    + f""", g AS (SELECT s.scene_id, CAST(y.range AS INTEGER) AS "row", CAST(x.range AS INTEGER) AS col, y.range * 1.75 - 3 AS y, x.range * 1.25 + 0.5 AS x FROM (SELECT DISTINCT scene_id FROM grid) s, range(40) y, range(48) x)
+SELECT g.scene_id, g."row", g.col, p.sem FROM g LEFT JOIN px_full p ON p.scene_id = g.scene_id AND p."row" = round_even(g.y, 0) AND p.col = round_even(g.x, 0) AND g.y BETWEEN 0 AND {N - 1} AND g.x BETWEEN 0 AND {N - 1}"""
+)
+def resample_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes on a coarser, shifted grid, each from the nearest pixel; null outside the source."""
+    points = views.full_grid(spark, sf_dir, 40, 48).withColumns({"y": F.col("row") * 1.75 - 3, "x": F.col("col") * 1.25 + 0.5})
+    return joins.nearest_at(views.px_full(spark, sf_dir), points, "sem", N, N, "sem").select("scene_id", "row", "col", "sem")
+
+
 @registry.add(
     M_SQL
     + """, q AS (SELECT o_orderkey, CAST(o_orderkey // 1024 AS INTEGER) AS scene_id, (o_orderkey % 80) * 0.5 + 0.25 AS x, -((o_orderkey // 7) % 80) * 0.5 - 0.25 AS y FROM orders)

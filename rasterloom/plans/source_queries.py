@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from rasterloom.plans.focal_queries import S_SQL
 from rasterloom.plans.join_queries import _AB, _FIT, _HUBER, A_SQL, LINES_SQL, lines
 from rasterloom.plans.registry import Registry, rounded
 from rasterloom.plans.score_queries import M_SQL, metres
+from rasterloom.session import shared_folder
 from rasterloom.sources import scenes, views
 
 registry = Registry()
@@ -141,6 +144,26 @@ def refine_semantics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harvest.refine_semantics(px.select("scene_id", "row", "col", "sem"), px.filter("g < 30"), road).select("scene_id", "row", "col", "refined")
 
 
+@registry.add(
+    f"""WITH {views.PX_SQL}, o AS ({registry.sql["refine_semantics"]})
+SELECT scene_id, count(*) AS n_px, count(*) FILTER (refined <> sem AND refined = 2) AS to_building, count(*) FILTER (refined <> sem AND refined = 1) AS to_road, count(*) FILTER (sem = 4) AS water_kept,
+  round(avg(CAST(refined <> sem AS INTEGER)), 6) AS changed_fraction FROM o JOIN px USING (scene_id, "row", col) GROUP BY scene_id"""
+)
+def refine_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What footprints and roads change, by scene."""
+    sem = views.px(spark, sf_dir).select("scene_id", "row", "col", "sem")
+    return rounded(harvest.refine_report(refine_semantics(spark, sf_dir).join(sem, ["scene_id", "row", "col"])))
+
+
+@registry.add(f"""WITH {views.ANCHORS_SQL} SELECT "row", col, value_mm / 1000.0 AS elev_m, source AS label FROM anchors""")
+def read_gcps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Survey points, written as CSV with names in other cases and read back."""
+    path = f"{shared_folder(spark)}/gcps-{uuid.uuid4().hex}"
+    own = views.anchors(spark, sf_dir).select(F.col("row").alias("Row"), F.col("col").alias("COL"), (F.col("value_mm") / 1000.0).alias("Elev"), F.col("source").alias("Label"))
+    own.write.option("header", "true").csv(path)
+    return scenes.read_gcps(spark, path)
+
+
 @registry.add()
 def extract_dtm(spark: SparkSession, sf_dir: str) -> DataFrame:
     sem = views.px_full(spark, sf_dir).select("scene_id", "row", "col", "sem")

@@ -332,3 +332,36 @@ def test_zones_tell_outliers_and_why_they_are_refused(spark):
     assert got[4]["n_roof"] == 60 and got[4]["refused"] is None
     bare = {r["mask_id"]: r for r in instances.zonal_measure(pixels(spark, masks), px, "z", ground="dtm").collect()}
     assert bare[0]["height_m"] == 7.5
+
+
+def test_refined_heights_hold_their_mean_and_stay_bounded(spark):
+    from rasterloom.operators import surfaces
+
+    size = 40
+    rng = np.random.default_rng(8)
+    z = np.zeros((size, size))
+    z[10:25, 12:30] = 8
+    z += rng.random((size, size))
+    guide = np.where(z > 4, 0.8, 0.2)
+    px = spark.createDataFrame([(0, r, c, None if (r, c) == (3, 3) else float(z[r, c]), float(guide[r, c])) for r in range(size) for c in range(size)], PX + ", z double, g double")
+    z[3, 3] = 0
+
+    def box(a, k):
+        p = np.pad(a, k, mode="edge")
+        return np.lib.stride_tricks.sliding_window_view(p, (2 * k + 1, 2 * k + 1)).mean((2, 3))
+
+    a = (box(guide * z, 2) - box(guide, 2) * box(z, 2)) / (box(guide * guide, 2) - box(guide, 2) ** 2 + 4e-3)
+    b = box(z, 2) - a * box(guide, 2)
+    dz = box(a, 2) * guide + box(b, 2) - z
+    for clamp, most in ((None, 0.25 * np.percentile(np.round(z, 3), 99)), (0.2, 0.2)):
+        want = np.maximum(z + np.clip(dz - box(dz, 6), -most, most), 0)
+        got = surfaces.refine_heights(px, "z", "g", size, size, 1.0, clamp=clamp, preserve=6.0).toPandas()
+        assert np.abs(got["refined"] - want[got["row"], got["col"]]).max() < 1e-3 and np.abs(got["moved"]).max() <= most + 1e-3
+        assert np.allclose(got["refined"] - got["moved"], z[got["row"], got["col"]])
+
+
+def test_nearest_classes(spark):
+    px = spark.createDataFrame([(0, r, c, 10 * r + c) for r in range(4) for c in range(5)], PX + ", k int")
+    at = [(0, 0.49, 0.0), (0, 0.5, 1.5), (0, 1.5, 3.2), (0, 3.0, 4.0), (0, 3.1, 0.0), (0, -0.2, 0.0)]
+    got = joins.nearest_at(px, spark.createDataFrame(at, "scene_id int, y double, x double"), "k", 4, 5, "k")
+    assert {(r["y"], r["x"]): r["k"] for r in got.collect()} == {(0.49, 0.0): 0, (0.5, 1.5): 2, (1.5, 3.2): 23, (3.0, 4.0): 34, (3.1, 0.0): None, (-0.2, 0.0): None}
