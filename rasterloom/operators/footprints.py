@@ -115,6 +115,30 @@ def box_nms(boxes: DataFrame, iou: float = 0.7, cell: int = 64) -> DataFrame:
     return kept.withColumn("rank", F.row_number().over(W.partitionBy("scene_id").orderBy(F.desc("area_px"), "mask_id")))
 
 
+def refit_plane(points: DataFrame, by: tuple[str, ...] = ("scene_id", "mask_id"), z: str = "z", tolerance: float = 0.6, least: int = 8) -> DataFrame:
+    """Per group the plane z = a col + b row + c, fitted again without points off it by more than the larger of ``tolerance`` and three median deviations; n, share of points within ``tolerance`` and RMSE over all points.
+
+    There is no second fit where it would drop none, or leave under ``least`` points; groups of
+    under ``least`` points have no plane and a share of 0.
+    """
+    keys = list(by)
+    own = points.filter(F.col(z).isNotNull()).select(*by, "row", "col", F.col(z).cast("double").alias("_z"))
+    size = own.groupBy(*by).agg(F.count("*").alias("n"))
+    own = written(own.join(size.filter(F.col("n") >= least).select(*by), keys, "left_semi"), "plane-points")
+    plane = lambda df: instances.fit_plane(df, by, "_z").select(*by, "a", "b", "c")
+    off = F.col("_z") - F.col("a") * F.col("col") - F.col("b") * F.col("row") - F.col("c")
+    first = written(plane(own), "planes")
+    gaps = own.join(first, keys).select(*by, "row", "col", "_z", off.alias("_r"))
+    middle = gaps.groupBy(*by).agg(F.median("_r").alias("_m"))
+    mad = gaps.join(middle, keys).groupBy(*by).agg(F.median(F.abs(F.col("_r") - F.col("_m"))).alias("_mad"))
+    judged = gaps.join(mad, keys).withColumn("_k", F.abs("_r") <= F.greatest(F.lit(tolerance), 3 * F.col("_mad")))
+    again = judged.groupBy(*by).agg(F.count_if("_k").alias("_n"), F.count("*").alias("_all")).filter((F.col("_n") >= least) & (F.col("_n") < F.col("_all")))
+    second = plane(judged.filter("_k").join(again.select(*by), keys, "left_semi")).select(*by, *(F.col(c).alias(f"_{c}") for c in "abc"))
+    line = first.join(second, keys, "left").select(*by, *(F.coalesce(f"_{c}", c).alias(c) for c in "abc"))
+    fit = own.join(line, keys).groupBy(*by, "a", "b", "c").agg(F.avg((F.abs(off) <= tolerance).cast("double")).alias("inlier"), F.sqrt(F.avg(off * off)).alias("rmse"))
+    return size.join(fit, keys, "left").na.fill(0.0, ["inlier"])
+
+
 def choose_roof(points: DataFrame, by: tuple[str, ...] = ("scene_id", "mask_id"), z: str = "z", planes: bool = False) -> DataFrame:
     """Per roof: mode (platform, plane or measured), median height, deviation, pitch and share of inliers; with ``planes`` also the line z = a col + b row + c.
 

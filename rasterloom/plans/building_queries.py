@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.operators import adaptive, calibration, focal, mesh, mosaic, outlines, proposals, regular, runs, scenery, solids
+from rasterloom.operators import adaptive, calibration, focal, footprints, mesh, mosaic, outlines, proposals, regular, runs, scenery, solids
 from rasterloom.plans.calibration_queries import graph_anchors
 from rasterloom.plans.focal_queries import S_SQL
 from rasterloom.plans.mesh_queries import MASK_SQL, masks
@@ -321,3 +321,27 @@ def mask_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = found.groupBy("scene_id", "mask_id").agg(F.count("*").alias("n_px"))
     out = records.join(n, ["scene_id", "mask_id"])
     return rounded(out.select("scene_id", F.col("r").alias("chip_row"), F.col("c").alias("chip_col"), "iou", "stability", "area_px", "n_px", "y0", "x0", "y1", "x1"))
+
+
+def _plane_sql(t: str) -> str:
+    """SQL of the least-squares plane of each group of ``t`` (scene_id, mask_id, x, y, z); zero slopes' place is null for points on a line."""
+    return f"""SELECT scene_id, mask_id, a, b, mz - a * mx - b * my AS c FROM (SELECT *, (xz * yy - yz * xy) / d AS a, (yz * xx - xz * xy) / d AS b FROM (SELECT *, CASE WHEN abs(xx * yy - xy * xy) * n * n > 1e-9 THEN xx * yy - xy * xy END AS d FROM (
+  SELECT scene_id, mask_id, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, var_pop(x) AS xx, var_pop(y) AS yy, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, z) AS yz FROM {t} GROUP BY ALL)))"""
+
+
+@registry.add(
+    MASK_SQL
+    + f""", k AS (SELECT b.scene_id, mask_id, ref_mm / 1000.0 + 0.0 AS z, b."row" AS y, b.col AS x FROM mask_px b JOIN px p ON p.scene_id = b.scene_id AND p."row" = b."row" AND p.col = b.col), n AS (SELECT scene_id, mask_id, count(*) AS n FROM k GROUP BY ALL),
+e AS (SELECT k.* FROM k JOIN n USING (scene_id, mask_id) WHERE n >= 8), f AS ({_plane_sql("e")}), r AS (SELECT e.*, z - a * x - b * y - c AS r FROM e JOIN f USING (scene_id, mask_id)),
+m AS (SELECT scene_id, mask_id, median(r) AS m FROM r GROUP BY ALL), d AS (SELECT scene_id, mask_id, median(abs(r - m)) AS mad FROM r JOIN m USING (scene_id, mask_id) GROUP BY ALL),
+j AS (SELECT r.*, abs(r) <= greatest(6000, 3 * mad) AS k FROM r JOIN d USING (scene_id, mask_id)), w AS (SELECT scene_id, mask_id FROM j GROUP BY ALL HAVING count(*) FILTER (k) >= 8 AND count(*) FILTER (k) < count(*)),
+g AS (SELECT j.scene_id, j.mask_id, x, y, z FROM j JOIN w USING (scene_id, mask_id) WHERE k), h AS ({_plane_sql("g")}),
+l AS (SELECT f.scene_id, f.mask_id, coalesce(h.a, f.a) AS a, coalesce(h.b, f.b) AS b, coalesce(h.c, f.c) AS c FROM f LEFT JOIN h ON h.scene_id = f.scene_id AND h.mask_id = f.mask_id),
+o AS (SELECT scene_id, mask_id, a, b, c, avg(CAST(abs(z - a * x - b * y - c) <= 6000 AS INTEGER)) AS inlier, sqrt(avg((z - a * x - b * y - c) ** 2)) AS rmse FROM e JOIN l USING (scene_id, mask_id) GROUP BY ALL)
+SELECT scene_id, mask_id, n, round(a + 1e-7, 4) AS a, round(b + 1e-7, 4) AS b, round(c + 1e-7, 3) AS c, round(coalesce(inlier, 0), 6) AS inlier, round(rmse, 3) AS rmse FROM n LEFT JOIN o USING (scene_id, mask_id)"""
+)
+def refit_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planes of all masks, fitted twice; the surface is rough, so the tolerance is 6 000 m. A bit more than each is told, so that no tie of rounding falls on one."""
+    own = masks(spark, sf_dir).join(metres(spark, sf_dir).select("scene_id", "row", "col", F.col("ref").alias("z")), ["scene_id", "row", "col"])
+    out = footprints.refit_plane(own, tolerance=6000.0)
+    return out.select("scene_id", "mask_id", "n", *((F.round(F.col(c) + more, d) + 0.0).alias(c) for c, d, more in (("a", 4, 1e-7), ("b", 4, 1e-7), ("c", 3, 1e-7), ("inlier", 6, 0.0), ("rmse", 3, 0.0))))

@@ -62,6 +62,14 @@ def mosaic_dem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scenes.mosaic_dem(samples)
 
 
+@registry.add(
+    f"""WITH s AS (SELECT DISTINCT {_CELL} FROM lineitem WHERE l_quantity > 10), g AS (SELECT DISTINCT CAST(o_orderkey // 1024 AS INTEGER) AS scene_id FROM orders)
+SELECT g.scene_id, round(count("row") / 4096, 6) AS coverage, CASE WHEN count("row") = 0 THEN 'no elevation tile covers the scene' END AS reason FROM g LEFT JOIN s ON s.scene_id = g.scene_id GROUP BY g.scene_id"""
+)
+def dem_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(scenes.dem_coverage(mosaic_dem(spark, sf_dir), views.full_grid(spark, sf_dir)))
+
+
 @registry.add("""SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 1000)""")
 def completed_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts without a finished order of their number: the work that is left."""

@@ -102,6 +102,20 @@ def mosaic_dem(samples: DataFrame, order: str = "tile", value: str = "v") -> Dat
     return samples.groupBy("scene_id", "row", "col").agg(first.alias(value))
 
 
+def dem_coverage(mosaic: DataFrame, grid: DataFrame, value: str = "v") -> DataFrame:
+    """scene_id, the share of the pixels of ``grid`` that ``mosaic_dem`` has a value for, and a reason where it has none."""
+    share = grid.select("scene_id", "row", "col").join(mosaic, ["scene_id", "row", "col"], "left").groupBy("scene_id").agg(F.avg(F.col(value).isNotNull().cast("double")).alias("coverage"))
+    return share.withColumn("reason", F.when(F.col("coverage") == 0, "no elevation tile covers the scene"))
+
+
+def require_coverage(coverage: DataFrame) -> DataFrame:
+    """The coverage, or an error that names the first scene without any."""
+    bare = coverage.filter("reason is not null").orderBy("scene_id").limit(1).collect()
+    if bare:
+        raise ValueError(f"scene {bare[0]['scene_id']}: {bare[0]['reason']}")
+    return coverage
+
+
 def strict_json(df: DataFrame) -> DataFrame:
     """``json``: each row as JSON, numbers that aren't finite as null."""
     cols = [F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes]
@@ -145,7 +159,15 @@ def read_px(spark: SparkSession, path: str, layers: list[str], nodata: float = -
     return (df.filter(grid) if stride > 1 else df).select("scene_id", "row", "col", *cols)
 
 
-def write_layers(px: DataFrame, path: str, layers: list[str]) -> None:
-    """Writes layers in long form, one folder for each scene and layer, so that a reader of one reads only that."""
+def write_layers(px: DataFrame, path: str, layers: list[str], provenance: DataFrame | None = None) -> None:
+    """Writes layers in long form, one folder for each scene and layer, so that a reader of one reads only that; ``provenance`` (a row a scene) goes beside them."""
     long = px.unpivot(["scene_id", "row", "col"], layers, "layer", "v").filter(F.col("v").isNotNull())
     long.repartition("scene_id", "layer").sortWithinPartitions("row", "col").write.partitionBy("scene_id", "layer").parquet(path)
+    if provenance is not None:
+        # Readers of the layers skip names that begin with an underscore.
+        provenance.write.parquet(f"{path}/_provenance")
+
+
+def read_provenance(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_layers`` was told of each scene."""
+    return spark.read.parquet(f"{path}/_provenance")

@@ -365,3 +365,52 @@ def test_nearest_classes(spark):
     at = [(0, 0.49, 0.0), (0, 0.5, 1.5), (0, 1.5, 3.2), (0, 3.0, 4.0), (0, 3.1, 0.0), (0, -0.2, 0.0)]
     got = joins.nearest_at(px, spark.createDataFrame(at, "scene_id int, y double, x double"), "k", 4, 5, "k")
     assert {(r["y"], r["x"]): r["k"] for r in got.collect()} == {(0.49, 0.0): 0, (0.5, 1.5): 2, (1.5, 3.2): 23, (3.0, 4.0): 34, (3.1, 0.0): None, (-0.2, 0.0): None}
+
+
+def test_planes_are_fitted_again_without_chimneys(spark):
+    rng = np.random.default_rng(9)
+    groups = {0: 12, 1: 7, 2: 12, 3: 9}
+    rows, want = [], {}
+    for k, n in groups.items():
+        y, x = (v.ravel() for v in np.mgrid[0:n, 0:n]) if k != 1 else (np.zeros(7, int), np.arange(7))
+        z = 20 + 0.3 * x - 0.2 * y + rng.normal(scale=0.02, size=x.size)
+        if k in (0, 3):
+            z[: 4 if k == 0 else 20] += 6
+        rows += [(0, k, int(r), int(c), float(v)) for r, c, v in zip(y, x, z, strict=True)]
+        if z.size < 8:
+            want[k] = (z.size, None, 0.0, None)
+            continue
+        m = np.stack([x, y, np.ones_like(x)], 1).astype(float)
+        fit = np.linalg.lstsq(m, z, rcond=None)[0]
+        r = z - m @ fit
+        keep = np.abs(r) <= max(0.6, 3 * np.median(np.abs(r - np.median(r))))
+        if 8 <= keep.sum() < z.size:
+            fit = np.linalg.lstsq(m[keep], z[keep], rcond=None)[0]
+            r = z - m @ fit
+        want[k] = (z.size, fit, (np.abs(r) <= 0.6).mean(), np.sqrt((r**2).mean()))
+    got = {r["mask_id"]: r for r in footprints.refit_plane(spark.createDataFrame(rows, "scene_id int, mask_id int, row int, col int, z double")).collect()}
+    assert set(got) == set(want)
+    for k, (n, fit, inlier, rmse) in want.items():
+        assert got[k]["n"] == n and abs(got[k]["inlier"] - inlier) < 1e-9
+        if fit is None:
+            assert got[k]["a"] is None and got[k]["rmse"] is None
+        else:
+            assert np.allclose([got[k][c] for c in "abc"], fit) and abs(got[k]["rmse"] - rmse) < 1e-9
+    assert abs(got[0]["a"] - 0.3) < 0.01
+
+
+def test_coverage_and_provenance(spark, tmp_path):
+    from rasterloom.sources import scenes
+
+    grid = spark.createDataFrame([(s, r, c) for s in (0, 1) for r in range(4) for c in range(5)], PX)
+    found = grid.filter("scene_id = 0 and row < 3").withColumn("v", F.when(F.col("col") > 0, F.lit(2.0)))
+    cover = scenes.dem_coverage(found, grid)
+    assert {r["scene_id"]: (r["coverage"], r["reason"]) for r in cover.collect()} == {0: (0.6, None), 1: (0.0, "no elevation tile covers the scene")}
+    assert scenes.require_coverage(cover.filter("scene_id = 0")).count() == 1
+    with pytest.raises(ValueError, match="scene 1: no elevation tile"):
+        scenes.require_coverage(cover)
+    told = spark.createDataFrame([(0, "A", 0.6)], "scene_id int, tier string, coverage double")
+    scenes.write_layers(found, str(tmp_path / "x"), ["v"], told)
+    assert scenes.read_provenance(spark, str(tmp_path / "x")).collect() == told.collect()
+    back = spark.read.parquet(str(tmp_path / "x"))
+    assert set(back.columns) == {"row", "col", "v", "scene_id", "layer"} and back.count() == 12
