@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rasterloom.operators import ranks
+
 def along_row():
     return W.partitionBy("scene_id", "row").orderBy("col")
 
@@ -145,10 +147,10 @@ def edge_f1(px: DataFrame, pred: str, ref: str, gsd: float = 1.0, tolerance: int
     out = gradient(gradient(px, pred, gsd, ("_px", "_py")), ref, gsd, ("_rx", "_ry"))
     for side, x, y in (("_p", "_px", "_py"), ("_r", "_rx", "_ry")):
         out = out.withColumn(side, F.sqrt(F.col(x) * F.col(x) + F.col(y) * F.col(y)))
-    cut = out.groupBy("scene_id").agg(
-        *(F.when(F.count(c) >= 100, F.percentile(c, F.lit(pct))).alias(f"{c}_cut") for c in ("_p", "_r"))
-    )
-    out = out.join(F.broadcast(cut), "scene_id")  # one row a scene
+    sides = ("_p", "_r")
+    cut = ranks.exact_quantiles(out.select("scene_id", *sides).unpivot(["scene_id"], list(sides), "side", "v"), "v", (pct,), ("scene_id", "side")).filter("n >= 100")
+    cut = cut.groupBy("scene_id").agg(*(F.max(F.when(F.col("side") == c, F.col("q")[0])).alias(f"{c}_cut") for c in sides))
+    out = out.join(cut, "scene_id", "left")
     for c in ("_p", "_r"):
         out = dilate(out.withColumn(f"{c}e", F.coalesce(F.col(c) > F.col(f"{c}_cut"), F.lit(False))), f"{c}e", tolerance, f"{c}d")
     n = out.groupBy("scene_id").agg(
@@ -162,17 +164,11 @@ def edge_f1(px: DataFrame, pred: str, ref: str, gsd: float = 1.0, tolerance: int
 
 def rank_normalise(df: DataFrame, v: str, by: tuple[str, ...], name: str = "rank01") -> DataFrame:
     """Average-tie rank from 0 to 1 within a group; null gives 0, a constant or single value 0.5."""
-    counts = df.filter(F.col(v).isNotNull()).groupBy(*by, v).agg(F.count("*").alias("_n"))
-    order = W.partitionBy(*by).orderBy(v)
-    whole = W.partitionBy(*by)
-    placed = counts.select(
-        *by, v,
-        (F.coalesce(F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + (F.col("_n") - 1) / 2).alias("_r"),
-        F.sum("_n").over(whole).alias("_all"), F.count("*").over(whole).alias("_k"),
-    )
-    out = df.join(placed, [*by, v], "left")
-    rank = F.when(F.col(v).isNull(), 0.0).when(F.col("_k") == 1, 0.5).otherwise(F.col("_r") / (F.col("_all") - 1))
-    return out.withColumn(name, rank).drop("_r", "_all", "_k")
+    span = df.groupBy(*by).agg(F.count(v).alias("_all"), F.min(v).alias("_lo"), F.max(v).alias("_hi"))
+    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in by]
+    out = ranks.average_ranks(df, v, by, "_r").alias("a").join(span.alias("b"), on).select("a.*", "_all", "_lo", "_hi")
+    rank = F.when(F.col(v).isNull(), 0.0).when(F.col("_lo") == F.col("_hi"), 0.5).otherwise((F.col("_r") - 1) / (F.col("_all") - 1))
+    return out.withColumn(name, rank).drop("_r", "_all", "_lo", "_hi")
 
 
 def pyramid(px: DataFrame, levels: int, h: int, w: int) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rasterloom.functions import encode, geo
-from rasterloom.operators import focal, footprints, graph, instances, scores, solids, surfaces
+from rasterloom.operators import focal, footprints, graph, instances, ranks, scores, solids, surfaces
 
 KEYS = ["scene_id", "row", "col"]
 #: Class codes of land cover.
@@ -43,7 +43,7 @@ def detect_shadow(px: DataFrame, h: int, w: int, water: int | None = WATER, leas
     """
     own = shadow_index(px.select(*KEYS, "r", "g", "b", "sem"), "_i").withColumn("_l", luminance(F.col("r"), F.col("g"), F.col("b")))
     cut = scores.otsu(own, "_i").select("scene_id", F.col("threshold").alias("_t"))
-    q = own.groupBy("scene_id").agg(F.percentile("_l", F.array(F.lit(dark), F.lit(most))).alias("_q"))
+    q = ranks.exact_quantiles(own, "_l", (dark, most), ("scene_id",)).select("scene_id", F.col("q").alias("_q"))
     met = own.join(cut, "scene_id", "left").join(q, "scene_id", "left")
     wet = F.coalesce(F.col("sem") == water, F.lit(False)) if water is not None else F.lit(False)
     met = met.withColumn("_m", F.coalesce((F.col("_i") > F.col("_t")) & (F.col("_l") < F.col("_q")[0]), F.lit(False)) & ~wet)
@@ -67,8 +67,8 @@ def segment_heuristic(px: DataFrame, h: int, w: int, ndsm: str | None = None, sh
     own = focal.roughness(own, "_lum", h, w, 7, "_t").withColumn("_t", F.round("_t", 9))
 
     def with_quantiles(df: DataFrame, value: str, where: Column, parts: list[float], to: str) -> DataFrame:
-        q = df.filter(where).groupBy("scene_id").agg(F.percentile(value, F.array(*map(F.lit, parts))).alias(to))
-        return df.join(q, "scene_id", "left")
+        q = ranks.exact_quantiles(df.filter(where), value, tuple(parts), ("scene_id",))
+        return df.join(q.select("scene_id", F.col("q").alias(to)), "scene_id", "left")
 
     own = with_quantiles(own, "_t", F.lit(True), [0.35, 0.45, 0.55], "_tq").withColumn("_veg", F.col("_e") > 0.06)
     own = own.withColumn("_w", (F.col("_x") > 0.05) & (F.col("_t") < F.col("_tq")[0]) & ~F.col("_veg"))

@@ -6,28 +6,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rasterloom.operators import ranks
+
 
 def _col(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
 def error_columns(pred: str | Column = "pred", ref: str | Column = "ref") -> dict[str, Column]:
-    """n_px, mae_m, rmse_m, bias_m, median_ae_m, p90_ae_m and std_m (population) over rows where both values are there."""
+    """n_px, mae_m, rmse_m, bias_m and std_m (population) over rows where both values are there."""
     e = _col(pred) - _col(ref)
     return {
         "n_px": F.count(e),
         "mae_m": F.avg(F.abs(e)),
         "rmse_m": F.sqrt(F.avg(e * e)),
         "bias_m": F.avg(e),
-        "median_ae_m": F.percentile(F.abs(e), F.lit(0.5)),
-        "p90_ae_m": F.percentile(F.abs(e), F.lit(0.9)),
         "std_m": F.stddev_pop(e),
     }
 
 
+def with_middles(errors: DataFrame, px: DataFrame, pred: str | Column, ref: str | Column, by: tuple[str, ...]) -> DataFrame:
+    """``errors`` (a row a group) with median_ae_m and p90_ae_m, the quantiles of the group's absolute errors."""
+    q = ranks.exact_quantiles(px, F.abs(_col(pred) - _col(ref)), (0.5, 0.9), by)
+    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in by]
+    return errors.alias("a").join(q.alias("b"), on, "left").select("a.*", F.col("q")[0].alias("median_ae_m"), F.col("q")[1].alias("p90_ae_m"))
+
+
 def evaluate(px: DataFrame, pred: str = "pred", ref: str = "ref", by: tuple[str, ...] = ("scene_id",)) -> DataFrame:
-    """One row of errors per group, from one aggregation; a group without a joint value has n_px 0 and nulls."""
-    return px.groupBy(*by).agg(*(c.alias(k) for k, c in error_columns(pred, ref).items()))
+    """One row of errors per group; a group without a joint value has n_px 0 and nulls."""
+    errors = px.groupBy(*by).agg(*(c.alias(k) for k, c in error_columns(pred, ref).items()))
+    return with_middles(errors, px, pred, ref, by)
 
 
 def delta1(px: DataFrame, pred: str, ref: str, by: tuple[str, ...] = ("scene_id",), least: float = 0.5) -> DataFrame:
@@ -46,22 +54,10 @@ def coverage(px: DataFrame, err: str, sigma: str, by: tuple[str, ...] = ("scene_
     )
 
 
-def average_ranks(px: DataFrame, value: str, by: tuple[str, ...], name: str) -> DataFrame:
-    """Adds the average rank (from 1) of a value within its group; ties share the mean of their places.
-
-    Ranks come from a running sum over counts of distinct values, so the windows hold one row per
-    distinct value, not one per pixel.
-    """
-    counts = px.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    before = W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    ranks = counts.withColumn(name, F.coalesce(F.sum("_n").over(before), F.lit(0)) + (F.col("_n") + 1) / 2).drop("_n")
-    return px.join(ranks, [*by, value], "left")
-
-
 def correlations(px: DataFrame, pred: str = "pred", ref: str = "ref", by: tuple[str, ...] = ("scene_id",)) -> DataFrame:
     """Pearson and Spearman correlation; null under three joint values or for a constant side."""
     both = px.filter(F.col(pred).isNotNull() & F.col(ref).isNotNull()).select(*by, pred, ref)
-    ranked = average_ranks(average_ranks(both, pred, by, "_p"), ref, by, "_r")
+    ranked = ranks.average_ranks(ranks.average_ranks(both, pred, by, "_p"), ref, by, "_r")
     fine = (F.count("*") >= 3) & (F.max(pred) > F.min(pred)) & (F.max(ref) > F.min(ref))
     return ranked.groupBy(*by).agg(F.when(fine, F.corr(pred, ref)).alias("pearson_r"), F.when(fine, F.corr("_p", "_r")).alias("spearman_r"))
 
@@ -73,7 +69,7 @@ def calibration_error(px: DataFrame, err: str, sigma: str, by: tuple[str, ...] =
     exact quantiles, half-open, the last widened by 1e-9.
     """
     own = px.filter(F.col(err).isNotNull() & (F.col(sigma) > 0)).select(*by, F.col(err).alias("e"), F.col(sigma).alias("s"))
-    edges = own.groupBy(*by).agg(F.percentile("s", F.array(*(F.lit(k / bins) for k in range(bins + 1)))).alias("q"), F.count("*").alias("n_all"))
+    edges = ranks.exact_quantiles(own, "s", tuple(k / bins for k in range(bins + 1)), by).withColumnRenamed("n", "n_all")
     # The bin is the number of inner edges at or under sigma; equal edges make empty bins, as half-open ones are.
     inner = F.slice("q", 2, bins - 1)
     binned = own.join(edges, list(by)).withColumn("bin", F.size(F.filter(inner, lambda x: x <= F.col("s"))))
@@ -84,12 +80,17 @@ def calibration_error(px: DataFrame, err: str, sigma: str, by: tuple[str, ...] =
 
 
 def evaluate_by_class(px: DataFrame, pred: str = "pred", ref: str = "ref", cls: str = "sem", err: str = "err", sigma: str = "sigma", least: int = 50) -> DataFrame:
-    """Errors and coverage of each scene overall (class null) and per class, in one pass; classes of under ``least`` pixels are left out."""
+    """Errors and coverage of each scene overall (class null) and per class; classes of under ``least`` pixels are left out."""
     e, s = F.abs(F.col(err)), F.col(sigma)
     more = {"coverage_1s": F.avg((e <= s).cast("double")), "coverage_2s": F.avg((e <= 2 * s).cast("double")), "mean_sigma_m": F.avg(s)}
     sets = px.groupingSets([["scene_id"], ["scene_id", cls]], "scene_id", cls)
     out = sets.agg(F.grouping(cls).alias("overall"), *(c.alias(k) for k, c in (error_columns(pred, ref) | more).items()))
-    return out.filter((F.col("overall") == 1) | (F.col(cls).isNotNull() & (F.col("n_px") >= least)))
+    out = out.filter((F.col("overall") == 1) | (F.col(cls).isNotNull() & (F.col("n_px") >= least)))
+    # A pixel counts for its scene, where the class is null, and for its class; grouping() keeps both apart.
+    kind = px.schema[cls].dataType
+    each = F.array(F.struct(F.lit(1).cast("tinyint").alias("overall"), F.lit(None).cast(kind).alias(cls)), F.struct(F.lit(0).cast("tinyint").alias("overall"), F.col(cls).alias(cls)))
+    both = px.select("scene_id", _col(pred).alias("_pred"), _col(ref).alias("_ref"), F.explode(each).alias("_k")).select("scene_id", "_k.*", "_pred", "_ref")
+    return with_middles(out, both, "_pred", "_ref", ("scene_id", "overall", cls))
 
 
 def aggregate_study(records: DataFrame, metrics: list[str], key: str = "scene_id") -> DataFrame:
@@ -117,8 +118,8 @@ def class_fractions(px: DataFrame, cls: str = "sem", by: tuple[str, ...] = ("sce
 def finite_stats(px: DataFrame, layers: list[str], by: tuple[str, ...] = ("scene_id",)) -> DataFrame:
     """Per group and layer: min, max, mean and the 1st, 95th and 99th percentile of non-null values."""
     long = px.unpivot(list(by), layers, "layer", "v").filter(F.col("v").isNotNull())
-    q = F.percentile("v", F.array(F.lit(0.01), F.lit(0.95), F.lit(0.99)))
-    out = long.groupBy(*by, "layer").agg(F.min("v").alias("least"), F.max("v").alias("most"), F.avg("v").alias("mean"), q.alias("q"))
+    q = ranks.exact_quantiles(long, "v", (0.01, 0.95, 0.99), (*by, "layer")).drop("n")
+    out = long.groupBy(*by, "layer").agg(F.min("v").alias("least"), F.max("v").alias("most"), F.avg("v").alias("mean")).join(q, [*by, "layer"])
     return out.select(*by, "layer", "least", "most", "mean", F.col("q")[0].alias("p1"), F.col("q")[1].alias("p95"), F.col("q")[2].alias("p99"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.functions import encode, geo, tags
-from rasterloom.operators import focal, scenery
+from rasterloom.operators import focal, ranks, scenery
 from rasterloom.plans.focal_queries import S_SQL, _grad_sql
 from rasterloom.plans.registry import Registry, rounded
 from rasterloom.plans.score_queries import M_SQL, metres
@@ -210,10 +210,10 @@ SELECT scene_id, "row", col, CAST(trunc(least(greatest((ref - lo) / (CASE WHEN h
 def percentile_stretch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A band between its 2nd and 98th percentile as 0 to 255, cut down to whole numbers."""
     m = metres(spark, sf_dir)
-    q = m.groupBy("scene_id").agg(F.percentile("ref", F.lit(0.02)).alias("lo"), F.percentile("ref", F.lit(0.98)).alias("hi"))
+    q = ranks.exact_quantiles(m, "ref", (0.02, 0.98), ("scene_id",)).select("scene_id", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
     width = F.when(F.col("hi") - F.col("lo") < 1e-6, 1.0).otherwise(F.col("hi") - F.col("lo"))
     share = F.least(F.greatest((F.col("ref") - F.col("lo")) / width, F.lit(0.0)), F.lit(1.0))
-    return m.join(F.broadcast(q), "scene_id").select("scene_id", "row", "col", (share * 255).cast("int").alias("stretched"))  # one row a scene
+    return m.join(q, "scene_id").select("scene_id", "row", "col", (share * 255).cast("int").alias("stretched"))
 
 
 @registry.add(
@@ -280,8 +280,8 @@ SELECT scene_id, "row", col, CAST(trunc(t) AS INTEGER) AS shade, CAST(255 - trun
 def colour_ramp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A two-channel ramp over the 1st to 99th percentile, by a table of 256 colours."""
     m = metres(spark, sf_dir)
-    q = m.groupBy("scene_id").agg(F.percentile("ref", F.lit(0.01)).alias("lo"), F.percentile("ref", F.lit(0.99)).alias("hi"))
+    q = ranks.exact_quantiles(m, "ref", (0.01, 0.99), ("scene_id",)).select("scene_id", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
     share = F.least(F.greatest((F.col("ref") - F.col("lo")) / (F.col("hi") - F.col("lo")), F.lit(0.0)), F.lit(1.0))
-    at = m.join(F.broadcast(q), "scene_id").select("scene_id", "row", "col", (share * 255).cast("int").alias("shade"))  # one row a scene
+    at = m.join(q, "scene_id").select("scene_id", "row", "col", (share * 255).cast("int").alias("shade"))
     ramp = spark.range(256).select(F.col("id").cast("int").alias("shade"), (255 - F.col("id")).cast("int").alias("inverse"))
     return at.join(F.broadcast(ramp), "shade").select("scene_id", "row", "col", "shade", "inverse")

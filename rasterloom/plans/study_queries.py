@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.operators import learning, tiling
+from rasterloom.operators import learning, ranks, tiling
 from rasterloom.plans.focal_queries import S_SQL
 from rasterloom.plans.join_queries import _AB, _FIT, _HUBER, A_SQL
 from rasterloom.plans.registry import Registry, rounded
@@ -101,7 +101,8 @@ e AS (SELECT name, avg(abs(greatest(constant * h_pred, 0) - h_ref)) AS c, avg(ab
 def fit_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scale from predicted to true heights, each class of a scene being a scene of its own."""
     px = metres(spark, sf_dir).select((F.col("scene_id") * 5 + F.col("sem")).alias("name"), F.col("h_pred").alias("pos"), F.col("h_ref").alias("truth"))
-    samples = px.groupBy("name").agg((F.sum(F.col("pos") * F.col("truth")) / F.sum(F.col("pos") * F.col("pos"))).alias("target"), (1 / F.percentile("pos", F.lit(0.99))).alias("x"))
+    target = px.groupBy("name").agg((F.sum(F.col("pos") * F.col("truth")) / F.sum(F.col("pos") * F.col("pos"))).alias("target"))
+    samples = target.join(ranks.exact_quantiles(px, "pos", (0.99,), ("name",)).select("name", (1 / F.col("q")[0]).alias("x")), "name", "left")
     return rounded(learning.fit_scale(samples, px), 5)
 
 

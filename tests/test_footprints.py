@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from rasterloom.operators import footprints, joins, mesh, ranks
 
@@ -88,3 +89,25 @@ def test_quantiles_by_blocks(spark):
     out = {r["k"]: r["q"] for r in ranks.quantiles(spark.createDataFrame(rows, "k string, v double"), "v", (0.0, 0.05, 0.5, 0.99, 1.0), ("k",), cells=64).collect()}
     assert set(out) == {"a", "b", "c"}
     assert all(np.allclose(out[k], np.quantile(v, [0, 0.05, 0.5, 0.99, 1]), atol=1e-9) for k, v in values.items())
+
+
+def test_exact_quantiles_and_ranks_by_blocks(spark):
+    rng = np.random.default_rng(5)
+    parts = [rng.normal(0, 1e-3, 400), rng.normal(400, 30, 700), np.repeat(7.25, 900), -np.exp2(np.arange(-40, 40)), [0.0, -0.0, 1e300, -1e300, 8.0, np.nextafter(8, 0)]]
+    values = [float(x) for x in np.concatenate(parts)]
+    rows = [("a", v) for v in values] + [("b", 3.0), ("c", None), (None, 1.0), (None, 2.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    at = (0.0, 0.05, 0.333, 0.5, 0.92, 1.0)
+    out = {r["k"]: (r["n"], r["q"]) for r in ranks.exact_quantiles(df, "v", at, ("k",)).collect()}
+    assert set(out) == {"a", "b", None} and out["b"] == (1, [3.0] * 6) and np.allclose(out[None][1], [1.0, 1.05, 1.333, 1.5, 1.92, 2.0])
+    assert out["a"][0] == len(values) and np.allclose(out["a"][1], np.quantile(values, at), rtol=1e-12)
+    got = [(r["v"], r["r"]) for r in ranks.average_ranks(df, "v", ("k",), "r").filter("k = 'a'").collect()]
+    order = np.sort(values)
+    want = {v: (np.searchsorted(order, v, "left") + np.searchsorted(order, v, "right") + 1) / 2 for v in values}
+    assert len(got) == len(values) and all(r == want[v] for v, r in got)
+    assert ranks.average_ranks(df, "v", ("k",), "r").filter("k = 'c'").first()["r"] is None
+    # Blocks rise with the values, also beside powers of two, where logarithms round.
+    edges = np.unique(np.concatenate([[np.nextafter(p, 0), p, np.nextafter(p, 2 * p)] for p in np.exp2(np.arange(-60, 61))]))
+    table = spark.createDataFrame([(float(v),) for v in edges], "v double").select("v", ranks.block_of(F.col("v")).alias("b"))
+    blocks = [r["b"] for r in table.orderBy("v").collect()]
+    assert blocks == sorted(blocks)
