@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rasterloom.operators import instances, joins
+from rasterloom.operators import graph, instances, joins
 from rasterloom.operators.instances import grown, shrunk
 from rasterloom.session import written
 
@@ -170,3 +170,78 @@ def choose_roof(points: DataFrame, by: tuple[str, ...] = ("scene_id", "mask_id")
     tilted = (F.col("inlier") >= inlier_share) & (pitch >= least_pitch) & (F.col("tilt") <= gain * F.col("flat")) & (F.col("tilt") <= residual_tol)
     mode = F.when(F.col("n") < 8, "measured").when(F.col("flat") <= flat_tol, "platform").when(tilted, "plane").when(F.col("flat") <= scatter, "platform").otherwise("measured")
     return out.withColumn("mode", mode).select(*by, "n", "mode", F.col("median").alias("platform_m"), F.when(F.col("mode") == "plane", F.col("tilt")).otherwise(F.col("flat")).alias("rmse_m"), pitch.alias("pitch_m"), F.coalesce("inlier", F.lit(0.0)).alias("inlier"), *(["a", "b", "c"] if planes else []))
+
+
+#: Fixed values of snapping: how far an outline may move and the filter's radius, in pixels, and its regularisation.
+SNAP_BAND, SNAP_RADIUS, SNAP_EPS = 3, 4, 1e-4
+
+
+def filled_holes(mask_px: DataFrame) -> DataFrame:
+    """scene_id, mask_id, row, col of masks with their holes: pixels outside that no 4-connected way leads from to the rim of the mask's box grown by one."""
+    keys = ["scene_id", "mask_id"]
+    own = mask_px.select(*keys, "row", "col").distinct()
+    box = own.groupBy(*keys).agg(*(f(c).alias(f"_{k}_{c}") for c in ("row", "col") for k, f in (("lo", F.min), ("hi", F.max))))
+    grid = box.withColumn("row", F.explode(F.sequence(F.col("_lo_row") - 1, F.col("_hi_row") + 1))).withColumn("col", F.explode(F.sequence(F.col("_lo_col") - 1, F.col("_hi_col") + 1)))
+    outside = written(grid.join(own, [*keys, "row", "col"], "left_anti"), "outside")
+    parts = graph.labelled_runs(outside, "mask_id")
+    rim = (F.col("row") < F.col("_lo_row")) | (F.col("row") > F.col("_hi_row")) | (F.col("col") < F.col("_lo_col")) | (F.col("col") > F.col("_hi_col"))
+    met = parts.join(box, keys)
+    open_ = met.filter(rim).select(*keys, "component").distinct()
+    return own.unionByName(met.join(open_, [*keys, "component"], "left_anti").select(*keys, "row", "col"))
+
+
+def snap_footprint(mask_px: DataFrame, px: DataFrame, guide: str, h: int, w: int, band: int = SNAP_BAND, radius: int = SNAP_RADIUS, eps: float = SNAP_EPS) -> DataFrame:
+    """scene_id, mask_id, row, col of masks whose outlines moved onto the edges of ``guide`` (luminance in 0 to 1; null: 0), by at most ``band`` pixels.
+
+    Each mask is smoothed as 0 and 1 by a filter guided by the image; in the band around its
+    outline, pixels of at least a half are in, others out. Then the largest 4-connected part stays
+    (ties: the one that starts first) and holes are filled. A mask that would vanish, or that
+    covers its scene, stays as it is. Masks overlap freely: each is filtered in the window of its
+    box, wide enough that what lies outside can't change the band.
+    """
+    keys, at = ["scene_id", "mask_id"], ["scene_id", "mask_id", "row", "col"]
+    own = written(mask_px.select(*at).distinct(), "snap-masks")
+    size = own.groupBy(*keys).agg(F.count("*").alias("n"), *(f(c).alias(f"_{k}_{c}") for c in ("row", "col") for k, f in (("lo", F.min), ("hi", F.max))))
+    # The band's coefficients need two boxes around each pixel.
+    reach = band + 2 * radius
+    for c, most in (("row", h - 1), ("col", w - 1)):
+        size = size.withColumn(f"_a_{c}", F.greatest(F.col(f"_lo_{c}") - reach, F.lit(0))).withColumn(f"_b_{c}", F.least(F.col(f"_hi_{c}") + reach, F.lit(most)))
+    some = size.filter(F.col("n") < h * w)
+    grid = some.withColumn("row", F.explode(F.sequence("_a_row", "_b_row"))).withColumn("col", F.explode(F.sequence("_a_col", "_b_col"))).select(*at)
+    light = px.select("scene_id", "row", "col", F.coalesce(F.col(guide).cast("double"), F.lit(0.0)).alias("_light"))
+    dense = grid.join(light, list(PIXEL), "left").na.fill(0.0, ["_light"]).join(own.withColumn("_in", F.lit(True)), at, "left")
+    dense = dense.withColumn("_in", F.coalesce("_in", F.lit(False)))
+    soft = guided_windows(dense, radius, eps)
+    # Outside the raster counts as not in the mask.
+    near = instances.grown(own, "mask_id", band).withColumn("_near", F.lit(True))
+    core = instances.shrunk(own, "mask_id", band).withColumn("_core", F.lit(True))
+    out = soft.join(near, at, "left").join(core, at, "left")
+    inside = F.when(F.col("_near") & F.col("_core").isNull(), F.col("_soft") >= 0.5).otherwise(F.col("_in"))
+    snapped = written(out.filter(inside).select(*at), "snapped")
+    parts = graph.labelled_runs(snapped, "mask_id")
+    best = parts.groupBy(*keys, "component").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("component"))
+    whole = filled_holes(parts.join(best, [*keys, "component"], "left_semi"))
+    return whole.unionByName(own.join(best, keys, "left_anti"))
+
+
+def guided_windows(dense: DataFrame, radius: int, eps: float) -> DataFrame:
+    """``dense`` (rectangles of pixels by scene and mask, ``_in`` and ``_light``) with ``_soft``: the mask smoothed with the edges of the light kept; windows are cut and padded at the rectangle's edges."""
+
+    def boxes(df: DataFrame, cols: list[str]) -> DataFrame:
+        for across, along in (("row", "col"), ("col", "row")):
+            line = W.partitionBy("scene_id", "mask_id", across)
+            frame = line.orderBy(along).rowsBetween(-radius, radius)
+            place, last = F.col(along) - F.min(along).over(line), F.max(along).over(line) - F.col(along)
+            # Beyond an edge its own value repeats.
+            before, after = F.greatest(radius - place, F.lit(0)), F.greatest(radius - last, F.lit(0))
+            df = df.withColumn("_before", before).withColumn("_after", after)
+            ends = line.orderBy(along).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+            mean = lambda c: (F.sum(c).over(frame) + F.col("_before") * F.first(c).over(ends) + F.col("_after") * F.last(c).over(ends)) / (2 * radius + 1)  # noqa: E731, B023
+            df = df.withColumns({c: mean(c) for c in cols}).drop("_before", "_after")
+        return df
+
+    s, g = F.col("_in").cast("double"), F.col("_light")
+    out = boxes(dense.withColumns({"_s": s, "_g": g, "_gs": g * s, "_gg": g * g}), ["_s", "_g", "_gs", "_gg"])
+    a = (F.col("_gs") - F.col("_g") * F.col("_s")) / (F.col("_gg") - F.col("_g") * F.col("_g") + eps)
+    out = boxes(out.withColumn("_a", a).withColumn("_b", F.col("_s") - F.col("_a") * F.col("_g")), ["_a", "_b"])
+    return out.withColumn("_soft", F.col("_a") * g + F.col("_b")).select("scene_id", "mask_id", "row", "col", "_in", "_soft")

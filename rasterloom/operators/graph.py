@@ -35,6 +35,25 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.join(now, F.col("id") == a, "left").select("id", F.coalesce("b", "id").alias("label"))
 
 
+def labelled_runs(mask: DataFrame, key: str) -> DataFrame:
+    """scene_id, key, row, col and ``component`` of 4-connected pixels of the same ``key``, which may overlap others'; labels are numbers of their first runs.
+
+    As ``connected_components``, with a table of runs numbered by hash partition instead of place.
+    """
+    along = W.partitionBy("scene_id", key, "row").orderBy("col")
+    numbered = mask.select("scene_id", key, "row", "col").distinct().withColumn("run", F.col("col") - F.row_number().over(along))
+    runs = numbered.groupBy("scene_id", key, "row", "run").agg(F.min("col").alias("first"), F.max("col").alias("last"))
+    runs = written(runs.sortWithinPartitions("scene_id", key, "row", "first").withColumn("id", F.monotonically_increasing_id()), "runs")
+    cells = runs.select("scene_id", key, "row", "id", F.explode(F.sequence("first", "last")).alias("col"))
+    below = cells.select("scene_id", key, (F.col("row") - 1).alias("row"), F.col("id").alias("b"), "col")
+    edges = cells.withColumnRenamed("id", "a").join(below, ["scene_id", key, "row", "col"]).select("a", "b").distinct()
+    label = components(edges.union(runs.select(F.col("id").alias("a"), F.col("id").alias("b"))))
+    # The component's name: the place of its first run within the key, so that it doesn't hang on partitions.
+    named = runs.join(label, "id")
+    first = named.groupBy("label").agg(F.min(F.col("row").cast("long") * (1 << 31) + F.col("first")).alias("component"))
+    return named.join(first, "label").select("scene_id", key, "row", F.explode(F.sequence("first", "last")).alias("col"), "component")
+
+
 def connected_components(mask: DataFrame, width: int, least: int = 1) -> DataFrame:
     """scene_id, row, col and ``component`` of 4-connected pixels; components of under ``least`` pixels are left out.
 

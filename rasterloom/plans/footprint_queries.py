@@ -160,3 +160,10 @@ def layers_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     sums = views.read(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("layer")).agg(F.sum("l_quantity").cast("long").alias("bytes"))
     return sums.withColumn("place", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("bytes"), "layer")))
+
+
+@registry.add()
+def snap_footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masks whose outlines moved onto the edges of their scene's luminance."""
+    light = (0.299 * F.col("r") + 0.587 * F.col("g") + 0.114 * F.col("b")) / 255.0
+    return footprints.snap_footprint(masks(spark, sf_dir), views.px(spark, sf_dir).withColumn("light", light), "light", N, N)

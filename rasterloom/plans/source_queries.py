@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.operators import anchors as harvest
+from rasterloom.plans import study_queries
 from rasterloom.plans.focal_queries import S_SQL
 from rasterloom.plans.join_queries import _AB, _FIT, _HUBER, A_SQL, LINES_SQL, lines
 from rasterloom.plans.registry import Registry, rounded
@@ -194,3 +195,42 @@ def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = views.anchors(spark, sf_dir).filter(~F.col("relative")).select("scene_id", "row", "col", "source", "weight")
     at = own.join(metres(spark, sf_dir).select("scene_id", "row", "col", "pred", "ref"), ["scene_id", "row", "col"]).withColumns({"d": F.col("pred") / 1000, "value_m": F.col("ref") / 100})
     return rounded(harvest.ablation(at, {"all": None, "urgent": ("1", "2"), "no_low": ("1", "2", "3", "4")}), 3)
+
+
+@registry.add(
+    """WITH f AS (SELECT s_suppkey * 10 AS feature_id, 'building' AS kind, s_suppkey % 7 AS n, * FROM supplier WHERE s_suppkey % 7 >= 4 UNION ALL SELECT s_suppkey * 10 + 1, 'road', s_suppkey % 5, * FROM supplier WHERE s_suppkey % 5 >= 2
+UNION ALL SELECT s_suppkey * 10 + 2, 'building', s_suppkey % 6, * FROM supplier WHERE s_suppkey % 6 >= 4)
+SELECT s_suppkey AS scene_id, feature_id, kind, s_name AS name, CAST(n AS INTEGER) AS n_pts, CAST(s_nationkey * n + n * (n - 1) // 2 AS DOUBLE) AS lat_sum FROM f"""
+)
+def read_osm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Map payloads as JSON, one a supplier with a building, a road and a relation of an outer and an inner ring, some of them too short to count."""
+    k = F.col("s_suppkey")
+
+    def line(n):
+        steps = F.filter(F.sequence(F.lit(0), F.lit(6)), lambda i: i < n)
+        return F.transform(steps, lambda i: F.struct((F.col("s_nationkey") + i).cast("double").alias("lat"), i.cast("double").alias("lon")))
+
+    none = F.lit(None)
+    members = F.array(
+        F.struct(F.when(k % 2 == 0, "outer").alias("role"), F.lit("way").alias("type"), line(k % 6).alias("geometry")),
+        F.struct(F.lit("inner").alias("role"), F.lit("way").alias("type"), line(F.lit(5)).alias("geometry")),
+    )
+    shape = "array<struct<role: string, type: string, geometry: array<struct<lat: double, lon: double>>>>"
+    element = lambda kind, i, tag, geometry, rings: F.struct(
+        F.lit(kind).alias("type"), (k * 10 + i).alias("id"), F.create_map(F.lit(tag), F.lit("yes"), F.lit("name"), F.col("s_name")).alias("tags"),
+        geometry.cast("array<struct<lat: double, lon: double>>").alias("geometry"), rings.cast(shape).alias("members"),
+    )
+    elements = F.array(element("way", 0, "building", line(k % 7), none), element("way", 1, "highway", line(k % 5), none), element("relation", 2, "building", none, members))
+    payload = views.read(spark, sf_dir, "supplier").select(k.alias("scene_id"), F.to_json(F.struct(elements.alias("elements"))).alias("json"))
+    out = scenes.read_osm(payload)
+    total = F.aggregate("pts", F.lit(0.0), lambda s, p: s + p["lat"])
+    return out.select("scene_id", "feature_id", "kind", F.col("tags")["name"].alias("name"), F.size("pts").alias("n_pts"), total.alias("lat_sum"))
+
+
+@registry.add(f"SELECT 'large' AS backbone, kind, value, CAST(n_scenes AS INTEGER) AS n_scenes FROM ({study_queries.registry.sql['fit_scale']})")
+def load_scale_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scale fitted to all scenes, stored for one backbone beside a default and one of another, and read back."""
+    path = f"{shared_folder(spark)}/scale-{uuid.uuid4().hex}"
+    fitted = study_queries.fit_scale(spark, sf_dir).withColumn("backbone", F.explode(F.array(F.lit("small"), F.lit(""), F.lit("large"))))
+    fitted.withColumn("value", F.when(F.col("backbone") == "large", F.col("value")).otherwise(0.0)).write.option("maxRecordsPerFile", 1).json(path)
+    return scenes.load_scale_model(spark, path, "large").select("backbone", "kind", "value", "n_scenes")

@@ -111,3 +111,71 @@ def test_exact_quantiles_and_ranks_by_blocks(spark):
     table = spark.createDataFrame([(float(v),) for v in edges], "v double").select("v", ranks.block_of(F.col("v")).alias("b"))
     blocks = [r["b"] for r in table.orderBy("v").collect()]
     assert blocks == sorted(blocks)
+
+
+def spread(start, inside):
+    """Pixels of ``inside`` that 4-connected steps reach from ``start``."""
+    seen, todo = set(), [p for p in start if p in inside]
+    while todo:
+        p = todo.pop()
+        if p not in seen:
+            seen.add(p)
+            todo += [q for q in ((p[0] - 1, p[1]), (p[0] + 1, p[1]), (p[0], p[1] - 1), (p[0], p[1] + 1)) if q in inside]
+    return seen
+
+
+def snapped_by_force(mask, light, band, radius, eps):
+    h, w = mask.shape
+
+    def box(a):
+        for axis in (1, 0):
+            width = [(radius, radius) if k == axis else (0, 0) for k in (0, 1)]
+            p = np.pad(a, width, "edge")
+            a = sum(np.take(p, range(i, i + a.shape[axis]), axis) for i in range(2 * radius + 1)) / (2 * radius + 1)
+        return a
+
+    s = mask.astype(float)
+    ms, mg = box(s), box(light)
+    a = (box(s * light) - ms * mg) / (box(light * light) - mg * mg + eps)
+    soft = box(a) * light + box(ms - a * mg)
+    out = mask.copy()
+    p = np.pad(mask, band)
+    views = [p[i : i + h, j : j + w] for i in range(2 * band + 1) for j in range(2 * band + 1)]
+    ring = np.any(views, 0) & ~np.all(views, 0)
+    out[ring] = soft[ring] >= 0.5
+    left, parts = {(int(y), int(x)) for y, x in np.argwhere(out)}, []
+    while left:
+        parts.append(spread([min(left)], left))
+        left -= parts[-1]
+    if not parts or mask.all():
+        return {(int(y), int(x)) for y, x in np.argwhere(mask)}
+    best = max(parts, key=lambda q: (len(q), [-c for c in min(q)]))
+    around = {(y, x) for y in range(-1, h + 1) for x in range(-1, w + 1)} - best
+    return {(y, x) for y in range(h) for x in range(w)} - spread([(-1, -1)], around)
+
+
+def test_snapped_outlines_follow_the_image(spark):
+    h, w = 36, 40
+    rng = np.random.default_rng(11)
+    light = np.where((np.mgrid[0:h, 0:w][0] > 8) & (np.mgrid[0:h, 0:w][1] > 11), 0.8, 0.2) + rng.normal(0, 0.02, (h, w))
+    light[:, 30:] = rng.random((h, 10))
+    masks = np.zeros((6, h, w), bool)
+    masks[0, 7:20, 10:24] = True  # two pixels off the edge in the image
+    masks[1, 0:9, 28:40] = True  # at the raster's corner, over noise
+    masks[2] = rng.random((h, w)) < 0.55  # shattered
+    masks[3, 20:33, 24:38] = True
+    masks[3, 25:28, 29:32] = False  # a hole
+    masks[4] = True
+    masks[5, 2, 2] = True  # vanishes, so it stays
+    rows = [(1, k, int(y), int(x)) for k, m in enumerate(masks) for y, x in np.argwhere(m)]
+    px = spark.createDataFrame([(1, y, x, float(light[y, x])) for y in range(h) for x in range(w)], "scene_id int, row int, col int, light double")
+    own = spark.createDataFrame(rows + rows[:50], "scene_id int, mask_id int, row int, col int")
+    got = {k: set() for k in range(6)}
+    found = footprints.snap_footprint(own, px, "light", h, w).collect()
+    for r in found:
+        got[r["mask_id"]].add((r["row"], r["col"]))
+    assert len(found) == sum(map(len, got.values()))
+    for k, m in enumerate(masks):
+        assert got[k] == snapped_by_force(m, light, 3, 4, 1e-4), k
+    assert (9, 12) in got[0] and (7, 15) not in got[0] and (15, 10) not in got[0]
+    assert footprints.snap_footprint(own.limit(0), px, "light", h, w).count() == 0
