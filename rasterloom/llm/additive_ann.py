@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by additive quantisation.
 
 Vectors are sums of one entry from each of several full-dimensional codebooks. Encoding is a beam
-search over residuals; codes, the norms of the sums and the norms of what is left are stored.
-Queries score codes by lookup tables, and the best of each block are reranked exactly.
+search over residuals; codes and the norms of the sums are stored. Queries score codes by lookup
+tables, where norms end a scan early, and one shortlist a query is reranked on the vectors.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import batches_of, written
+from rasterloom.llm.common import batches_of, hash_sample, written
 
 
 def usable(vec: Column) -> Column:
@@ -99,77 +99,86 @@ def train_codebooks(sample: np.ndarray, m: int = 16, k: int = 128, rounds: int =
     return out
 
 
-def fit(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding", rows: int = 8192, **settings) -> Codebooks | None:
-    """Codebooks from at most ``rows`` vectors, taken in hash order of their ids; None without any.
+def vectors_of(df: DataFrame, key: str, vec: str, size: int | None = None) -> tuple[DataFrame, int | None]:
+    """(vec_id, digest, vector; the dimension): usable vectors of ids that aren't null, one row an id, as arrays of doubles.
 
-    Distinct vectors only, so that many copies of one don't fill the sample. All vectors must
-    have the dimension of the first.
+    The dimension is ``size`` or, if that isn't given, the one that most rows have (ties: the
+    least); vectors of others take no part. Of rows that share an id, the one of least digest
+    counts, whatever their order.
     """
-    sample = (
-        vectors.filter(usable(F.col(vec)))
-        .select(F.xxhash64(key).alias("h"), F.col(key).alias("id"), F.col(vec).alias("v"))
-        .orderBy("h", "id")
-        .limit(rows)
-        .toPandas()
-    )
-    if sample.empty:
-        return None
-    return train_codebooks(np.unique(np.stack(sample["v"].to_numpy()).astype(np.float64), axis=0), **settings)
+    rows = df.filter(F.col(key).isNotNull() & usable(F.col(vec))).select(F.col(key).cast("long").alias("vec_id"), F.col(vec).cast("array<double>").alias("vector"))
+    if size is None:
+        top = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
+        if top is None:
+            return rows, None
+        size = top["d"]
+    rows = rows.filter(F.size("vector") == size).select("vec_id", F.md5(F.to_json(F.struct("vector"))).alias("digest"), "vector")
+    return rows.groupBy("vec_id").agg(F.min(F.struct("digest", "vector")).alias("v")).select("vec_id", "v.*"), size
+
+
+def classes_of(rows: DataFrame, most: int) -> DataFrame:
+    """rep, vector and ``members``, the ``most`` smallest ids of each distinct vector; ``rep`` is the least.
+
+    Only so many ids of equal vectors can be among as many nearest; the others go before they
+    move, so copies of a vector are no large group.
+    """
+    nth = F.row_number().over(W.partitionBy("digest").orderBy("vec_id"))
+    few = rows.withColumn("_nth", nth).filter(F.col("_nth") <= most)
+    out = few.groupBy("digest").agg(F.sort_array(F.collect_list("vec_id")).alias("members"), F.first("vector").alias("vector"))
+    return out.select(F.col("members")[0].alias("rep"), "members", "vector")
+
+
+def fit(classes: DataFrame, rows: int = 8192, **settings) -> Codebooks | None:
+    """Codebooks from at most ``rows`` distinct vectors, taken in hash order of their ids; None without any."""
+    sample = hash_sample(classes.select("rep", "vector"), "rep", rows).toPandas()
+    return None if sample.empty else train_codebooks(np.stack(sample["vector"].to_numpy()).astype(np.float64), **settings)
+
 
+def matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
-def index(vectors: DataFrame, books: Codebooks, key: str = "vec_id", vec: str = "embedding", beam: int = 8) -> DataFrame:
-    """vec_id, vector (float64 or float32 bytes), codes, ``norm`` of the coded sum and ``left``, the norm of the remainder."""
-    model = vectors.sparkSession.sparkContext.broadcast(books)
-    kind = "float64" if "double" in vectors.schema[vec].dataType.simpleString() else "float32"
+
+def index(classes: DataFrame, books: Codebooks, beam: int = 8) -> DataFrame:
+    """rep, codes (bytes) and ``norm`` of the coded sum."""
+    model = classes.sparkSession.sparkContext.broadcast(books)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         for batch in batches_of(batches, 512):
-            if not batch.num_rows:
-                continue
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(batch.num_rows, -1)
-            codes = own.encode(x, beam)
-            coded = own.decode(codes)
-            cols = [
-                batch.column(0).cast(pa.int64()),
-                pa.array([r.tobytes() for r in x], pa.binary()),
-                pa.array([r.tobytes() for r in codes], pa.binary()),
-                pa.array(np.linalg.norm(coded, axis=1).astype(np.float64)),
-                pa.array(np.linalg.norm(x - coded, axis=1).astype(np.float64)),
-            ]
-            yield pa.RecordBatch.from_arrays(cols, ["vec_id", "vector", "codes", "norm", "left"])
-
-    rows = vectors.filter(F.col(key).isNotNull() & usable(F.col(vec))).select(key, vec)
-    return rows.mapInArrow(run, "vec_id long, vector binary, codes binary, norm double, left double")
-
-
-def nearest_in_block(books: Codebooks, kind: str, k: int, shortlist: int, ids, vectors, codes, q_ids, q_vectors) -> pd.DataFrame:
-    """The ``k`` nearest rows of a block for each query: table scores choose ``shortlist``, exact products order them."""
-    order = np.argsort(ids, kind="stable")
-    ids = ids[order]
-    x = np.frombuffer(b"".join(vectors), kind).reshape(len(ids), -1)[order].astype(np.float64)
+            if batch.num_rows:
+                codes = own.encode(matrix(batch.column(1)), beam)
+                norm = np.linalg.norm(own.decode(codes), axis=1).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in codes], pa.binary()), pa.array(norm)], ["rep", "codes", "norm"])
+
+    return classes.select("rep", "vector").mapInArrow(run, "rep long, codes binary, norm double")
+
+
+def best_codes(books: Codebooks, shortlist: int, ids: np.ndarray, codes: list[bytes], norms: np.ndarray, q: np.ndarray, step: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query number, id, score) of the ``shortlist`` codes of largest table score for each query.
+
+    Codes go by falling norm. No score exceeds the norms' product, so the scan ends where that
+    can't reach the least score that any query has kept.
+    """
+    order = np.lexsort((ids, -norms))
+    ids, norms = ids[order], norms[order]
     code = np.frombuffer(b"".join(codes), np.uint8 if books.k <= 256 else np.uint16).reshape(len(ids), -1)[order]
-    out = []
-    for at in range(0, len(q_ids), 256):
-        qs = q_ids[at : at + 256]
-        q = np.frombuffer(b"".join(q_vectors[at : at + 256]), kind).reshape(len(qs), -1).astype(np.float64)
-        table = (q.astype(np.float32) @ books.flat.T).reshape(len(qs), books.m, books.k)
-        score = np.zeros((len(qs), len(ids)), np.float32)
+    table = (q.astype(np.float32) @ books.flat.T).reshape(len(q), books.m, books.k)
+    length = np.linalg.norm(q, axis=1)
+    score, place = np.zeros((len(q), 0), np.float32), np.zeros((len(q), 0), np.int64)
+    for at in range(0, len(ids), step):
+        # Scores are sums of single precision, so the bound is taken a little wider.
+        if score.shape[1] >= shortlist and (length * norms[at] * 1.001 + 1e-6 < score.min(1)).all():
+            break
+        part = code[at : at + step]
+        own = np.zeros((len(q), len(part)), np.float32)
         for j in range(books.m):
-            score += table[:, j, :][:, code[:, j]]
-        # All that tie with the last of the shortlist come along, so equal vectors are never parted by chance.
-        width = min(shortlist + 1, len(ids))  # one more, for the query's own row
-        least = np.partition(score, len(ids) - width, axis=1)[:, len(ids) - width]
-        row, col = np.nonzero(score >= least[:, None])
-        other = ids[col] != qs[row]
-        row, col = row[other], col[other]
-        exact = np.concatenate([np.einsum("ij,ij->i", q[row[a : a + 65536]], x[col[a : a + 65536]]) for a in range(0, len(row), 65536)]) if len(row) else np.zeros(0)
-        by = np.lexsort((ids[col], -exact, row))
-        row, col, exact = row[by], col[by], exact[by]
-        nth = np.arange(len(row)) - np.searchsorted(row, row)
-        top = nth < k
-        out.append(pd.DataFrame({"query_id": qs[row[top]], "vec_id": ids[col[top]], "score": exact[top]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            own += table[:, j, :][:, part[:, j]]
+        score = np.concatenate([score, own], 1)
+        place = np.concatenate([place, np.broadcast_to(np.arange(at, at + len(part)), own.shape)], 1)
+        if score.shape[1] > shortlist:
+            pick = np.argpartition(-score, shortlist - 1, axis=1)[:, :shortlist]
+            score, place = np.take_along_axis(score, pick, 1), np.take_along_axis(place, pick, 1)
+    return np.repeat(np.arange(len(q)), score.shape[1]), ids[place.ravel()], score.ravel().astype(np.float64)
 
 
 def search(
@@ -178,52 +187,69 @@ def search(
     k: int = 20,
     key: str = "vec_id",
     vec: str = "embedding",
-    shortlist: int = 256,
-    block: int = 4096,
-    query_block: int = 2048,
+    shortlist: int = 512,
+    block: int = 1 << 17,
+    query_block: int = 1024,
     rows: int = 8192,
     **settings,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` of largest inner product found for each query.
 
-    Every usable vector is coded and scored for every query, in blocks of about ``block`` rows by
-    ``query_block`` queries that hash order deals out, so no task holds a share that grows with
-    the table. ``rows`` bounds the sample that codebooks are fitted on. A row is no candidate for
-    a query of its own id. Ties go to the smaller id. Vectors that ``usable`` refuses, and null
-    ids, take no part on either side. Without vectors or queries there are no rows; with fewer
-    candidates than ``k``, all of them come.
+    Every distinct usable vector is coded, and its codes (not the vector) meet every query in
+    blocks of about ``block`` codes by ``query_block`` queries that hash order deals out. The
+    ``shortlist`` best of all blocks (at least k + 1) are scored on the vectors, which move once
+    for the vectors and once for each entry of a shortlist. ``rows`` bounds the sample that
+    codebooks are fitted on.
+
+    A row is no candidate for a query of its own id; ties go to the smaller id. Vectors that
+    ``usable`` refuses or of another dimension than most have, and null ids, take no part on either
+    side; of rows that share an id one counts (``vectors_of``). Without vectors or queries there
+    are no rows; with fewer candidates than ``k``, all of them come.
     """
     spark = vectors.sparkSession
-    books = fit(vectors, key, vec, rows, **settings)
-    result = "query_id long, vec_id long, score double"
-    if books is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    coded = written(index(vectors, books, key, vec), "codes")
-    asked = written(queries.filter(F.col(key).isNotNull() & usable(F.col(vec))).select(F.col(key).cast("long").alias("query_id")).distinct(), "queries")
+    shortlist = max(shortlist, k + 1)
+    plain, size = vectors_of(vectors, key, vec)
+    nothing = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    if size is None:
+        return nothing
+    classes = written(classes_of(plain, k + 1), "vectors")
+    books = fit(classes, rows, **settings)
+    coded = written(index(classes, books), "codes")
+    asked = written(vectors_of(queries, key, vec, size)[0].select(F.col("vec_id").alias("query_id"), F.col("vector").alias("q_vector")), "queries")
     n, m = coded.count(), asked.count()
     n_blocks, q_blocks = max(1, -(-n // block)), max(1, -(-m // query_block))
-    kind = "float64" if "double" in vectors.schema[vec].dataType.simpleString() else "float32"
     model = spark.sparkContext.broadcast(books)
 
-    left = coded.select(
-        "vec_id", "vector", "codes",
-        F.pmod(F.xxhash64("vec_id", "vector"), F.lit(n_blocks)).alias("b"),
-        F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q"),
-    )
-    right = coded.join(asked, F.col("vec_id") == F.col("query_id")).select(
-        "query_id", F.col("vector").alias("q_vector"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("b"),
-        F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int").alias("q"),
-    )
+    left = coded.select("rep", "codes", "norm", F.pmod(F.xxhash64("rep"), F.lit(n_blocks)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q"))
+    right = asked.select(
+        "query_id", "q_vector", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("b"), F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int").alias("q")
+    )
 
     def meet(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        if mine.empty or theirs.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return nearest_in_block(
-            model.value, kind, k, shortlist, mine["vec_id"].to_numpy(), mine["vector"].tolist(), mine["codes"].tolist(),
-            theirs["query_id"].to_numpy(), theirs["q_vector"].tolist(),
-        )
-
-    found = left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInPandas(meet, result)
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        out = [pd.DataFrame({"query_id": [], "rep": [], "near": []})]
+        if len(mine):
+            ids, codes, norms = mine["rep"].to_numpy(), mine["codes"].tolist(), mine["norm"].to_numpy()
+            for at in range(0, len(theirs), 256):
+                some = theirs.iloc[at : at + 256]
+                which, rep, near = best_codes(model.value, shortlist, ids, codes, norms, np.stack(some["q_vector"].to_numpy()))
+                out.append(pd.DataFrame({"query_id": some["query_id"].to_numpy()[which], "rep": rep, "near": near}))
+        return pd.concat(out) if len(out) == 1 else pd.concat(out[1:])
+
+    found = left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInPandas(meet, "query_id long, rep long, near double")
+    nth = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("near"), "rep"))
+    short = written(found.withColumn("_nth", nth).filter(F.col("_nth") <= shortlist).select("query_id", "rep"), "shortlists")
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                exact = np.einsum("ij,ij->i", matrix(batch.column(2)), matrix(batch.column(3)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(exact), batch.column(4)], ["query_id", "rep", "score", "members"])
+
+    # Both sides grow with the table, so neither is broadcast.
+    met = short.join(classes.hint("merge"), "rep").join(asked.hint("merge"), "query_id").select("query_id", "rep", "q_vector", "vector", "members")
+    exact = met.mapInArrow(products, "query_id long, rep long, score double, members array<long>")
+    nth = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "rep"))
+    some = exact.withColumn("_nth", nth).filter(F.col("_nth") <= k + 1).select("query_id", "score", F.explode("members").alias("vec_id"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    out = some.filter("vec_id <> query_id").withColumn("rank", rank).filter(F.col("rank") <= k)
+    return out.select("query_id", "rank", "vec_id", "score")

@@ -82,6 +82,30 @@ def test_ann_few_candidates(spark):
     assert [(r["rank"], r["vec_id"], r["score"]) for r in got] == [(1, 1, 0.5), (2, 2, 0.5)]
 
 
+def test_ann_shared_ids_and_mixed_dimensions(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 1.0]), (1, [2.0, 1.0]), (2, [1.0, 3.0]), (3, [1.0, 1.0, 1.0]), (4, []), (20, [1.0])]
+    schema = "vec_id long, embedding array<double>"
+    one, two = spark.createDataFrame(rows, schema), spark.createDataFrame(rows[::-1], schema).repartition(3)
+    asked = spark.createDataFrame([(40, [1.0, 0.5]), (60, [1.0] * 3), (2, [0.0, 1.0])], schema)
+    a, b = ([tuple(r) for r in additive_ann.search(t, asked, k=3).orderBy("query_id", "rank").collect()] for t in (one, two))
+    # Each id comes once, also where it has several rows; other dimensions take no part.
+    assert a == b and [r[:3] for r in a if r[0] == 40] == [(40, 1, 1), (40, 2, 2), (40, 3, 0)] and {r[0] for r in a} == {2, 40}
+    assert [r[2] for r in a if r[0] == 2][0] == 1 and 2 not in [r[2] for r in a if r[0] == 2]
+
+
+def test_code_scan_ends_early_without_loss():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 12)) * rng.lognormal(0, 1, size=(3000, 1))
+    books = additive_ann.train_codebooks(x, m=4, k=16)
+    codes = books.encode(x)
+    coded = books.decode(codes)
+    q = rng.normal(size=(5, 12))
+    which, ids, score = additive_ann.best_codes(books, 40, np.arange(3000) * 2, [c.tobytes() for c in codes], np.linalg.norm(coded, axis=1), q, step=100)
+    for i in range(5):
+        want = np.sort(coded @ q[i])[::-1][:40]
+        assert np.allclose(np.sort(score[which == i])[::-1], want, atol=1e-3) and np.allclose((coded @ q[i])[ids[which == i] // 2], score[which == i], atol=1e-3)
+
+
 # --- 2 ---
 
 
