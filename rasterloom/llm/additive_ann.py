@@ -74,7 +74,7 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
     return centres
 
 
-def train_codebooks(sample: np.ndarray, m: int = 16, k: int = 128, rounds: int = 1, seed: int = 7) -> Codebooks:
+def train_codebooks(sample: np.ndarray, m: int = 16, k: int = 256, rounds: int = 1, seed: int = 7) -> Codebooks:
     """Residual k-means, then rounds of beam encoding and joint least squares over all entries."""
     rng = np.random.default_rng(seed)
     x = sample.astype(np.float32)
@@ -187,7 +187,7 @@ def search(
     k: int = 20,
     key: str = "vec_id",
     vec: str = "embedding",
-    shortlist: int = 512,
+    shortlist: int = 1024,
     block: int = 1 << 17,
     query_block: int = 1024,
     rows: int = 8192,
