@@ -12,6 +12,8 @@ from rasterloom.llm.common import written
 LANG_TARGET = {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.1}
 #: Topics by the first pattern that a text holds; the rest is prose.
 TOPICS = (("legal", "(?i)licen[sc]e|copyright"), ("contact", "@|[+][0-9]"), ("data", "[0-9]{4}"))
+#: The same for texts whose personal data has given way to its kinds in brackets.
+REDACTED_TOPICS = (TOPICS[0], ("contact", r"@|[+][0-9]|\[(EMAIL|PHONE|HANDLE)\]"), ("data", r"[0-9]{4}|\[CARD\]"))
 TOPIC_TARGET = {"prose": 0.82, "legal": 0.06, "contact": 0.06, "data": 0.06}
 #: Source targets are their token shares to this power, so that large sources give way.
 SOURCE_POWER = 0.8
@@ -26,9 +28,9 @@ AXES = ("source", "lang", "topic")
 CELLS_A_TASK = 100_000
 
 
-def topic_of(text: Column) -> Column:
+def topic_of(text: Column, topics: tuple[tuple[str, str], ...] = TOPICS) -> Column:
     out = None
-    for name, pattern in TOPICS:
+    for name, pattern in topics:
         out = F.when(text.rlike(pattern), name) if out is None else out.when(text.rlike(pattern), name)
     return out.otherwise(F.lit("prose"))
 
@@ -43,14 +45,14 @@ def unit_of(doc_id: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), doc_id.cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
 
 
-def described(docs: DataFrame, text: str = "text") -> DataFrame:
+def described(docs: DataFrame, text: str = "text", topics: tuple[tuple[str, str], ...] = TOPICS) -> DataFrame:
     """``docs`` and ``mix_source``, ``mix_lang``, ``mix_topic``, ``mix_tokens``; nulls are the value ``none``, a null text has no tokens."""
     body = F.coalesce(F.col(text), F.lit(""))
     return docs.withColumns(
         {
             "mix_source": F.coalesce(F.col("source"), F.lit("none")),
             "mix_lang": F.coalesce(F.col("lang"), F.lit("none")),
-            "mix_topic": topic_of(body),
+            "mix_topic": topic_of(body, topics),
             "mix_tokens": tokens_of(body),
         }
     )
@@ -151,7 +153,7 @@ def calibrated_cells(rows: DataFrame, rounds: int = ROUNDS, share: float = KEEP_
     return written(calibrated(rake(cells, rounds), share, least, rounds), "chances")
 
 
-def mix_documents(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, share: float = KEEP_SHARE, least: float = LEAST_SHARE, seed: str = SEED, keep: list[str] | None = None) -> DataFrame:
+def mix_documents(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, share: float = KEEP_SHARE, least: float = LEAST_SHARE, seed: str = SEED, keep: list[str] | None = None, topics: tuple[tuple[str, str], ...] = TOPICS) -> DataFrame:
     """``docs`` (or its columns ``keep``) with mix_source, mix_lang, mix_topic, mix_tokens, mix_probability, mix_kept and three residuals.
 
     A document stays if the number drawn from its id lies below its cell's probability; rows with
@@ -162,7 +164,7 @@ def mix_documents(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, sha
     """
     names = [c for c in (docs.columns if keep is None else keep) if not c.startswith("mix_")]
     own = ["mix_source", "mix_lang", "mix_topic", "mix_tokens"]
-    rows = described(docs.drop(*(c for c in docs.columns if c.startswith("mix_"))), text)
+    rows = described(docs.drop(*(c for c in docs.columns if c.startswith("mix_"))), text, topics)
     rows = written(rows.select(*dict.fromkeys([*names, *own, "doc_id"])), "described")
     residuals = [f"mix_{x}_residual" for x in AXES]
     chances = calibrated_cells(rows, rounds, share, least).select(
@@ -175,6 +177,14 @@ def mix_documents(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, sha
     return out.select(*(F.col(f"r.{c}") for c in [*names, *own]), "mix_probability", "mix_kept", *(F.col(f"x.{c}") for c in residuals))
 
 
+def sample_documents(docs: DataFrame, text: str = "text", **settings) -> DataFrame:
+    """The rows of ``docs`` that ``mix_documents`` keeps, with the columns of ``docs`` alone, whatever their names."""
+    aside = {c: f"own_{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "source", "lang", text)}
+    hidden = docs.select(*(F.col(f"`{c}`").alias(aside.get(c, c)) for c in docs.columns))
+    kept = mix_documents(hidden, text, **settings).filter("mix_kept")
+    return kept.select(*(F.col(aside.get(c, c)).alias(c) for c in docs.columns))
+
+
 def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 

@@ -412,7 +412,7 @@ def redact(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataF
     searched once: they are written with their candidates. A column named ``candidates`` stays.
     """
     names = docs.columns
-    own = docs.select(*(F.col(c).alias(f"own_{k}") for k, c in enumerate(names) if c != text), F.col(text).alias("body"))
+    own = docs.select(*(F.col(f"`{c}`").alias(f"own_{k}") for k, c in enumerate(names) if c != text), F.col(f"`{text}`").alias("body"))
     found = written(find_candidates(own, "body", tuple(own.columns)), "pii-candidates")
     accepted = accepted_patterns(found, threshold)
 
@@ -425,5 +425,5 @@ def redact(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataF
     wanted = [f"own_{k}" for k, c in enumerate(names) if c != text]
     out = found.select(*wanted, "body", "candidates").mapInArrow(run, docs.schema)
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return out.select(*names)
+        out = out.withColumn("n_chars", F.length(F.col(f"`{text}`")).cast(docs.schema["n_chars"].dataType))
+    return out

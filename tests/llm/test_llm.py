@@ -407,6 +407,19 @@ def test_margins_that_cannot_be_met_are_reported(spark):
 # --- 7 ---
 
 
+def test_sampler_keeps_own_columns_and_reads_redacted_topics(spark):
+    texts = ["mail a.b@example.com now", "call +49 30 1234567 89 now", "pay 4111 1111 1111 1111 now", "plain words here", "year 1999 was long", None, ""] * 3
+    rows = [(k, t, "en", f"s{k % 2}", k, 7, "x", 0.5) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, mix_foo long, mix_kept int, mix_topic string, `a.b` double")
+    out = mixing.sample_documents(docs, least=1.0, share=1.0)
+    assert out.columns == docs.columns and all(r["mix_foo"] == r["doc_id"] and r["mix_kept"] == 7 and r["mix_topic"] == "x" for r in out.collect())
+    topics = lambda df, t: {r["doc_id"]: r["k"] for r in df.select("doc_id", mixing.topic_of(F.coalesce("text", F.lit("")), t).alias("k")).collect()}
+    before, hidden = topics(docs, mixing.TOPICS), pii.redact(docs)
+    assert [before[k] for k in range(5)] == ["contact", "contact", "data", "prose", "data"]
+    assert topics(hidden, mixing.REDACTED_TOPICS) == before and topics(hidden, mixing.TOPICS) != before
+    assert mixing.sample_documents(docs.limit(0)).count() == 0
+
+
 def test_gear_hash_and_chunk_dedup(spark, docs, texts):
     data = np.frombuffer(texts[100].encode(), np.uint8)
     h, want = 0, []
