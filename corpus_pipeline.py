@@ -7,7 +7,6 @@ columns of documents. ``run`` writes each stage's result as Parquet and reads it
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from rasterloom.llm import mixing, near_dup, packing, pii, quality_rules
 from rasterloom.llm.common import table, written
@@ -29,8 +28,8 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Samples documents by calibrated probabilities, at least four fifths of the tokens: targets of values too rare for that are approached."""
-    return mixing.mix_documents(docs, least=0.8).filter(F.col("mix_kept")).select(*docs.columns)
+    """Samples documents by calibrated probabilities, at least four fifths of the tokens: targets of values too rare for that are approached. Kinds in brackets count as the topic of what they stand for."""
+    return mixing.sample_documents(docs, least=0.8, topics=mixing.REDACTED_TOPICS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
