@@ -91,6 +91,15 @@ def test_quantiles_by_blocks(spark):
     assert all(np.allclose(out[k], np.quantile(v, [0, 0.05, 0.5, 0.99, 1]), atol=1e-9) for k, v in values.items())
 
 
+def test_quantiles_between_equal_values_are_those_values(spark):
+    """Edges of bins are compared with the rows they come from, so an edge between equal values may not be off in its last digit."""
+    values = [k / 1000 for k in range(500, 4500, 37)]
+    at = tuple(k / 10 for k in range(1, 10))
+    df = spark.createDataFrame([(v,) for v in values], "k double").crossJoin(spark.range(7)).withColumn("v", F.col("k"))
+    out = ranks.exact_quantiles(df, "v", at, ("k",)).collect()
+    assert len(out) == len(values) and all(list(r["q"]) == [r["k"]] * 9 for r in out)
+
+
 def test_exact_quantiles_and_ranks_by_blocks(spark):
     rng = np.random.default_rng(5)
     parts = [rng.normal(0, 1e-3, 400), rng.normal(400, 30, 700), np.repeat(7.25, 900), -np.exp2(np.arange(-40, 40)), [0.0, -0.0, 1e300, -1e300, 8.0, np.nextafter(8, 0)]]
