@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rasterloom.operators import focal, scenery
-from rasterloom.session import written
+from rasterloom.session import written_pixels as written
 
 #: Tolerances in metres that are tried in turn, and how often block sizes double.
 LADDER, SIZES = (0.5, 1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 9.0, 14.0, 20.0), 4

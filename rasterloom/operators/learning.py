@@ -38,19 +38,20 @@ def fit_scale(samples: DataFrame, px: DataFrame) -> DataFrame:
     return both.select("n_scenes", "value", F.col("constant").alias("loo_constant"), F.col("linear").alias("loo_linear"), F.when(wins, "linear").otherwise("constant").alias("kind"))
 
 
-def bootstrap_affine(anchors: DataFrame, replicates: int = 24, share: int = 70, seed: str = "boot") -> DataFrame:
+def bootstrap_affine(anchors: DataFrame, replicates: int = 24, share: int = 70, seed: str = "boot", few: int = 8) -> DataFrame:
     """scene_id, n, mean and sample deviation of slope and offset over fits to subsets of ``share`` percent of the anchors.
 
     An anchor is in a replicate if the number drawn from both ids says so, so replicates are
     independent of the order of rows and need no ranking; all are fitted in one set of
-    aggregations keyed by scene and replicate. Scenes of under 8 anchors have deviation 0.
+    aggregations keyed by scene and replicate. Scenes of under ``few`` anchors have deviation 0.
+    A subset of one anchor has slope 1 and that anchor's own offset, so that it doesn't pull the mean to 0.
     """
     drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("replicate"), F.col("anchor_id")).cast("binary")), 1, 8), 16, 10).cast("long") % 100
     spread = anchors.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).filter(drawn < share)
-    fits = global_affine(spread, by=("scene_id", "replicate"))
+    fits = global_affine(spread, by=("scene_id", "replicate"), lone_zero=False)
     count = anchors.groupBy("scene_id").agg(F.count("*").alias("n_anchors"))
     out = fits.groupBy("scene_id").agg(*(f(c).alias(f"{c}_{k}") for c in ("a", "b") for k, f in (("mean", F.avg), ("std", F.stddev_samp))))
-    few = F.col("n_anchors") < 8
+    is_few = F.col("n_anchors") < few
     return out.join(count, "scene_id").select(
-        "scene_id", "n_anchors", "a_mean", F.when(few, 0.0).otherwise(F.col("a_std")).alias("a_std"), "b_mean", F.when(few, 0.0).otherwise(F.col("b_std")).alias("b_std")
+        "scene_id", "n_anchors", "a_mean", F.when(is_few, 0.0).otherwise(F.col("a_std")).alias("a_std"), "b_mean", F.when(is_few, 0.0).otherwise(F.col("b_std")).alias("b_std")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.operators import footprints
-from rasterloom.session import written
+from rasterloom.session import written_pixels as written
 
 
 def boundary_edges(mask_px: DataFrame, width: int, key: str = "mask_id") -> DataFrame:

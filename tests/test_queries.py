@@ -44,6 +44,19 @@ def test_query_matches_sql(spark, duck, name):
     assert rows_of(got.collect(), got.columns) == rows_of(want.fetchall(), want.columns)
 
 
+def test_bootstrap_of_few_anchors_matches_sql(spark, tmp_path):
+    """A scene of three anchors, some of whose subsets hold one."""
+    shutil.copy(f"{SF}/lineitem.parquet", tmp_path / "lineitem.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view lineitem as select * from '{SF}/lineitem.parquet'")
+    con.sql(f"create table orders as select * from '{SF}/orders.parquet' where o_orderstatus <> 'O' and (o_orderkey % 64, o_orderkey // 3 % 64) in (select (l_orderkey % 64, l_partkey % 64) from lineitem where l_orderkey < 1024) and o_orderkey < 1024 order by o_orderkey limit 3")
+    con.sql(f"copy orders to '{tmp_path}/orders.parquet' (format parquet)")
+    got = entry.queries()["bootstrap_affine"](spark, str(tmp_path))
+    want = con.sql(entry.oracle_sql()["bootstrap_affine"])
+    rows = rows_of(want.fetchall(), want.columns)
+    assert len(rows) == 1 and rows_of(got.collect(), got.columns) == rows
+
+
 def test_entry_has_rows(spark):
     assert entry.entry(spark).count() > 0
 
