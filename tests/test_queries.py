@@ -67,6 +67,23 @@ def test_no_all_pairs_plans(spark):
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+@pytest.mark.parametrize("name", "grid_mesh face_normals vertex_normals verticality weld normal_consistency lattice_upsample profile rank_normalise boundary_f1 choose_roof refit_plane core_and_ring to_cells mask_algebra tri".split())
+def test_exploded_pixels_are_never_broadcast(spark, name):
+    """Spark takes a grid or mask for as small as the rows that it is exploded from, so its size estimate may not choose the join."""
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    keys = [line.split("]")[0] for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert not [k for k in keys if any(c in k for c in ("row#", "vid#", "node_r#"))]
+
+
+def test_masks_and_grids_are_exploded_by_all_tasks(spark):
+    """Few rows in one file become many pixels, which more than one task makes."""
+    from rasterloom.plans.mesh_queries import masks
+    from rasterloom.sources import views
+
+    for df in (masks(spark, SF), views.full_grid(spark, SF)):
+        assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_entry_without_training_operators(tmp_path):
     """The entry and its queries stay when the folders of the training-data operators are gone."""
     root = Path(entry.__file__).parent
