@@ -54,3 +54,17 @@ def test_random_graphs_stars_loops_and_nothing(spark, monkeypatch):
     edges = [(7, k) for k in range(100)] + [(500, 500), (7, 3), (7, 3)]
     assert rounds_of(spark, edges, monkeypatch)[0] == by_force(edges)
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_mesh_is_one_tree_before_any_round(spark, monkeypatch):
+    """Edges of a sheet of 40 x 40 vertices meet in one chunk, so no round of labelling sees them."""
+    edges = [(r * 40 + c, (r + i) * 40 + c + j) for r in range(39) for c in range(39) for i, j in ((0, 1), (1, 0))]
+    got, rounds = rounds_of(spark, edges, monkeypatch)
+    assert got == by_force(edges) and rounds == 1
+
+
+def test_trees_of_many_chunks_are_linked(spark, monkeypatch):
+    """A path over many blocks of ids, and ids in more than two chunks."""
+    nodes = [k * 5000 for k in range(60)]
+    edges = [*zip(nodes, nodes[1:], strict=False), *((3, 5000 * k + 1) for k in range(40)), (7, 7)]
+    assert rounds_of(spark, edges, monkeypatch)[0] == by_force(edges)
