@@ -414,3 +414,23 @@ def test_coverage_and_provenance(spark, tmp_path):
     assert scenes.read_provenance(spark, str(tmp_path / "x")).collect() == told.collect()
     back = spark.read.parquet(str(tmp_path / "x"))
     assert set(back.columns) == {"row", "col", "v", "scene_id", "layer"} and back.count() == 12
+
+
+def test_rings_within_a_chunk_are_linked_before_any_round(spark, monkeypatch):
+    """Whole rings of a chunk need no round; rings that a chunk or a band of rows cuts are linked by rounds, with the same result."""
+    assert [x.tolist() for x in outlines.closed_rings(np.array([3, 5, 8, 9]), np.array([8, 9, 5, 3]))] == [[0, 0, 0, 0], [0, 2, 3, 1]]
+    assert outlines.closed_rings(np.array([3, 5, 8, 9]), np.array([5, 3, 9, 7]))[0].tolist() == [0, 0, -1, -1]
+    masks = [np.pad(np.ones((9, 5), bool), 1), np.eye(7, dtype=bool)]
+    rows = lambda: sorted((r["mask_id"], r["ring"], r["n_edges"], r["area"], tuple(r["pts"])) for r in outlines.trace_outlines(pixels(spark, masks), 25).collect())
+    rounds = []
+    keep = outlines.written
+    monkeypatch.setattr(outlines, "written", lambda df, name: rounds.append(name) or keep(df, name))
+    whole = rows()
+    assert rounds == ["ring-edges"] and len(whole) == 8
+    monkeypatch.setattr(outlines, "BAND_BITS", 2)
+    monkeypatch.setattr(outlines, "CHUNK", 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        assert rows() == whole and "rings" in rounds
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
