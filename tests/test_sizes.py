@@ -1,9 +1,12 @@
 """Steps whose results Spark takes for smaller than they are: no pixel is broadcast, and the raster is read once."""
 
 import numpy as np
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from rasterloom.operators import graph, instances, joins
+from rasterloom.sources import views
 
 SF = "/root/testdata/sf0.001"
 KEYS = ["scene_id", "mask_id", "row", "col"]
@@ -42,3 +45,13 @@ def test_filled_pixels_are_never_broadcast(spark):
 
 def test_features_do_not_go_back_to_the_raster(spark):
     assert "lineitem" not in plan_of(entry.queries()["scene_features"](spark, SF))
+
+
+def test_whole_grids_move_once(spark):
+    """Rows and lines of the grid meet without a join, and windows along rows need no further exchange."""
+    full = views.px_full(spark, SF)
+    want = views.full_grid(spark, SF).join(views.px(spark, SF), ["scene_id", "row", "col"], "left").select(*full.columns)
+    assert full.count() == want.count() and full.exceptAll(want).isEmpty()
+    assert "Join" not in plan_of(full)
+    along = full.withColumn("n", F.count("ref_mm").over(W.partitionBy("scene_id", "row")))
+    assert plan_of(along).count("Exchange hashpartitioning(scene_id") == plan_of(full).count("Exchange hashpartitioning(scene_id")
