@@ -5,7 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from rasterloom.operators import focal, graph, instances, joins
+from rasterloom.operators import focal, graph, instances, joins, solids
 from rasterloom.sources import views
 
 SF = "/root/testdata/sf0.001"
@@ -68,3 +68,24 @@ def test_ruggedness_reads_the_raster_once(spark):
         got = {(r["row"], r["col"]): r["tri"] for r in out.collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     assert "Union" not in plan_of(out)
+
+
+def test_pinches_of_all_passes_are_found_in_one_round(spark, monkeypatch):
+    """A mask of several blocks of lines against brute force; nothing is written between four passes."""
+    rng = np.random.default_rng(8)
+    own = {(int(r), int(c)) for r, c in zip(rng.integers(0, 3 * solids.BLOCK, 2500), rng.integers(0, 20, 2500), strict=True)}
+    want = set(own)
+    for _ in range(4):
+        gone = {(r, c) for r, c in want if (r - 1, c) not in want for k in (-1, 1) if (r - 1, c + k) in want and (r, c + k) not in want}
+        want -= gone
+    names, write = [], solids.written
+    monkeypatch.setattr(solids, "written", lambda df, name: names.append(name) or write(df, name))
+    got = solids.unpinch(spark.createDataFrame([(0, 1, *p) for p in own], "scene_id int, mask_id long, row int, col int"))
+    assert {(r["row"], r["col"]) for r in got.collect()} == want != own and names == ["cells"]
+
+
+def test_faces_of_solids_are_named_by_one_join_of_masks(spark):
+    cells = spark.createDataFrame([(0, 1, 2, 3), (0, 1, 2, 4)], "scene_id int, mask_id long, row int, col int")
+    roof = cells.withColumn("z", F.lit(3.0))
+    _, f = solids.building_solids(cells, roof, cells.select("scene_id", "mask_id").distinct().withColumn("ground_m", F.lit(0.0)), 8, 8)
+    assert plan_of(f).count("Join") == 1 and f.count() == 2 * 2 + 6 * 2
