@@ -3,7 +3,7 @@
 import duckdb
 
 import __spark_entry__ as entry
-from rasterloom.operators import mesh
+from rasterloom.operators import mesh, tiling
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,3 +37,18 @@ def test_meshes_are_checked_for_components_and_places(spark):
     f = spark.createDataFrame([(0, 0, 0, 1, 2), (0, 1, 1, 3, 2), (0, 2, 4, 5, 6), (2, 0, 1, 2, 3)], "scene_id int, fid long, a long, b long, c long")
     got = {r["scene_id"]: (r["n_components"], r["n_duplicate"], r["n_unreferenced"], r["finite"]) for r in mesh.validate_mesh(v, f).collect()}
     assert got == {0: (3, 1, 1, True), 1: (0, 0, 1, True), 2: (1, 0, 0, False)}
+
+
+def test_codings_are_swept_from_24_bits_in_all_layers(spark):
+    got = entry.queries()["quantisation_sweep"](spark, SF)
+    seen = {(r["layer"], r["bits"]) for r in got.collect()}
+    assert seen == {(c, n) for c in ("ref", "h_ref", "sigma", "err") for n in (24, 16, 12, 8)} and "worst_sigmas" in got.columns
+
+
+def test_codes_in_use_are_counted_across_parts_of_the_range(spark):
+    """Values that repeat, skip parts of the range, and stand next to each other across the ends of parts; a constant layer; nulls."""
+    values = [0.0, 0.0, 1.0, 1.0000001, 250.4, 250.6, 251.0, 251.3, 255.0, None, 128.49, 128.51]
+    px = spark.createDataFrame([(0, v, 7.0) for v in values], "scene_id int, a double, b double")
+    got = {(r["layer"], r["bits"]): r["n_codes"] for r in tiling.quantisation_sweep(px, ["a", "b"]).collect()}
+    for bits in (24, 16, 12, 8):
+        assert got["a", bits] == len({round(v / 255.0 * (2**bits - 1)) for v in values if v is not None}) and got["b", bits] == 1
