@@ -67,11 +67,12 @@ def pixel_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM s JOIN r ON r.scene_id = s.scene_id AND r.instance = s.instance GROUP BY r.scene_id""")
 def instance_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per scene: instances that show, share of pixels under one, and their mean score over covered pixels (here a hundredth of the area)."""
-    records, shown = instances.paint_instances(masks(spark, sf_dir), 12)
-    both = shown.join(records, ["scene_id", "instance"])
+    # An instance covers as many pixels as it shows, so no pixel meets its record.
+    records = instances.paint_instances(masks(spark, sf_dir), 12)[0].filter("visible_px > 0")
+    covered = F.sum("visible_px")
     return rounded(
-        both.groupBy("scene_id").agg(
-            F.count_distinct("instance").alias("n_instances"), (F.count("*") / (N * N)).alias("coverage"), F.avg(F.col("area_px") / 100).alias("mean_confidence")
+        records.groupBy("scene_id").agg(
+            F.count("*").alias("n_instances"), (covered / (N * N)).alias("coverage"), (F.sum(F.col("visible_px") * F.col("area_px")) / 100 / covered).alias("mean_confidence")
         )
     )
 

@@ -80,3 +80,10 @@ def test_walks_along_shadows_match_brute_force_and_are_not_broadcast(spark, monk
     runs = scenery.shadow_runs(px.filter("kind = 2").withColumn("component", F.lit(1)), px.filter("kind = 2"), px.filter("kind = 1"), azimuth, h, w, 60, gap)
     assert {(r["row"], r["col"]): r["length"] for r in runs.collect()} == want and max(want.values()) > 3 * scenery.FIRST_STEPS
     assert len(plans) == 5 and not [p for p in plans if "Broadcast" in p]
+
+
+def test_instances_are_summed_up_without_their_pixels(spark):
+    """The raster of masks is joined once to be painted; no pixel meets its record after that."""
+    plan = entry.queries()["instance_summary"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join [" in line]
+    assert len(joins) == 2 and all("SortMergeJoin" in line for line in joins)
