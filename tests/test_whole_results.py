@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from rasterloom.operators import mesh, scenery, tiling
+from rasterloom.operators import mesh, scenery, solids, tiling
 
 SF = "/root/testdata/sf0.001"
 
@@ -87,3 +87,17 @@ def test_instances_are_summed_up_without_their_pixels(spark):
     plan = entry.queries()["instance_summary"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join [" in line]
     assert len(joins) == 2 and all("SortMergeJoin" in line for line in joins)
+
+
+def test_walls_are_measured_without_their_vertices(spark):
+    """Lines of cells and heights move; faces carry the places of their corners, which are those of their vertices."""
+    cells = spark.createDataFrame([(0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 3), (0, 2, 2, 6)], "scene_id int, mask_id long, row int, col int")
+    px = spark.createDataFrame([(0, r, c, r * 10.0 + c) for r in range(8) for c in range(8) if (r, c) != (4, 4)], "scene_id int, row int, col int, z double")
+    roof = solids.heights_at_corners(cells, px, "z")
+    want = solids.cells_to_pixels(cells).join(px, ["scene_id", "row", "col"]).select(*roof.columns)
+    assert roof.count() == want.count() == 11 and roof.exceptAll(want).isEmpty()
+    ground = cells.select("scene_id", "mask_id").distinct().withColumn("ground_m", F.lit(1.0))
+    v, f = solids.building_solids(cells, roof, ground, 8, 8, 0.5, floor=True)
+    at = {r["vid"]: (r["x"], r["y"], r["z"]) for r in v.collect()}
+    assert all([tuple(p) for p in r["p"]] == [at[r[c]] for c in "abc"] for r in f.collect())
+    assert "Join" not in mesh.face_normals(v, f)._jdf.queryExecution().executedPlan().toString().replace("Join", "", 1)
