@@ -101,3 +101,19 @@ def test_walls_are_measured_without_their_vertices(spark):
     at = {r["vid"]: (r["x"], r["y"], r["z"]) for r in v.collect()}
     assert all([tuple(p) for p in r["p"]] == [at[r[c]] for c in "abc"] for r in f.collect())
     assert "Join" not in mesh.face_normals(v, f)._jdf.queryExecution().executedPlan().toString().replace("Join", "", 1)
+
+
+def test_outlines_meet_as_lines(spark):
+    """Random masks against brute force, one of them missing on a side; nothing is joined."""
+    rng = np.random.default_rng(6)
+    masks = {(side, m): {(int(r), int(c)) for r in range(14) for c in range(16) if rng.random() < 0.8} for side in "ab" for m in range(4) if (side, m) != ("b", 3)}
+    frame = lambda side: spark.createDataFrame([(0, m, *p) for (s, m), own in masks.items() if s == side for p in own], "scene_id int, mask_id int, row int, col int")
+    rim = {k: {(r, c) for r, c in own if any((r + i, c + j) not in own for i in (-1, 0, 1) for j in (-1, 0, 1))} for k, own in masks.items()}
+    share = lambda x, y: sum(any((r - s) ** 2 + (c - d) ** 2 <= 2.25 for s, d in y) for r, c in x) / len(x) if x else 0.0
+    out = scenery.boundary_f1(frame("a"), frame("b"), 1.5)
+    got = {r["mask_id"]: r["boundary_f1"] for r in out.collect()}
+    for m in range(4):
+        x, y = rim["a", m], rim.get(("b", m), set())
+        p, q = share(x, y), share(y, x)
+        assert abs(got[m] - (2 * p * q / (p + q) if p + q else 0.0)) < 1e-12
+    assert len(got) == 4 and "Join" not in out._jdf.queryExecution().executedPlan().toString()
